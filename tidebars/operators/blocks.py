@@ -134,7 +134,8 @@ def running(
     """Running values over whole series: ``{new column: (kind, column)}``.
 
     Kinds: ``sum`` and ``max`` up to the row; ``last`` and ``next``, the nearest
-    non-null value at or before, at or after the row. Each block is scanned on its
+    non-null value at or before, at or after the row; ``prior``, the nearest strictly
+    before it. Each block is scanned on its
     own and reduced to one summary row; only the summaries are combined in order.
     ``df`` is read twice, so pass a table or a cheap plan.
     """
@@ -145,6 +146,7 @@ def running(
     upto, onward = inner.rowsBetween(Window.unboundedPreceding, 0), inner.rowsBetween(
         0, Window.unboundedFollowing
     )
+    before = inner.rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy(*by).orderBy("_blk")
     earlier, later = outer.rowsBetween(Window.unboundedPreceding, -1), outer.rowsBetween(
         1, Window.unboundedFollowing
@@ -169,6 +171,11 @@ def running(
             carry.append(F.last(c(s), ignorenulls=True).over(earlier).alias(k))
             local[v] = F.last(x, ignorenulls=True).over(upto)
             final[out] = F.coalesce(c(v), c(k))
+        elif kind == "prior":
+            summary.append(F.max_by(x, known).alias(s))
+            carry.append(F.last(c(s), ignorenulls=True).over(earlier).alias(k))
+            local[v] = F.last(x, ignorenulls=True).over(before)
+            final[out] = F.coalesce(c(v), c(k))
         elif kind == "next":
             summary.append(F.min_by(x, known).alias(s))
             carry.append(F.first(c(s), ignorenulls=True).over(later).alias(k))
