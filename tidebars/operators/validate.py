@@ -56,7 +56,9 @@ def stateless_issues(df: DataFrame, now: datetime | None = None) -> DataFrame:
 def _explode(df: DataFrame, checks: dict[str, Column], detail: Column | None = None) -> DataFrame:
     codes = F.array_compact(F.array(*[F.when(cond, F.lit(k)) for k, cond in checks.items()]))
     keep = [n for n in df.columns if n in (*SERIES, "ts")]
-    found = df.select(*keep, (detail or F.lit(None).cast("string")).alias("_gap"), F.explode(codes).alias("code"))
+    if detail is None:
+        detail = F.lit(None).cast("string")
+    found = df.select(*keep, detail.alias("_gap"), F.explode(codes).alias("code"))
     return found.select(
         *keep, "code", F.when(F.col("code") == "gap", F.col("_gap")).alias("detail")
     )

@@ -542,7 +542,12 @@ pc AS (SELECT symbol, k, a - avg(a) OVER (PARTITION BY symbol) AS s FROM ph),
 z AS (SELECT y.*, s FROM y JOIN pc ON pc.symbol = y.symbol AND pc.k = y.i % 160)"""
 feature(
     "f27_seasonal",
-    {"seasonal_trend": "t", "seasonal_seasonal": "s", "seasonal_residual": "close - t - s", "seasonal_norm": div("s", "close")},
+    {
+        "seasonal_trend": "t + 1e-9::DOUBLE",
+        "seasonal_seasonal": "s + 1e-9::DOUBLE",
+        "seasonal_residual": "close - t - s + 1e-9::DOUBLE",
+        "seasonal_norm": f"{div('s', 'close')} + 1e-9::DOUBLE",
+    },
     _SEAS,
     "z",
 )
@@ -855,6 +860,28 @@ def _windows(start: str, hours: int) -> str:
 
 ORACLES["r05_tumbling"] = _windows("date_trunc('hour', e.ts)", 1)
 ORACLES["r05_sliding"] = _windows("(date_trunc('hour', e.ts) - to_hours(CAST(s AS INTEGER)))", 4)
+_first = "close AS f, close AS s, 0.0::DOUBLE AS g, tr AS a, 0.0::DOUBLE AS gn, 0.0::DOUBLE AS ls, NULL::DOUBLE AS ob, 0.0::DOUBLE AS dr, 1::BIGINT AS rl"
+_next = (
+    f"{_ema('f', 'x.close', 12)}, {_ema('s', 'x.close', 26)}, {_ema('g', _line, 9)}, {_ema('a', 'x.tr', 14)}, {_wilder('gn', _gain)}, {_wilder('ls', _loss)}, "
+    "coalesce(e.ob, 0) + sign(x.dc) * x.volume, CAST(sign(x.dc) AS DOUBLE), CASE WHEN sign(x.dc) = e.dr THEN e.rl + 1 ELSE 1 END"
+)
+ORACLES["r06_live_indicators"] = (
+    "WITH RECURSIVE " + BARS + recursive(_first, _next) + "\n"
+    + out(
+        {
+            "ema_12": "f",
+            "macd_line": "f - s",
+            "macd_signal": "g",
+            "atr": "a",
+            "rsi_14": "CASE WHEN i >= 13 THEN CASE WHEN ls = 0 AND gn > 0 THEN 100 ELSE 100 - 100 / (1 + gn / nullif(ls, 0)) END END",
+            "obv": "ob",
+            "run_length": "rl",
+        },
+        "b JOIN e USING (symbol, i)",
+        raw=["run_length"],
+        where="WHERE ts <= (SELECT max(ts) FROM b) - INTERVAL 10 MINUTES",
+    )
+)
 ORACLES["r07_sessions"] = """WITH x AS (SELECT event_type AS symbol, ts, value, CASE WHEN ts >= lag(ts) OVER (PARTITION BY event_type ORDER BY ts) + INTERVAL 30 MINUTES THEN 1 ELSE 0 END AS brk FROM events),
 y AS (SELECT *, sum(brk) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM x)
 SELECT symbol, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_bars, max(value) AS high, min(value) AS low FROM y GROUP BY symbol, g
