@@ -37,16 +37,9 @@ def present(df: DataFrame, names: list[str]) -> list[str]:
 
 
 def join_small(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join ``stats`` on ``keys`` so that NULL keys meet too.
+    """Join per-series or per-block statistics.
 
-    No broadcast hint: Spark broadcasts by measured size and shuffles beyond it.
+    No broadcast hint: Spark broadcasts by measured size. Beyond that a plain equi-join
+    keeps the partitioning ``df`` already has, and AQE splits a hot series.
     """
-    renamed = stats.select(
-        *[F.col(f"`{k}`").alias(f"_k_{k}") for k in keys],
-        *[F.col(f"`{n}`") for n in stats.columns if n not in keys],
-    )
-    cond = F.lit(True)
-    for n, k in enumerate(keys):
-        same = df[f"`{k}`"].eqNullSafe(renamed[f"_k_{k}"])
-        cond = same if n == 0 else cond & same
-    return df.join(renamed, cond, how).drop(*[f"_k_{k}" for k in keys])
+    return df.join(stats, list(keys), how)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tidebars.functions.columns import c, join_small
 from tidebars.session import materialize
 
-BLOCK_ROWS = 131_072
+BLOCK_ROWS = 16_384
 SERIES = ("symbol",)
 
 
@@ -30,7 +30,8 @@ def with_position(
 ) -> DataFrame:
     """Add ``_i``, the row's zero-based place in its series, and ``_n``, the series length.
 
-    ``order`` should order the rows of a series without ties. The range shuffle gives
+    ``order`` should order the rows of a series without ties; every row needs its ``by``
+    columns, and one without them is an error rather than a row lost. The range shuffle gives
     every task a contiguous run of about equal size whatever the keys look like; the
     runs are written once, because the bounds of a range shuffle are sampled anew
     each time it is planned.
@@ -38,8 +39,9 @@ def with_position(
     if "_i" in df.columns:
         return df
     by, order = list(by), list(order)
+    named = {k: F.coalesce(c(k), F.raise_error(F.lit(f"a row has no {k}"))) for k in by}
     placed = materialize(
-        df.repartitionByRange(
+        df.withColumns(named).repartitionByRange(
             int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, *order
         )
         .sortWithinPartitions(*by, *order)
@@ -81,10 +83,13 @@ def with_halo(df: DataFrame, back: int, ahead: int = 0, rows: int | None = None)
     return df.withColumn("_blk", F.explode(F.array_compact(F.array(*seats))))
 
 
-def own_rows(df: DataFrame, back: int, ahead: int = 0, rows: int | None = None) -> DataFrame:
+def own_rows(
+    df: DataFrame, back: int, ahead: int = 0, rows: int | None = None, keep_block: bool = False
+) -> DataFrame:
     """Drop the halo copies again."""
     rows = block_rows(back, ahead, rows)
-    return df.where(F.col("_blk") == home_block(rows)).drop("_blk")
+    own = df.where(F.col("_blk") == home_block(rows))
+    return own if keep_block else own.drop("_blk")
 
 
 def block_rows(back: int, ahead: int = 0, rows: int | None = None) -> int:
@@ -139,9 +144,10 @@ def running(
     own and reduced to one summary row; only the summaries are combined in order.
     ``df`` is read twice, so pass a table or a cheap plan.
     """
-    rows = block_rows(0, 0, rows)
     by = list(by)
-    df = df.withColumn("_blk", home_block(rows))
+    if "_blk" not in df.columns:
+        # With blocks of its own, a table from the window stage needs no second shuffle.
+        df = df.withColumn("_blk", home_block(block_rows(0, 0, rows)))
     inner = Window.partitionBy(*by, "_blk").orderBy("_i")
     upto, onward = inner.rowsBetween(Window.unboundedPreceding, 0), inner.rowsBetween(
         0, Window.unboundedFollowing

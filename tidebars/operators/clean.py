@@ -10,14 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidebars.functions.columns import OHLCV, PRICES, c, join_small, present
-from tidebars.operators.blocks import (
-    SERIES,
-    Frames,
-    own_rows,
-    running,
-    with_halo,
-    with_position,
-)
+from tidebars.operators.blocks import SERIES, running, with_position
 from tidebars.operators.quantiles import quantiles
 from tidebars.session import materialize
 from tidebars.sources.files import lower_names
@@ -134,17 +127,13 @@ def drop_duplicates(df: DataFrame, by=SERIES, first: str | None = None) -> DataF
     return kept.select(*by, "ts", "_r.*").select(*[c(n) for n in df.columns])
 
 
-def time_steps(df: DataFrame, by=SERIES, rows: int | None = None) -> DataFrame:
-    """A positioned table with ``_step``, microseconds since the row before."""
-    fr = Frames(tuple(by))
-    seated = with_halo(df, 1, 0, rows)
-    step = F.unix_micros("ts") - fr.lag(F.unix_micros("ts"))
-    return own_rows(seated.withColumn("_step", step), 1, 0, rows)
-
-
 def bar_interval(df: DataFrame, by=SERIES, rows: int | None = None) -> DataFrame:
-    """Per series: the commonest step (the smallest on ties), the largest, first and last stamp."""
-    steps = time_steps(df.select(*by, "ts", "_i", "_n"), by, rows)
+    """Per series: the commonest step (the smallest on ties), the largest, first and last stamp.
+
+    ``df`` has ``_i`` in time order; it may have holes.
+    """
+    steps = running(df.select(*by, "ts", "_i"), {"_before": ("prior", "ts")}, by, rows)
+    steps = steps.withColumn("_step", F.unix_micros("ts") - F.unix_micros("_before"))
     counts = steps.groupBy(*by, "_step").agg(
         F.count(F.lit(1)).alias("_c"), F.min("ts").alias("_first"), F.max("ts").alias("_last")
     )
@@ -158,7 +147,7 @@ def bar_interval(df: DataFrame, by=SERIES, rows: int | None = None) -> DataFrame
 
 
 def time_grid(spans: DataFrame, by=SERIES) -> DataFrame:
-    """Regular stamps first..last for each series, with ``_i`` and ``_n``.
+    """Regular stamps first..last for each series, with ``_i``.
 
     Built in two steps with a shuffle between, so that a long series is written out by
     many tasks and no array exceeds ``GRID_BLOCK`` stamps.
@@ -174,7 +163,7 @@ def time_grid(spans: DataFrame, by=SERIES) -> DataFrame:
     first = F.col("_g") * GRID_BLOCK
     last = F.least(first + GRID_BLOCK, F.col("_n")) - 1
     return pieces.withColumn("_i", F.explode(F.sequence(first, last))).select(
-        *by, F.timestamp_micros(F.col("_s") + F.col("_i") * F.col("interval_us")).alias("ts"), "_i", "_n"
+        *by, F.timestamp_micros(F.col("_s") + F.col("_i") * F.col("interval_us")).alias("ts"), "_i"
     )
 
 
@@ -186,15 +175,17 @@ def fill_gaps(
     Rows off the grid are dropped, prices are carried forward, volume is 0 in gaps.
     Series without such a gap stay as they are.
     """
-    order = df.columns
-    df = with_position(df, by)
+    order = [n for n in df.columns if n not in ("_i", "_n")]
+    # Positions with holes will do here: only their order counts.
+    df = materialize(df) if "_i" in df.columns else with_position(df, by)
+    df = df.drop("_n")
     info = bar_interval(df, by, rows).withColumn(
         "_gappy", F.coalesce(F.col("largest_us") > F.col("interval_us") * factor, F.lit(False))
     )
     info = materialize(info)
     marked = join_small(df, info.select(*by, "_gappy"), list(by))
     grid = time_grid(info.where("_gappy"), by)
-    bars = marked.where("_gappy").drop("_gappy", "_i", "_n")
+    bars = marked.where("_gappy").drop("_gappy", "_i")
     on_grid = join_small(grid, bars, [*by, "ts"], "left")
     both = on_grid.unionByName(marked.where(~F.col("_gappy")).drop("_gappy"))
     both = materialize(both)
@@ -203,7 +194,7 @@ def fill_gaps(
     filled = filled.withColumns({n: F.col(f"_l_{n}") for n in prices})
     if "volume" in order:
         filled = filled.withColumn("volume", F.coalesce("volume", F.lit(0)))
-    return filled.select(*[c(n) for n in dict.fromkeys([*order, "_i", "_n"])])
+    return filled.select(*[c(n) for n in order])
 
 
 def outlier_bounds(df: DataFrame, by=SERIES) -> DataFrame:
@@ -307,6 +298,6 @@ def clean(
         df = df.withColumnRenamed(first, "seq")
     df = fill_missing(df, by, rows)
     # The fill order breaks ties between copies, so the earliest copy stays.
-    df = drop_duplicates(df.drop("_n"), by, "_i").drop("_i", "seq")
+    df = drop_duplicates(df.drop("_n", "seq"), by, "_i")
     df = fill_gaps(df, by, rows)
     return repair_ohlc(consistent_types(cap_outliers(df, by)))

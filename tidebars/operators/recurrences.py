@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 from tidebars.operators.blocks import SERIES, block_rows, own_rows, with_halo
 
 EMA_SPANS = [5, 10, 20, 50, 200]
+# Blocks of grouped maps are larger than those of windows: their halos are longer.
+KERNEL_ROWS = 131_072
 
 
 def memory_rows(a: float, ratio: bool = False) -> int:
@@ -139,7 +141,7 @@ def apply_kernels(
     """Run all kernels in one pass over the blocks of a positioned table."""
     outputs = [o for k in kernels for o in k.outputs]
     back, ahead = max(k.back for k in kernels), max(k.ahead for k in kernels)
-    size = block_rows(back, ahead, rows)
+    size = block_rows(back, ahead, rows or KERNEL_ROWS)
     schema = T.StructType(
         [f for f in df.schema if f.name not in outputs]
         + [T.StructField(o, T.DoubleType()) for o in outputs]

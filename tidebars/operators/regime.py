@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidebars.functions.columns import c, pct, tdiv
 from tidebars.operators.blocks import Frames
 from tidebars.operators.price import sma
+from tidebars.operators.recurrences import Kernel
 
 EPSILON = 1e-8
 VOL_REGIMES = ["low", "medium", "high"]
@@ -21,9 +24,34 @@ def one_hot(name: str, prefix: str, values: list[str]) -> dict[str, Column]:
     return {f"{prefix}_{v}": F.coalesce(c(name) == v, F.lit(False)) for v in values}
 
 
+def rank_kernel(short: int = 20, long: int = 100) -> Kernel:
+    """``_vol_rank``: the volatility's average rank among the last ``long``, as a share.
+
+    A window aggregate cannot compare its rows with the current one, and gathering every
+    window into a list costs far more than comparing whole blocks at once.
+    """
+
+    def fn(b):
+        close = b["close"].to_numpy(float)
+        out = np.full(len(b), np.nan)
+        if len(b) >= short + long:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                returns = close[1:] / close[:-1] - 1
+            vol = sliding_window_view(returns, short).std(axis=1, ddof=1)
+            windows = sliding_window_view(vol, long)
+            now = windows[:, -1:]
+            rank = (windows < now).sum(axis=1) + ((windows == now).sum(axis=1) + 1) / 2
+            known = np.isfinite(windows).all(axis=1)
+            out[short + long - 1 :] = np.where(known, rank / long, np.nan)
+        return {"_vol_rank": out}
+
+    return Kernel(("_vol_rank",), short + long, fn)
+
+
 def volatility_regimes(
     fr: Frames, have: set[str], short: int = 20, long: int = 100, n_regimes: int = 3
 ):
+    """Three regimes need ``_vol_rank`` of ``rank_kernel`` with the same lengths."""
     yield {"returns": tdiv("close", fr.lag("close")) - 1}
     year = math.sqrt(252)
     # A flat window has no spread; comparing extremes avoids a rounding residue.
@@ -46,14 +74,9 @@ def volatility_regimes(
         regime, values = F.when(vol > median, "high").otherwise("low"), ["low", "high"]
         yield {**layer, "volatility_regime": regime}
     else:
-        values = VOL_REGIMES
-        yield {**layer, "_hist": F.collect_list(vol).over(fr.last(long))}
-        less = F.size(F.filter("_hist", lambda x: x < F.col("volatility_short")))
-        same = F.size(F.filter("_hist", lambda x: x == F.col("volatility_short")))
-        yield {"_rank": F.when(F.size("_hist") == long, (less + (same + 1) / 2) / long)}
-        place = F.col("_rank")
+        values, place = VOL_REGIMES, F.col("_vol_rank")
         regime = F.when(place < 0.33, "low").when(place >= 0.66, "high").otherwise("medium")
-        yield {"volatility_regime": regime}
+        yield {**layer, "volatility_regime": regime}
     yield one_hot("volatility_regime", "vol_regime", values)
 
 

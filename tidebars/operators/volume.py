@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+from numpy.lib.stride_tricks import sliding_window_view
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebars.functions.columns import pct, tdiv, typical_price
-from tidebars.operators.blocks import Frames
+from tidebars.operators.blocks import SERIES, Frames
+from tidebars.operators.recurrences import Kernel
 
 VMA_PERIODS = [7, 15, 30, 60]
 VROC_PERIODS = [1, 5, 10, 20]
@@ -27,83 +31,73 @@ def on_balance_volume(fr: Frames, have: set[str]):
     yield {"obv": F.col("volume") * F.signum(F.col("close") - fr.lag("close"))}
 
 
-def volume_profile(
-    fr: Frames, have: set[str], bins: int = 10, n: int = 20, key_metrics: bool = True
-):
+def profile_kernel(bins: int = 10, n: int = 20, key_metrics: bool = True) -> Kernel:
     """Share of volume by price bin over the previous ``n`` rows, later rows weighing more.
 
     The bins span the low to the high of the n rows that end with the current one. A row
     outside them counts in the nearest bin. ``key_metrics`` adds point of control, value
-    area and concentration.
+    area (70 % of volume) and concentration. Bins depend on the row that looks at them,
+    so no window aggregate can say this; whole blocks of windows are binned at once.
     """
-    bar = F.struct(typical_price().alias("tp"), F.col("volume").cast("double").alias("v"))
-    lowest = fr.roll(F.min, "low", n)
-    yield {
-        "_lo": lowest,
-        "_range": fr.roll(F.max, "high", n) - lowest,
-        "_past": F.collect_list(bar).over(fr.prior(n)),
-    }
-    live = (F.size("_past") == n) & (F.col("_range") > 0)
-    yield {"_step": F.when(live, F.col("_range") / bins)}
-
-    def place(x, pos):
-        at = F.floor(F.try_divide(x["tp"] - F.col("_lo"), F.col("_step")))
-        return F.struct(
-            F.greatest(F.lit(0), F.least(F.lit(bins - 1), at)).cast("int").alias("b"),
-            (x["v"] * (1 + 0.1 * (pos / n))).alias("w"),
-        )
-
-    def add(acc, e):
-        return F.transform(acc, lambda v, k: F.when(k == e["b"], v + e["w"]).otherwise(v))
-
-    empty = F.array(*[F.lit(0.0)] * bins)
-    yield {"_sum": F.when(live, F.aggregate(F.transform("_past", place), empty, add))}
-    yield {"_total": F.aggregate("_sum", F.lit(0.0), lambda a, x: a + x)}
-    share = F.transform("_sum", lambda x: F.try_divide(x, F.col("_total")) * 100)
-    yield {"_share": F.when(F.col("_total") > 0, share).otherwise(F.col("_sum"))}
-    new = {f"vol_bin_{k}": F.get("_share", F.lit(k)) for k in range(bins)}
-    if not key_metrics:
-        yield new
-        return
-
-    lo, step = F.col("_lo"), F.col("_step")
-    poc_bin = F.array_position("_share", F.array_max("_share")) - 1
-    by_share = F.reverse(
-        F.array_sort(F.transform("_share", lambda p, k: F.struct(p.alias("p"), k.alias("k"))))
-    )
-
-    def widen(acc, e):
-        cum = acc["cum"] + e["p"] / 100
-        grown = F.struct(
-            cum.alias("cum"),
-            F.greatest(acc["hi"], e["k"]).alias("hi"),
-            F.least(acc["lo"], e["k"]).alias("lo"),
-        )
-        return F.when(acc["cum"] >= 0.7, acc).otherwise(grown)
-
-    area = F.aggregate(
-        by_share,
-        F.struct(F.lit(0.0).alias("cum"), F.lit(-1).alias("hi"), F.lit(bins).alias("lo")),
-        widen,
-    )
-    yield {**new, "_area": area}
-    yield {
-        "vol_poc": lo + (poc_bin + 0.5) * step,
-        "vol_va_high": lo + (F.col("_area.hi") + 1) * step,
-        "vol_va_low": lo + F.col("_area.lo") * step,
-    }
-    entropy = F.aggregate(
-        F.col("_share"),
-        F.lit(0.0),
-        lambda a, p: F.when(p > 0, a - (p / 100) * F.ln(p / 100)).otherwise(a),
-    )
+    names = [f"vol_bin_{k}" for k in range(bins)]
+    if key_metrics:
+        names += ["vol_poc", "vol_va_high", "vol_va_low", "vol_va_width", "vol_concentration"]
+    weight = 1 + 0.1 * (np.arange(n) / n)
+
+    def piece(b: dict[str, np.ndarray], first: int, last: int) -> np.ndarray:
+        """Values of rows first..last-1; row r looks at rows r-n..r-1."""
+        m = last - first
+        tp = sliding_window_view(b["tp"][first - n : last - 1], n)
+        vol = sliding_window_view(b["volume"][first - n : last - 1], n)
+        low = sliding_window_view(b["low"][first - n + 1 : last], n).min(axis=1)
+        span = sliding_window_view(b["high"][first - n + 1 : last], n).max(axis=1) - low
+        with np.errstate(divide="ignore", invalid="ignore"):
+            step = span / bins
+            at = np.nan_to_num(np.floor((tp - low[:, None]) / step[:, None]), posinf=bins, neginf=0)
+            at = np.clip(at, 0, bins - 1).astype(np.int64) + np.arange(m)[:, None] * bins
+            share = np.bincount(at.ravel(), (vol * weight).ravel(), m * bins).reshape(m, bins)
+            total = share.sum(axis=1)
+            share = np.where(total[:, None] > 0, share / total[:, None] * 100, share)
+        live = (span > 0) & np.isfinite(total)
+        if not key_metrics:
+            return np.where(live[:, None], share, np.nan)
+        # Largest share first, the higher bin first among equals.
+        order = np.argsort(share, axis=1, kind="stable")[:, ::-1]
+        cum = np.cumsum(np.take_along_axis(share, order, 1) / 100, axis=1)
+        inside = np.hstack([np.ones((m, 1), bool), cum[:, :-1] < 0.7])
+        top = np.where(inside, order, -1).max(axis=1) + 1
+        bottom = np.where(inside, order, bins).min(axis=1)
+        p = share / 100
+        entropy = -np.sum(np.where(p > 0, p * np.log(np.where(p > 0, p, 1.0)), 0.0), axis=1)
+        high_at, low_at = low + top * step, low + bottom * step
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cols = [low + (share.argmax(axis=1) + 0.5) * step, high_at, low_at, (high_at - low_at) / span]
+        out = np.where(live[:, None], np.column_stack([share, *cols]), np.nan)
+        return np.column_stack([out, np.where(live, 1 - entropy / math.log(bins), 1.0)])
+
+    def fn(pdf):
+        b = {k: pdf[k].to_numpy(float) for k in ("high", "low", "close", "volume")}
+        b["tp"] = (b["high"] + b["low"] + b["close"]) / 3
+        out = np.full((len(pdf), len(names)), np.nan)
+        if key_metrics:
+            out[:, -1] = 1.0
+        for first in range(n, len(pdf), 8192):
+            last = min(first + 8192, len(pdf))
+            out[first:last] = piece(b, first, last)
+        return {k: out[:, j] for j, k in enumerate(names)}
+
+    return Kernel(tuple(names), n, fn)
+
+
+def profile_flags(df: DataFrame, by=SERIES) -> DataFrame:
+    """Distance to the point of control, and whether the close is in the value area."""
     inside = (F.col("close") >= F.col("vol_va_low")) & (F.col("close") <= F.col("vol_va_high"))
-    yield {
-        "vol_va_width": tdiv(F.col("vol_va_high") - F.col("vol_va_low"), "_range"),
-        "close_to_poc_pct": tdiv(F.col("close") - F.col("vol_poc"), "vol_poc") * 100,
-        "in_value_area": F.when(inside, 1).otherwise(0),
-        "vol_concentration": 1 - F.coalesce(entropy, F.lit(0.0)) / math.log(bins),
-    }
+    return df.withColumns(
+        {
+            "close_to_poc_pct": tdiv(F.col("close") - F.col("vol_poc"), "vol_poc") * 100,
+            "in_value_area": F.when(inside, 1).otherwise(0),
+        }
+    )
 
 
 def vwap(fr: Frames, have: set[str], n: int = 1):

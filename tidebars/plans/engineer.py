@@ -9,7 +9,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebars.operators.blocks import SERIES
+from tidebars.functions.columns import OHLCV
+from tidebars.operators.blocks import SERIES, with_position
 from tidebars.operators.clean import clean
 from tidebars.operators.select import select_features
 from tidebars.operators.transform import transform
@@ -38,7 +39,7 @@ def engineer(
     Validation only reports: a failed verdict is logged and the run goes on. Each stage
     is a table in the shared folder, so the stages after it start from columns on disk.
     """
-    cleaned = materialize(clean(bars, by=by, rows=rows).select(*by, "ts", "open", "high", "low", "close", "volume"))
+    cleaned = with_position(clean(bars, by=by, rows=rows).select(*by, "ts", *OHLCV), by)
     report = issues(cleaned, now, by, rows)
     valid = verdict(cleaned, report, by)
     bad = valid.where(~F.col("is_valid")).limit(5).collect()
@@ -50,7 +51,7 @@ def engineer(
     if out:
         write_bars(chosen, out)
     return {
-        "cleaned": cleaned,
+        "cleaned": cleaned.drop("_i", "_n"),
         "issues": report,
         "verdict": valid,
         "features": table.drop("_i", "_n"),

@@ -76,7 +76,9 @@ for _f in [
     Feature(
         "on_balance_volume", "window", volume.on_balance_volume, back=1, carry=(("obv", "sum"),)
     ),
-    Feature("volume_profile", "window", volume.volume_profile, back=20),
+    Feature(
+        "volume_profile", "kernel", volume.profile_flags, kernels=(volume.profile_kernel(),)
+    ),
     Feature("vwap", "window", volume.vwap),
     Feature("money_flow_index", "window", volume.money_flow_index, back=14),
     Feature("relative_strength_index", "kernel", kernels=(rec.rsi_kernel(),)),
@@ -95,7 +97,13 @@ for _f in [
     Feature("stl_decomposition", "kernel", decompose.with_stl_strength, kernels=(decompose.stl_kernel(),)),
     Feature("mstl_decomposition", "kernel", kernels=(decompose.mstl_kernel(),)),
     Feature("holiday_features", "row", calendar.holiday_features),
-    Feature("volatility_regimes", "window", regime.volatility_regimes, back=120),
+    Feature(
+        "volatility_regimes",
+        "window",
+        regime.volatility_regimes,
+        back=120,
+        kernels=(regime.rank_kernel(),),
+    ),
     Feature(
         "trend_strength_indicators",
         "window",
@@ -193,7 +201,7 @@ def generate(
         size = block_rows(back, ahead, rows)
         df = with_halo(df, back, ahead, size)
         df = add_layers(df, windows, Frames(tuple(by), size), strict)
-        df = own_rows(df, back, ahead, size)
+        df = own_rows(df, back, ahead, size, keep_block=True)
 
     carry = {col: kind for f in windows for col, kind in f.carry if col in df.columns}
     if carry:
@@ -201,13 +209,15 @@ def generate(
         df = running(df, {n: (kind, n) for n, kind in carry.items()}, by, rows)
         if "state_duration" in carry:
             df = df.withColumn("state_duration", F.col("_i") - F.col("state_duration") + 1)
-        df = df.select(*[F.col(f"`{n}`") for n in order])
+        df = df.select(*[F.col(f"`{n}`") for n in order if n != "_blk"])
+    df = df.drop("_blk")
     for f in features:
         if f.kind == "series" and f.needs:
             df = attempt(f, lambda d, f=f: f.fn(d, by=by), df)
         elif f.kind == "row":
             df = attempt(f, f.fn, df)
-    return df if keep_position else df.drop("_i", "_n")
+    temps = [n for n in df.columns if n.startswith("_") and n not in ("_i", "_n")]
+    return df.drop(*temps) if keep_position else df.drop("_i", "_n", *temps)
 
 
 def add_layers(df: DataFrame, features: list[Feature], fr: Frames, strict: bool) -> DataFrame:

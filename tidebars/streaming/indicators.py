@@ -89,35 +89,46 @@ class Indicators(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", STATE)
-        self.held = handle.getMapState(
-            "held", "ms long", "o double, h double, l double, c double, v double"
+        self.held = handle.getListState(
+            "held", "ms long, o double, h double, l double, c double, v double"
         )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
+        new = []
         for pdf in rows:
             for r in pdf.itertuples(index=False):
                 ms = int(r.ts.timestamp() * 1000)
                 # Bars at or before the watermark are late: their place has been taken.
                 if ms > mark:
-                    first = not self.held.containsKey((ms,))
-                    self.held.updateValue((ms,), (r.open, r.high, r.low, r.close, float(r.volume)))
-                    if first:
-                        self.handle.registerTimer(ms)
+                    new.append((ms, r.open, r.high, r.low, r.close, float(r.volume)))
+        if new:
+            self.held.appendList(new)
+            self.handle.registerTimer(min(n[0] for n in new))
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # Timers of a key expire in time order.
-        ms = expiredTimerInfo.getExpiryTimeInMs()
-        bar = self.held.getValue((ms,))
-        if bar is None:
+        mark = timerValues.getCurrentWatermarkInMs()
+        bars, later = {}, []
+        for ms, *bar in self.held.get():
+            if ms <= mark:
+                bars[ms] = bar  # of several updates the newest counts
+            else:
+                later.append((ms, *bar))
+        if not bars:
             yield pd.DataFrame()
             return
-        self.held.removeKey((ms,))
-        old = dict(zip(FIELDS, self.state.get())) if self.state.exists() else None
-        new = _step(old, *bar)
-        self.state.update(tuple(new[f] for f in FIELDS))
-        yield pd.DataFrame([_row(key[0], pd.Timestamp(ms, unit="ms"), new)])
+        self.held.clear()
+        if later:
+            self.held.appendList(later)
+            self.handle.registerTimer(min(n[0] for n in later))
+        state = dict(zip(FIELDS, self.state.get())) if self.state.exists() else None
+        out = []
+        for ms in sorted(bars):
+            state = _step(state, *bars[ms])
+            out.append(_row(key[0], pd.Timestamp(ms, unit="ms"), state))
+        self.state.update(tuple(state[f] for f in FIELDS))
+        yield pd.DataFrame(out)
 
     def close(self) -> None:
         pass
