@@ -108,7 +108,7 @@ def rsi_kernel(n: int = 14) -> Kernel:
         if start and len(b) < n:
             return {name: np.full(len(b), np.nan)}
         g, l = _wilder(gain, n, start, np.mean), _wilder(loss, n, start, np.mean)
-        with np.errstate(divide="ignore", invalid="ignore"):
+        with np.errstate(all="ignore"):
             return {name: 100 - 100 / (1 + g / l)}
 
     return Kernel((name,), memory_rows(1 - 1 / n, ratio=True) + 1, fn)
@@ -124,7 +124,7 @@ def adx_kernel(n: int = 14) -> Kernel:
             none = np.full(len(b), np.nan)
             return {"+di": none, "-di": none, "adx": none}
         tr, p, m = (_wilder(x, n, start, np.mean) for x in (true_range(b), plus, minus))
-        with np.errstate(divide="ignore", invalid="ignore"):
+        with np.errstate(all="ignore"):
             pdi, mdi = 100 * (p / tr), 100 * (m / tr)
             dx = 100 * np.abs(pdi - mdi) / (pdi + mdi)
         adx = np.full(len(b), np.nan)

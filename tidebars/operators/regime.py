@@ -35,9 +35,9 @@ def rank_kernel(short: int = 20, long: int = 100) -> Kernel:
         close = b["close"].to_numpy(float)
         out = np.full(len(b), np.nan)
         if len(b) >= short + long:
-            with np.errstate(divide="ignore", invalid="ignore"):
+            with np.errstate(all="ignore"):
                 returns = close[1:] / close[:-1] - 1
-            vol = sliding_window_view(returns, short).std(axis=1, ddof=1)
+                vol = sliding_window_view(returns, short).std(axis=1, ddof=1)
             windows = sliding_window_view(vol, long)
             now = windows[:, -1:]
             rank = (windows < now).sum(axis=1) + ((windows == now).sum(axis=1) + 1) / 2

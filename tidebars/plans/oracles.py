@@ -749,7 +749,10 @@ ORACLES["t09_one_hot"] = sql(
 ORACLES["t10_transform"] = sql(
     SMALL
     + f""",
-k1 AS (SELECT * REPLACE (i - 200 AS i) FROM sf WHERE i >= 200 AND n > 200),
+kn AS (SELECT avg((sma_200 IS NULL)::INT) AS s200, avg((sma_50 IS NULL)::INT) AS s50 FROM sf),
+k0 AS (SELECT sf.*, CASE WHEN n > 200 AND s200 <= 0.5 THEN 200 WHEN n > 50 AND s50 <= 0.5 THEN 50 WHEN n > 20 THEN 20
+  WHEN n > 10 THEN 10 WHEN n > 5 THEN 5 ELSE 0 END AS cut FROM sf, kn),
+k1 AS (SELECT * REPLACE (i - cut AS i) FROM k0 WHERE i >= cut),
 k2 AS (SELECT *, ln(1 + volume) AS lv FROM k1),
 k3 AS (SELECT *, {zscore("close")} AS zc, {zscore("lv")} AS zv, {zscore("roc_5")} AS zr, {minmax("mfi")} AS mm FROM k2)""",
     out({"close": back("zc"), "close_og": "close", "volume": back("zv"), "sma_20": "sma_20", "roc_5": back("zr"), "mfi": back("mm")}, "k3"),

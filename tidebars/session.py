@@ -19,6 +19,8 @@ def get_spark(app: str = "tidebars", master: str | None = None, **conf: str) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # A plan with all features compiles more classes than the default cache (100) holds.
+        "spark.sql.codegen.cache.maxEntries": "4000",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
