@@ -148,15 +148,15 @@ def running(
     if "_blk" not in df.columns:
         # With blocks of its own, a table from the window stage needs no second shuffle.
         df = df.withColumn("_blk", home_block(block_rows(0, 0, rows)))
+    start = Window.unboundedPreceding
     inner = Window.partitionBy(*by, "_blk").orderBy("_i")
-    upto, onward = inner.rowsBetween(Window.unboundedPreceding, 0), inner.rowsBetween(
-        0, Window.unboundedFollowing
-    )
-    before = inner.rowsBetween(Window.unboundedPreceding, -1)
+    upto, before = inner.rowsBetween(start, 0), inner.rowsBetween(start, -1)
     outer = Window.partitionBy(*by).orderBy("_blk")
-    earlier, later = outer.rowsBetween(Window.unboundedPreceding, -1), outer.rowsBetween(
-        1, Window.unboundedFollowing
-    )
+    earlier = outer.rowsBetween(start, -1)
+    # Looking ahead is looking back in reverse order: a frame that ends at the last row
+    # is built anew for every row, one that starts at the first row only grows.
+    onward = Window.partitionBy(*by, "_blk").orderBy(F.desc("_i")).rowsBetween(start, 0)
+    later = Window.partitionBy(*by).orderBy(F.desc("_blk")).rowsBetween(start, -1)
 
     summary, carry, local, final = [], [], {}, {}
     for out, (kind, col) in specs.items():
@@ -184,8 +184,8 @@ def running(
             final[out] = F.coalesce(c(v), c(k))
         elif kind == "next":
             summary.append(F.min_by(x, known).alias(s))
-            carry.append(F.first(c(s), ignorenulls=True).over(later).alias(k))
-            local[v] = F.first(x, ignorenulls=True).over(onward)
+            carry.append(F.last(c(s), ignorenulls=True).over(later).alias(k))
+            local[v] = F.last(x, ignorenulls=True).over(onward)
             final[out] = F.coalesce(c(v), c(k))
         else:
             raise ValueError(f"unknown running kind {kind!r}")
