@@ -48,11 +48,12 @@ def query(name: str):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # The tables hold stamps without a zone; they are read as UTC.
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return table(spark, sf_dir, "events").select(
         F.col("event_type").alias("symbol"),
         F.col("ts").cast("timestamp").alias("ts"),
@@ -71,7 +72,6 @@ def bars_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     trades = table(spark, sf_dir, "orders").select(
         F.col("o_orderpriority").alias("symbol"),
         F.col("o_orderdate").cast("timestamp").alias("ts"),
@@ -779,7 +779,6 @@ def _(spark, sf):
 
 def _stream(spark, sf) -> DataFrame:
     """The events table as a stream of ticks."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     schema = table(spark, sf, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     return raw.select(
