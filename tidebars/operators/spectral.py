@@ -128,11 +128,19 @@ def spectrum_peaks(
 
 
 def dominant_cycles(
-    df: DataFrame, col: str = "log_return", top: int = 5, by=SERIES, one_task: int = ONE_TASK
+    df: DataFrame,
+    col: str = "log_return",
+    top: int = 5,
+    by=SERIES,
+    one_task: int = ONE_TASK,
+    values: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``fft_dominant_periods`` (all, sorted) and ``fft_cycles`` with the phase of each
-    usable period: at least 2 rows and at most a third of the series."""
-    peaks = spectrum_peaks(df, col, top, by, one_task)
+    usable period: at least 2 rows and at most a third of the series.
+
+    ``values`` may hold the same series in a table that is cheaper to read than ``df``.
+    """
+    peaks = spectrum_peaks(df if values is None else values, col, top, by, one_task)
     period = F.rint(1 / (F.col("_k") / F.col("_m"))).cast("int")
     usable = (period >= 2) & (period <= F.floor(F.col("_m") / 3))
     stats = peaks.groupBy(*by).agg(

@@ -191,6 +191,7 @@ def generate(
         elif f.kind == "series" and not f.needs:
             df = attempt(f, lambda d, f=f: f.fn(d, by=by, rows=rows), df)
 
+    base = df
     windows = [f for f in features if f.kind == "window"]
     if windows:
         # Windows of windows: a feature that builds on others adds to their reach.
@@ -213,13 +214,21 @@ def generate(
     df = df.drop("_blk")
     for f in features:
         if f.kind == "series" and f.needs:
-            df = attempt(f, lambda d, f=f: f.fn(d, by=by), df)
+            # Its own pass reads the narrow base table, not the plan of all windows.
+            values = base_returns(base, by, rows)
+            df = attempt(f, lambda d, f=f, v=values: f.fn(d, by=by, values=v), df)
         elif f.kind == "row":
             df = attempt(f, f.fn, df)
     temps = [n for n in df.columns if n.startswith("_") and n not in ("_i", "_n")]
     return df.drop(*temps) if keep_position else df.drop("_i", "_n", *temps)
 
 
+def base_returns(base: DataFrame, by, rows: int | None) -> DataFrame:
+    fr = Frames(tuple(by))
+    narrow = with_halo(base.select(*by, "_i", "_n", "close"), 1, 0, rows)
+    return own_rows(narrow.withColumns(next(price.log_returns(fr, set()))), 1, 0, rows)
+
+
 def add_layers(df: DataFrame, features: list[Feature], fr: Frames, strict: bool) -> DataFrame:
     """Run the features' layers side by side: layer k of all of them is one projection."""
     open_: dict[str, Iterator] = {}
