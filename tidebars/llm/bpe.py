@@ -16,6 +16,7 @@ repeated rows are encoded each; an empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import re
 import uuid
@@ -48,7 +49,7 @@ def byte_alphabet() -> dict[str, int]:
 class Codec:
     """Encodes and decodes with one vocabulary file; remembers units up to ``limit``."""
 
-    def __init__(self, path: str, limit: int = 300_000) -> None:
+    def __init__(self, path: str, limit: int = 700_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -111,8 +112,8 @@ class Codec:
     def learn(self, units: set[bytes]) -> None:
         new = [u for u in units if u not in self.units]
         if len(self.units) + len(new) > self.limit:
-            self.units.clear()
-            new = list(units)
+            self.units = dict(itertools.islice(self.units.items(), self.limit // 2))  # what came first comes often
+            new = [u for u in units if u not in self.units]
         for k in range(0, len(new), 256):
             some = new[k : k + 256]
             ids = self.tok.encode_batch_fast([self.sentinel.join(u.decode() for u in some)], add_special_tokens=False)[0].ids

@@ -17,6 +17,7 @@ each; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import itertools
 import os
 import random
 import zlib
@@ -44,7 +45,7 @@ class WordEncoder:
     remembered, up to ``limit`` of them.
     """
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 1_200_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -58,21 +59,39 @@ class WordEncoder:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def learn(self, words: set[bytes]) -> None:
+        """Add words; capitals and closing stops add no new encoding.
+
+        Beyond ``limit`` the later half goes: what came first is mostly what comes often.
+        """
         new = [w for w in words if w not in self.words]
         if len(self.words) + len(new) > self.limit:
-            self.words.clear()
-            new = list(words)
-        for k in range(0, len(new), 512):
-            plain = [w for w in new[k : k + 512] if b"<|" not in w]
-            for w in new[k : k + 512]:
-                if b"<|" in w:
-                    self.words[w] = self.alone(w.decode()).tobytes()
-            ids = self.alone(self.mark.join(w.decode() for w in plain))
+            self.words = dict(itertools.islice(self.words.items(), self.limit // 2))
+            new = [w for w in words if w not in self.words]
+        plain: dict[bytes, None] = {}
+        stems: dict[bytes, tuple[bytes, bytes]] = {}
+        for w in new:
+            if b"<|" in w:
+                self.words[w] = self.alone(w.decode()).tobytes()
+                continue
+            low = w.lower()
+            stem = low.rstrip(b".,")
+            if len(stem) == len(low) or not stem.decode()[-1:].isalpha():
+                stem = low
+            stems[w] = (stem, low[len(stem) :])
+            for part in stems[w]:
+                if part and part not in self.words:
+                    plain[part] = None
+        todo = list(plain)
+        for k in range(0, len(todo), 512):
+            some = todo[k : k + 512]
+            ids = self.alone(self.mark.join(w.decode() for w in some))
             ends = [*np.flatnonzero(ids == self.mark_id), len(ids)]
             at = 0
-            for w, end in zip(plain, ends, strict=True):
+            for w, end in zip(some, ends, strict=True):
                 self.words[w] = ids[at:end].tobytes()
                 at = end + 1
+        for w, (stem, stop) in stems.items():
+            self.words[w] = self.words[stem] + self.words[stop] if stop else self.words[stem]
 
     def encode(self, docs: list[bytes]) -> list[bytes]:
         split = [d.split() for d in docs]
