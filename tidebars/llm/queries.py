@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebars.llm import bpe, packing, urls
+from tidebars.llm import bpe, exact_dedup, language, packing, quality, toxicity, urls
 from tidebars.llm.common import read
 
 RULES = (
@@ -22,6 +22,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages", "page_id", "url"), RULES)
 
@@ -30,15 +34,33 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("word_bpe_49k.json"))
 
 
+def op5_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+def op6_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op7_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_rules, op4_best_fit_packing, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_url_rules, op4_best_fit_packing, op5_language_families, op6_quality_votes, op7_toxicity_pu, op10_bpe_round_trip)}
 
 _RULE_ROWS = ", ".join(f"('{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{r}', '{v}')" for r, v in RULES)
 
 ORACLES = {
+    "op1_exact_dedup": r"""
+        WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
+        SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+               doc_id = min(doc_id) OVER w AS kept, sha256(body) AS text_sha256
+        FROM t WINDOW w AS (PARTITION BY body)
+    """,
     "op2_url_rules": rf"""
         WITH cut AS (
             SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
