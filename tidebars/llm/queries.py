@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebars.llm import bpe, exact_dedup, language, packing, pii, quality, toxicity, urls
+from tidebars.llm import bpe, exact_dedup, language, near_dup, packing, pii, quality, toxicity, urls
 from tidebars.llm.common import read
 
 RULES = (
@@ -30,6 +30,10 @@ def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages", "page_id", "url"), RULES)
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), width=3, percent=85)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("word_bpe_49k.json"))
 
@@ -54,7 +58,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_url_rules, op4_best_fit_packing, op5_language_families, op6_quality_votes, op7_toxicity_pu, op8_personal_data, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_url_rules, op3_near_duplicates, op4_best_fit_packing, op5_language_families, op6_quality_votes, op7_toxicity_pu, op8_personal_data, op10_bpe_round_trip)}
 
 _RULE_ROWS = ", ".join(f"('{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{r}', '{v}')" for r, v in RULES)
 
