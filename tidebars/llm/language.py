@@ -153,19 +153,24 @@ def fit(docs: DataFrame, per_language: int = 1000, most: int = 12_000) -> Hierar
     return Hierarchy.fitted(np.stack([np.frombuffer(r["x"], "f2") for r in rows]).astype("f4"), [r["lang"] for r in rows])
 
 
+def judge(model: Hierarchy, docs: list[bytes]) -> tuple[list[str], np.ndarray]:
+    """Language and score of texts."""
+    known = [bool(model.languages) and bool(ASCII_LETTER.search(t) or LETTER.search(t.decode("utf-8", "replace"))) for t in docs]
+    lang, score = [UNKNOWN] * len(docs), np.zeros(len(docs))
+    rows = np.flatnonzero(known)
+    if len(rows):
+        best, score[rows] = model.predict(profiles([docs[k] for k in rows]))
+        for k, b in zip(rows, best, strict=True):
+            lang[k] = model.languages[b]
+    return lang, score
+
+
 def predict(docs: DataFrame, model: Hierarchy) -> DataFrame:
     """One row for each document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few vectors for each pair of related languages
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m, docs = shared.value, texts(batch)
-        known = [bool(m.languages) and bool(ASCII_LETTER.search(t) or LETTER.search(t.decode("utf-8", "replace"))) for t in docs]
-        lang, score = [UNKNOWN] * len(docs), np.zeros(len(docs))
-        rows = np.flatnonzero(known)
-        if len(rows):
-            best, score[rows] = m.predict(profiles([docs[k] for k in rows]))
-            for k, b in zip(rows, best, strict=True):
-                lang[k] = m.languages[b]
+        lang, score = judge(shared.value, texts(batch))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     data = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
@@ -174,3 +179,14 @@ def predict(docs: DataFrame, model: Hierarchy) -> DataFrame:
 
 def identify(docs: DataFrame, per_language: int = 1000) -> DataFrame:
     return predict(docs, fit(docs, per_language))
+
+
+def accepted(docs: DataFrame, per_language: int = 1000) -> DataFrame:
+    """The documents whose language is known, with all columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, per_language))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lang, _ = judge(shared.value, texts(batch))
+        return batch.filter(pa.array([v != UNKNOWN for v in lang]))
+
+    return map_arrow(docs, run, docs.schema)

@@ -49,7 +49,7 @@ OTHER_STOP = re.compile(rb"(?<![a-z0-9])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[.
 
 def plain_latin(word: str) -> bool:
     """Letters of the Latin blocks in composed form, whose classes and lower case all libraries agree on."""
-    return word.isalpha() and max(word) < "\u0250" and unicodedata.is_normalized("NFC", word)
+    return word.isalpha() and word.lower().isalpha() and max(word) < "\u0250" and unicodedata.is_normalized("NFC", word)
 
 
 class WordEncoder:

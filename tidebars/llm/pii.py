@@ -83,15 +83,15 @@ def matches(kind: str, pattern: str) -> str:
 
 
 def search(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Numbered rows (row, doc_id), and all matches: row, kind, start, end, text and context.
+    """Numbered rows (row, doc_id, text_key), and all matches: row, kind, start, end, text and context.
 
     Gaps and matches laid end to end give the places: a running sum over the matches of a row and kind.
     """
     every = ", ".join(matches(k, p) for k, p in {**BASE, **CANDIDATES}.items())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    hits = materialize(texts.selectExpr("doc_id", "monotonically_increasing_id() AS row", f"concat({every}) AS hits"))
+    hits = materialize(texts.selectExpr("doc_id", "monotonically_increasing_id() AS row", "xxhash64(text) AS text_key", f"concat({every}) AS hits"))
     placed = hits.selectExpr("row", "inline(hits)").withColumn("e", F.expr("sum(g + length(m)) OVER (PARTITION BY row, kind ORDER BY k)"))
-    return hits.select("row", "doc_id"), placed.select("row", "kind", (F.col("e") - F.length("m")).alias("s"), "e", "m", "before")
+    return hits.select("row", "doc_id", "text_key"), placed.select("row", "kind", (F.col("e") - F.length("m")).alias("s"), "e", "m", "before")
 
 
 def features(c: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def _listed(array: str) -> str:
 
 
 def detect(docs: DataFrame, most: int = 20_000, precision: float = 0.9) -> DataFrame:
-    """row, doc_id, base and all spans of every document. ``row`` numbers rows."""
+    """row, doc_id, key of the text, base and all spans of every document. ``row`` numbers rows."""
     rows, placed = search(docs)
     valid = "CASE kind " + " ".join(f"WHEN '{k}' THEN {_valid(k)}" for k in BASE) + " ELSE true END"
     placed = materialize(placed.where(valid))
@@ -193,11 +193,26 @@ def detect(docs: DataFrame, most: int = 20_000, precision: float = 0.9) -> DataF
     added = more.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("n", "s", F.expr(RANK).alias("rank"), "e", "kind"))).alias("c")).selectExpr("row", f"{taken} AS added")
     none = f"cast(array() AS {LIST})"
     free = "filter(added, x -> NOT exists(base, b -> b.s < x.e AND x.s < b.e))"
-    both = rows.join(base, "row", "left").join(added, "row", "left").selectExpr("row", "doc_id", f"coalesce(base, {none}) AS base", f"coalesce(added, {none}) AS added")
-    return both.selectExpr("row", "doc_id", "base", f"sort_array(concat(base, {free})) AS spans")
+    both = rows.join(base, "row", "left").join(added, "row", "left").selectExpr("row", "doc_id", "text_key", f"coalesce(base, {none}) AS base", f"coalesce(added, {none}) AS added")
+    return both.selectExpr("row", "doc_id", "text_key", "base", f"sort_array(concat(base, {free})) AS spans")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """Counts and digest of base spans, and the list of all."""
     counts = [f"size(filter(base, x -> x.kind = '{k}'))::long AS n_{k}" for k in BASE]
     return detect(docs).selectExpr("doc_id", *counts, f"sha2({_listed('base')}, 256) AS base_sha256", f"{_listed('spans')} AS spans")
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """The documents with ``[KIND]`` in place of every span; overlapping spans become one. All columns stay,
+    n_chars follows the new text if it is there."""
+    named = {"doc_id": "_id", "text_key": "_key", "spans": "_spans"}
+    spans = detect(docs).where("size(spans) > 0").selectExpr(*(f"{a} AS {b}" for a, b in named.items())).dropDuplicates(["_id", "_key"])
+    joined = docs.join(spans, docs["doc_id"].cast("long").eqNullSafe(spans["_id"]) & (F.xxhash64(F.coalesce("text", F.lit(""))) == spans["_key"]), "left")
+    step = """if(x.s < a.at, named_struct('out', a.out, 'at', greatest(a.at, x.e)), named_struct(
+        'out', concat(a.out, substring(text, int(a.at) + 1, int(x.s - a.at)), '[', upper(x.kind), ']'), 'at', x.e))"""
+    text = f"if(_spans IS NULL, text, aggregate(_spans, named_struct('out', '', 'at', 0L), (a, x) -> {step}, a -> concat(a.out, substring(text, int(a.at) + 1))))"
+    out = joined.withColumn("text", F.expr(text))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*docs.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebars.llm import bpe, exact_dedup, language, near_dup, packing, pii, quality, toxicity, urls
+from tidebars.llm import bpe, exact_dedup, language, near_dup, packing, pii, quality, suffix_dedup, toxicity, urls
 from tidebars.llm.common import read
 
 RULES = (
@@ -54,11 +54,15 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_url_rules, op3_near_duplicates, op4_best_fit_packing, op5_language_families, op6_quality_votes, op7_toxicity_pu, op8_personal_data, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_url_rules, op3_near_duplicates, op4_best_fit_packing, op5_language_families, op6_quality_votes, op7_toxicity_pu, op8_personal_data, op9_repeated_passages, op10_bpe_round_trip)}
 
 _RULE_ROWS = ", ".join(f"('{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{r}', '{v}')" for r, v in RULES)
 
