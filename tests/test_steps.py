@@ -147,10 +147,18 @@ def test_spread_fft_equals_one_fft(spark, n):
     x = rng.normal(size=n) + np.sin(2 * np.pi * np.arange(n) / 12.3)
     pdf = pd.DataFrame({"symbol": "s", "ts": np.arange(n), "log_return": x})
     df = with_position(spark.createDataFrame(pdf))
-    key = ["_k", "power"]
-    one = spectrum_peaks(df).toPandas().sort_values("_k")[key].to_numpy()
-    many = spectrum_peaks(df, one_task=1).toPandas().sort_values("_k")[key].to_numpy()
-    np.testing.assert_allclose(many, one, rtol=1e-8)
+    got = spectrum_peaks(df).toPandas().sort_values("_k")
+    power = np.abs(np.fft.rfft(x))[1 : (n - 1) // 2 + 1] ** 2
+    best = np.sort(np.argsort(-power, kind="stable")[:5])
+    assert (got["_k"].to_numpy() == best + 1).all()
+    np.testing.assert_allclose(got["power"], power[best], rtol=1e-8)
+
+
+def test_equal_powers_go_to_the_slower_cycles(spark):
+    """The powers of one impulse are all equal but for rounding noise."""
+    pdf = pd.DataFrame({"symbol": "s", "ts": np.arange(64), "log_return": np.eye(64)[5]})
+    got = spectrum_peaks(with_position(spark.createDataFrame(pdf))).collect()
+    assert sorted(r["_k"] for r in got) == [1, 2, 3, 4, 5]
 
 
 def test_cycle_is_found(spark):

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidebars.functions.columns import join_small
+
 TAU = 2 * math.pi
-HOLIDAY_YEARS = (1900, 2100)
 
 
 def _cycle(name: str, share: Column) -> dict[str, Column]:
@@ -78,30 +79,24 @@ def is_us_holiday(d: Column) -> Column:
     )
 
 
-def holiday_calendar(spark: SparkSession, years: tuple[int, int] = HOLIDAY_YEARS) -> DataFrame:
-    """Days with a holiday today or within 29 days: at most one row per day of the years."""
-    first, last = F.lit(f"{years[0]}-01-01").cast("date"), F.lit(f"{years[1]}-12-31").cast("date")
-    days = (years[1] - years[0] + 1) * 366
-    holidays = (
-        spark.range(days)
-        .select(F.date_add(first, F.col("id").cast("int")).alias("h"))
-        .where((F.col("h") <= last) & is_us_holiday(F.col("h")))
-    )
-    ahead = holidays.select("h", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("k"))
-    return ahead.groupBy(F.date_sub("h", F.col("k")).alias("_day")).agg(
-        F.max(F.when(F.col("k") == 0, 1).otherwise(0)).alias("is_holiday"),
-        F.min(F.when(F.col("k") > 0, F.col("k"))).alias("days_to_next_holiday"),
+def holiday_calendar(days: DataFrame) -> DataFrame:
+    """For a table of dates ``_day``: whether it is a holiday, and the days to the next one within 29, else 0."""
+    day = F.col("_day")
+    ahead = F.filter(F.sequence(F.lit(1), F.lit(29)), lambda k: is_us_holiday(F.date_add(day, k)))
+    return days.select(
+        "_day",
+        is_us_holiday(day).cast("int").alias("is_holiday"),
+        F.coalesce(F.array_min(ahead), F.lit(0)).alias("days_to_next_holiday"),
     )
 
 
-def holiday_features(df: DataFrame, years: tuple[int, int] = HOLIDAY_YEARS) -> DataFrame:
-    """Holiday flag, and days to the next holiday within 29 days, else 0."""
-    cal = holiday_calendar(df.sparkSession, years)
-    # The calendar has a fixed size (under 75,000 small rows), so the broadcast is bounded.
-    out = df.withColumn("_day", F.to_date("ts")).join(F.broadcast(cal), "_day", "left")
-    return out.withColumns(
-        {
-            "is_holiday": F.coalesce("is_holiday", F.lit(0)),
-            "days_to_next_holiday": F.coalesce("days_to_next_holiday", F.lit(0)),
-        }
-    ).drop("_day")
+def holiday_features(df: DataFrame) -> DataFrame:
+    """Holiday flag, and days to the next holiday within 29 days, else 0; 0 for rows without a stamp.
+
+    The rules are looked up for the distinct dates of the table, whatever their years. ``df`` is read
+    twice, so pass a table or a cheap plan.
+    """
+    dated = df.withColumn("_day", F.to_date("ts"))
+    cal = holiday_calendar(dated.select("_day").where(F.col("_day").isNotNull()).distinct())
+    out = join_small(dated, cal, ["_day"], "left")
+    return out.withColumns({n: F.coalesce(n, F.lit(0)) for n in ("is_holiday", "days_to_next_holiday")}).drop("_day")

@@ -75,7 +75,9 @@ def interpolate(df: DataFrame, cols: list[str], by=SERIES, rows: int | None = No
 def fill_missing(df: DataFrame, by=SERIES, rows: int | None = None) -> DataFrame:
     """Fill NULL bars in time order. ``df`` is positioned, or has ``ts`` (and ``seq``)."""
     if "_i" not in df.columns:
-        df = with_position(df, by, present(df, ["ts", "seq"]))
+        # Without ``seq`` all columns order the copies of a stamp, so that the result does not depend on the shuffle.
+        ties = ["seq"] if "seq" in df.columns else [n for n in df.columns if n not in (*by, "ts")]
+        df = with_position(df, by, [*present(df, ["ts"]), *ties])
     order = df.columns
     cols = present(df, OHLCV)
     df = df.withColumns({n: c(n).cast("double") for n in cols})
@@ -114,7 +116,7 @@ def fill_missing(df: DataFrame, by=SERIES, rows: int | None = None) -> DataFrame
 
 
 def drop_duplicates(df: DataFrame, by=SERIES, first: str | None = None) -> DataFrame:
-    """One row per series and stamp, the one with the smallest ``first`` column.
+    """One row per series and stamp, the one with the smallest ``first`` column (NULL last).
 
     An aggregate, not a window: a stamp copied a billion times is reduced before the
     shuffle. Without a ``ts`` column only identical rows go.
@@ -122,22 +124,25 @@ def drop_duplicates(df: DataFrame, by=SERIES, first: str | None = None) -> DataF
     if "ts" not in df.columns:
         return df.dropDuplicates()
     rest = [n for n in df.columns if n not in (*by, "ts")]
-    order = c(first) if first else F.struct(*[c(n) for n in rest])
+    # The order is never NULL, so copies without ``first`` keep their values; ties go by all columns.
+    lead = [c(first).isNull().alias("_no"), c(first).alias("_first")] if first else []
+    order = F.struct(*lead, *[c(n) for n in rest])
     kept = df.groupBy(*by, "ts").agg(F.min_by(F.struct(*[c(n) for n in rest]), order).alias("_r"))
     return kept.select(*by, "ts", "_r.*").select(*[c(n) for n in df.columns])
 
 
-def bar_interval(df: DataFrame, by=SERIES, rows: int | None = None) -> DataFrame:
+def bar_interval(df: DataFrame, by=SERIES, rows: int | None = None, copies: bool = True) -> DataFrame:
     """Per series: the commonest step (the smallest on ties), the largest, first and last stamp.
 
-    ``df`` has ``_i`` in time order; it may have holes.
+    ``df`` has ``_i`` in time order; it may have holes. Without ``copies`` steps of 0 do not count.
     """
     steps = running(df.select(*by, "ts", "_i"), {"_before": ("prior", "ts")}, by, rows)
     steps = steps.withColumn("_step", F.unix_micros("ts") - F.unix_micros("_before"))
     counts = steps.groupBy(*by, "_step").agg(
         F.count(F.lit(1)).alias("_c"), F.min("ts").alias("_first"), F.max("ts").alias("_last")
     )
-    common = F.max_by("_step", F.when(F.col("_step").isNotNull(), F.struct("_c", -F.col("_step"))))
+    counts_ = F.col("_step").isNotNull() if copies else F.col("_step") > 0
+    common = F.max_by("_step", F.when(counts_, F.struct("_c", -F.col("_step"))))
     return counts.groupBy(*by).agg(
         common.alias("interval_us"),
         F.max("_step").alias("largest_us"),
@@ -172,17 +177,14 @@ def fill_gaps(
 ) -> DataFrame:
     """Put series that have a step over ``factor`` intervals on a regular grid.
 
-    Rows off the grid are dropped, prices are carried forward, volume is 0 in gaps.
-    Series without such a gap stay as they are.
+    Rows off the grid are dropped (``grid_report`` counts them), prices are carried forward, volume is 0
+    in gaps. Series without such a gap stay as they are.
     """
     order = [n for n in df.columns if n not in ("_i", "_n")]
     # Positions with holes will do here: only their order counts.
     df = materialize(df) if "_i" in df.columns else with_position(df, by)
     df = df.drop("_n")
-    info = bar_interval(df, by, rows).withColumn(
-        "_gappy", F.coalesce(F.col("largest_us") > F.col("interval_us") * factor, F.lit(False))
-    )
-    info = materialize(info)
+    info = materialize(_grids(df, by, rows, factor))
     marked = join_small(df, info.select(*by, "_gappy"), list(by))
     grid = time_grid(info.where("_gappy"), by)
     bars = marked.where("_gappy").drop("_gappy", "_i")
@@ -197,6 +199,31 @@ def fill_gaps(
     return filled.select(*[c(n) for n in order])
 
 
+def _grids(df: DataFrame, by, rows: int | None, factor: float) -> DataFrame:
+    return bar_interval(df, by, rows, copies=False).withColumn(
+        "_gappy", F.coalesce(F.col("largest_us") > F.col("interval_us") * factor, F.lit(False))
+    )
+
+
+def grid_report(df: DataFrame, by=SERIES, rows: int | None = None, factor: float = 1.5) -> DataFrame:
+    """Per series what ``fill_gaps`` does: the interval, rows there are, rows it drops because they lie off
+    the grid, and stamps it adds."""
+    df = materialize(df) if "_i" in df.columns else with_position(df, by)
+    info = materialize(_grids(df, by, rows, factor))
+    at = F.unix_micros("ts") - F.unix_micros("first_ts")
+    marked = join_small(df, info, list(by)).withColumn("_on", at % F.col("interval_us") == 0)
+    counts = marked.groupBy(*by).agg(
+        F.first("interval_us").alias("interval_us"),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col("_gappy") & ~F.col("_on")).alias("n_off_grid"),
+        F.max(F.when(F.col("_gappy"), (F.unix_micros("last_ts") - F.unix_micros("first_ts")) / F.col("interval_us"))).alias("_steps"),
+    )
+    held = marked.where(F.col("_gappy") & F.col("_on")).select(*by, "ts").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("_held"))
+    added = F.floor("_steps") + 1 - F.coalesce("_held", F.lit(0))
+    out = join_small(counts, held, list(by), "left")
+    return out.select(*by, "interval_us", "n_rows", "n_off_grid", F.coalesce(added, F.lit(0)).alias("n_added"))
+
+
 def outlier_bounds(df: DataFrame, by=SERIES) -> DataFrame:
     """Per series: price bounds Q1-2*IQR and Q3+2*IQR, and the cap of positive volumes."""
     prices = present(df, PRICES)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tidebars.functions.columns import join_small, tdiv
 from tidebars.operators.blocks import SERIES, Frames, own_rows, with_halo
 from tidebars.operators.recurrences import Kernel
+from tidebars.session import materialize
 
 PERIOD = 160
 STL_SEASONAL = 13
@@ -29,7 +30,7 @@ def classical(df: DataFrame, period: int = PERIOD, by=SERIES, rows: int | None =
     """Centred moving average, phase means of what is left, and the remainder.
 
     Trend ends are straight lines through the nearest ``period`` trend values. Series
-    shorter than two periods get NULLs. ``df`` must be positioned; it is read three times.
+    shorter than two periods get NULLs. ``df`` must be positioned.
     """
     half = period // 2
     fr = Frames(tuple(by))
@@ -42,7 +43,8 @@ def classical(df: DataFrame, period: int = PERIOD, by=SERIES, rows: int | None =
         mean = (F.sum("close").over(span) - 0.5 * edges) / period
     full = (F.col("_i") >= half) & (F.col("_i") < F.col("_n") - half)
     seated = seated.withColumn("_mid", F.when(full & (F.col("_n") >= 2 * period), mean))
-    mids = own_rows(seated, half, half, rows)
+    # Read by the ends, the phases and the result.
+    mids = materialize(own_rows(seated, half, half, rows))
 
     first, last = F.lit(half), F.col("_n") - 1 - half
     at_head = (F.col("_i") >= first) & (F.col("_i") < F.least(first + period, last))

@@ -46,15 +46,24 @@ def codes(df: DataFrame, col: str) -> DataFrame:
 
 
 def encode_categories(
-    df: DataFrame, target: str | None = None, keep: list[str] = ("symbol",)
+    df: DataFrame,
+    target: str | None = None,
+    keep: list[str] = ("symbol",),
+    limit: int = ONE_HOT_LIMIT,
+    values: dict[str, list[str]] | None = None,
 ) -> DataFrame:
-    """One-hot columns (first value dropped) up to ten values, sorted codes beyond."""
+    """One-hot columns (first value dropped) up to ``limit`` values, sorted codes beyond.
+
+    Which of the two a column gets depends on the data; columns named in ``values`` are one-hot over
+    the values given there, so their schema does not.
+    """
+    values = values or {}
     cols = string_columns(df, [*keep, *([target] if target else [])])
-    sizes = distinct_counts(df, cols)
+    sizes = distinct_counts(df, [n for n in cols if n not in values])
     for col in cols:
-        if sizes.get(col, 0) <= ONE_HOT_LIMIT:
-            # At most ten values reach the driver.
-            options = sorted(r[0] for r in df.select(c(col)).where(c(col).isNotNull()).distinct().collect())
+        if col in values or sizes.get(col, 0) <= limit:
+            # At most ``limit`` values reach the driver.
+            options = values[col] if col in values else sorted(r[0] for r in df.select(c(col)).where(c(col).isNotNull()).distinct().collect())
             df = df.withColumns(
                 {f"{col}_{v}": F.coalesce(c(col) == v, F.lit(False)).cast("int") for v in options[1:]}
             )
@@ -76,7 +85,7 @@ def numeric_only(df: DataFrame, keep: list[str] = ("symbol", "ts")) -> DataFrame
     return df.select(*out)
 
 
-def model_matrix(df: DataFrame, target: str = "close") -> DataFrame:
+def model_matrix(df: DataFrame, target: str = "close", limit: int = ONE_HOT_LIMIT, values: dict[str, list[str]] | None = None) -> DataFrame:
     """Keys, target and numeric features; the target's unscaled twin is not a feature."""
-    df = numeric_only(encode_categories(expand_periods(df), target))
+    df = numeric_only(encode_categories(expand_periods(df), target, limit=limit, values=values))
     return df.drop("close_og", "_i", "_n") if target != "close_og" else df.drop("_i", "_n")

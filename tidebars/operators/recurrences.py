@@ -9,6 +9,7 @@ double range altogether, so that long flat stretches give the same ratio too.
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -136,9 +137,12 @@ def adx_kernel(n: int = 14) -> Kernel:
 
 
 def apply_kernels(
-    df: DataFrame, kernels: list[Kernel], by=SERIES, rows: int | None = None
+    df: DataFrame, kernels: list[Kernel], by=SERIES, rows: int | None = None, strict: bool = True
 ) -> DataFrame:
-    """Run all kernels in one pass over the blocks of a positioned table."""
+    """Run all kernels in one pass over the blocks of a positioned table.
+
+    Without ``strict`` a kernel that fails on a block leaves NULLs there and says so in the worker's log.
+    """
     outputs = [o for k in kernels for o in k.outputs]
     back, ahead = max(k.back for k in kernels), max(k.ahead for k in kernels)
     size = block_rows(back, ahead, rows or KERNEL_ROWS)
@@ -154,7 +158,13 @@ def apply_kernels(
         new = {}
         for k in kernels:
             # Each kernel sees no more halo than it asked for; extra rows change nothing.
-            new.update(k.fn(pdf))
+            try:
+                new.update(k.fn(pdf))
+            except Exception:
+                if strict:
+                    raise
+                logging.getLogger(__name__).exception("kernel for %s failed on a block", k.outputs)
+                new.update({o: np.full(len(pdf), np.nan) for o in k.outputs})
         for name, values in new.items():
             values = np.asarray(values, dtype=float)
             pdf[name] = np.where(np.isfinite(values), values, np.nan)

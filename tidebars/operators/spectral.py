@@ -1,7 +1,6 @@
 """Dominant cycles of log returns.
 
-A series of ordinary length is one FFT in one group. A series longer than ``one_task``
-is transformed across the cluster: a chirp turns the DFT of any length into a circular
+Every series is transformed across the cluster, whatever its length: a chirp turns the DFT of any length into a circular
 convolution of length M = L1*L2 (Bluestein 1970), whose transforms are split into L2
 and L1 groups of about sqrt(M) values (Bailey 1990).
 """
@@ -18,11 +17,14 @@ from pyspark.sql import functions as F
 from tidebars.functions.columns import join_small
 from tidebars.operators.blocks import SERIES, with_position
 
-ONE_TASK = 1 << 20
+DIGITS = 9
 
 
 def _top(by, keys, k: np.ndarray, power: np.ndarray, n: int, top: int) -> pd.DataFrame:
-    best = np.argsort(power, kind="stable")[::-1][:top]
+    # Here the largest power of the series is not known, so powers are rounded to their own digits.
+    with np.errstate(divide="ignore"):
+        scale = 10.0 ** (DIGITS - np.ceil(np.log10(np.maximum(power, 1e-300))))
+    best = np.lexsort((k, -np.round(power * scale) / scale))[:top]
     out = pd.DataFrame({"_k": k[best].astype("int64"), "power": power[best], "_m": n})
     for name, value in zip(by, keys):
         out.insert(0, name, value)
@@ -40,19 +42,6 @@ def _plan(size: int) -> tuple[int, int, int]:
     return m, l1, m // l1
 
 
-def _whole_peaks(x: DataFrame, by: list[str], col: str, top: int) -> DataFrame:
-    schema = ", ".join([*[f"`{b}` {x.schema[b].dataType.simpleString()}" for b in by],
-                        "_k bigint, power double, _m bigint"])
-
-    def fn(key, pdf):
-        v = pdf.sort_values("_i")[col].to_numpy()
-        n = len(v)
-        k = np.arange(1, (n - 1) // 2 + 1)
-        return _top(by, key, k, np.abs(np.fft.rfft(v))[1 : len(k) + 1] ** 2, n, top)
-
-    return x.groupBy(*by).applyInPandas(fn, schema)
-
-
 def _long_peaks(x: DataFrame, by: list[str], col: str, top: int) -> DataFrame:
     keys = ", ".join(f"`{b}` {x.schema[b].dataType.simpleString()}" for b in by)
     part = f"{keys}, _n bigint, _r bigint, _c bigint, re double, im double"
@@ -110,21 +99,22 @@ def _long_peaks(x: DataFrame, by: list[str], col: str, top: int) -> DataFrame:
     )
 
 
-def spectrum_peaks(
-    df: DataFrame, col: str = "log_return", top: int = 5, by=SERIES, one_task: int = ONE_TASK
-) -> DataFrame:
-    """The ``top`` strongest positive frequencies: ``_k`` cycles over ``_m`` values."""
+def spectrum_peaks(df: DataFrame, col: str = "log_return", top: int = 5, by=SERIES) -> DataFrame:
+    """The ``top`` strongest positive frequencies: ``_k`` cycles over ``_m`` values.
+
+    Powers that agree in nine digits of the largest are equal (what differs beyond is rounding noise);
+    of these the slower frequency comes first.
+    """
     by = list(by)
     x = df.where(F.col(col).isNotNull()).select(*by, F.col("_i").alias("_at"), col)
     x = with_position(x, by, ["_at"]).drop("_at")
-    short = _whole_peaks(x.where(F.col("_n") <= one_task), by, col, top)
-    if x.where(F.col("_n") > one_task).limit(1).count() == 0:
-        return short
-    long = _long_peaks(x.where(F.col("_n") > one_task), by, col, top)
+    found = _long_peaks(x, by, col, top)
     # `top` rows per group of about sqrt(M) values.
-    best = Window.partitionBy(*by).orderBy(F.col("power").desc(), "_k")
-    long = long.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= top)
-    return short.unionByName(long.drop("_rank"))
+    series = Window.partitionBy(*by)
+    digits = F.round(F.try_divide(F.col("power"), F.max("power").over(series)), DIGITS)
+    ranked = found.withColumn("_digits", digits)
+    best = series.orderBy(F.col("_digits").desc_nulls_last(), "_k")
+    return ranked.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= top).drop("_rank", "_digits")
 
 
 def dominant_cycles(
@@ -132,7 +122,6 @@ def dominant_cycles(
     col: str = "log_return",
     top: int = 5,
     by=SERIES,
-    one_task: int = ONE_TASK,
     values: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``fft_dominant_periods`` (all, sorted) and ``fft_cycles`` with the phase of each
@@ -140,7 +129,7 @@ def dominant_cycles(
 
     ``values`` may hold the same series in a table that is cheaper to read than ``df``.
     """
-    peaks = spectrum_peaks(df if values is None else values, col, top, by, one_task)
+    peaks = spectrum_peaks(df if values is None else values, col, top, by)
     period = F.rint(1 / (F.col("_k") / F.col("_m"))).cast("int")
     usable = (period >= 2) & (period <= F.floor(F.col("_m") / 3))
     stats = peaks.groupBy(*by).agg(

@@ -111,6 +111,18 @@ def column_groups(schema: T.StructType) -> Groups:
     return Groups(price, volume, z, minmax)
 
 
+def group_profile(df: DataFrame) -> DataFrame:
+    """Every scaled column with its group, share of NULLs, mean and spread, from one pass over the rows."""
+    groups = column_groups(df.schema)
+    found = [(k, n) for k in ("price", "volume", "z", "minmax") for n in getattr(groups, k)]
+    sums = [x for k, (_, n) in enumerate(found) for x in (F.avg(c(n).isNull().cast("int")).alias(f"n{k}"), F.avg(c(n)).alias(f"m{k}"), F.stddev_samp(c(n)).alias(f"s{k}"))]
+    lines = [
+        F.struct(F.lit(g).alias("column_group"), F.lit(n).alias("column"), F.col(f"n{k}").alias("null_share"), F.col(f"m{k}").alias("mean"), F.col(f"s{k}").alias("spread"))
+        for k, (g, n) in enumerate(found)
+    ]
+    return df.agg(*sums).select(F.inline(F.array(*lines)))
+
+
 def log_volume(df: DataFrame, cols: list[str], preserve: bool = False) -> DataFrame:
     return df.withColumns({f"{n}_log" if preserve else n: F.log1p(c(n)) for n in cols})
 

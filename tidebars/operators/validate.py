@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,17 +45,22 @@ def _row_checks(df: DataFrame) -> dict[str, Column]:
     return checks
 
 
-def stateless_issues(df: DataFrame, now: datetime | None = None) -> DataFrame:
+def _instant(now: datetime) -> Column:
+    """A moment; without a zone it is UTC, whatever the zone of the driver's host."""
+    return F.lit(now if now.tzinfo else now.replace(tzinfo=timezone.utc))
+
+
+def stateless_issues(df: DataFrame, now: datetime | None = None, by=SERIES) -> DataFrame:
     """The checks that need one row only, one output row per finding. Works on a stream."""
     checks = _row_checks(df)
     if now is not None:
-        checks["future"] = F.col("ts") > F.lit(now)
-    return _explode(df, checks)
+        checks["future"] = F.col("ts") > _instant(now)
+    return _explode(df, checks, by=by)
 
 
-def _explode(df: DataFrame, checks: dict[str, Column], detail: Column | None = None) -> DataFrame:
+def _explode(df: DataFrame, checks: dict[str, Column], detail: Column | None = None, by=SERIES) -> DataFrame:
     codes = F.array_compact(F.array(*[F.when(cond, F.lit(k)) for k, cond in checks.items()]))
-    keep = [n for n in df.columns if n in (*SERIES, "ts")]
+    keep = [n for n in df.columns if n in (*by, "ts")]
     if detail is None:
         detail = F.lit(None).cast("string")
     found = df.select(*keep, detail.alias("_gap"), F.explode(codes).alias("code"))
@@ -91,9 +96,9 @@ def affected_rows(
     checks["duplicate"] = F.col("_step") == 0
     checks["gap"] = F.col("_step") > GAP_FACTOR * F.col("interval_us")
     if now is not None:
-        checks["future"] = F.col("ts") > F.lit(now)
+        checks["future"] = F.col("ts") > _instant(now)
     full = join_small(steps, stats, list(by))
-    return _explode(full, checks, (F.col("_step") / 1e6).cast("string"))
+    return _explode(full, checks, (F.col("_step") / 1e6).cast("string"), by)
 
 
 def with_texts(counts: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebars.functions.columns import pct, tdiv, typical_price
@@ -105,6 +105,16 @@ def vwap(fr: Frames, have: set[str], n: int = 1):
     yield {"vwap": tdiv(fr.roll(F.sum, "_flow", n), fr.roll(F.sum, "volume", n))}
 
 
+def session_vwap(df: DataFrame, by=SERIES, rows: int | None = None) -> DataFrame:
+    """``vwap_session``: volume-weighted price since the first bar of the day. A positioned table.
+
+    A day of a series is one window: at most 86,400 bars of a second.
+    """
+    day = Window.partitionBy(*by, F.to_date("ts")).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    flow = F.sum(F.col("volume") * typical_price()).over(day)
+    return df.withColumn("vwap_session", tdiv(flow, F.sum("volume").over(day)))
+
+
 def money_flow_index(fr: Frames, have: set[str], n: int = 14):
     """0 when no row of the window has a negative flow, as there is then no ratio."""
     tp, prev = typical_price(), fr.lag(typical_price())

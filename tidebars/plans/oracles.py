@@ -25,15 +25,16 @@ DIRTY = (
 dirty AS (
   SELECT symbol, CASE WHEN i % 20 = 7 THEN lag(ts) OVER (PARTITION BY symbol ORDER BY i) ELSE ts END AS ts,
     i AS seq, i,
-    CASE WHEN i % 10 = 3 OR i < 2 OR i % 25 = 12 THEN NULL ELSE open * (CASE WHEN i % 33 = 5 THEN 10 ELSE 1 END) END AS open,
-    CASE WHEN i % 10 = 3 OR i % 25 = 14 THEN NULL WHEN i % 40 = 21 THEN open * 0.9::DOUBLE
+    CASE WHEN i % 10 = 3 OR i < 2 OR i % 25 = 12 THEN NULL WHEN i % 100 = 41 THEN 0 ELSE open * (CASE WHEN i % 33 = 5 THEN 10 ELSE 1 END) END AS open,
+    CASE WHEN i % 10 = 3 OR i % 25 = 14 THEN NULL WHEN i % 40 = 21 THEN open * 0.9::DOUBLE WHEN i % 100 = 71 THEN -high
       ELSE high * (CASE WHEN i % 33 = 5 THEN 10 ELSE 1 END) END AS high,
-    CASE WHEN i % 10 = 3 OR i % 25 = 16 THEN NULL WHEN i % 40 = 11 THEN open * 1.1::DOUBLE
+    CASE WHEN i % 10 = 3 OR i % 25 = 16 THEN NULL WHEN i % 40 = 11 THEN open * 1.1::DOUBLE WHEN i % 100 = 81 THEN 0
       ELSE low * (CASE WHEN i % 33 = 5 THEN 10 ELSE 1 END) END AS low,
     CASE WHEN i % 10 = 3 OR i < 3 THEN NULL WHEN i % 50 = 29 THEN 0
       ELSE close * (CASE WHEN i % 33 = 5 THEN 10 ELSE 1 END) END AS close,
     CASE WHEN i % 10 = 3 OR i % 25 = 18 THEN NULL WHEN i % 50 = 19 THEN -volume
-      WHEN i % 50 = 9 THEN volume * 50 ELSE volume END AS volume
+      WHEN i % 50 = 9 THEN volume * 50
+      WHEN i % 200 = 130 THEN volume * 1000000000 ELSE volume END AS volume
   FROM b)"""
 )
 O = ["open", "high", "low", "close"]
@@ -114,17 +115,22 @@ RANGES = BARS + """,
 r AS (SELECT symbol, epoch_us(min(ts)) AS f, epoch_us(max(ts)) + 40 * 3600000000 AS t FROM b GROUP BY 1),
 plan AS (SELECT symbol, f, t, k AS chunk, f + k * 30000000000 AS cs, least(f + (k + 1) * 30000000000, t) AS ce
   FROM r, unnest(range(0, CAST(floor((t - f - 1) / 30000000000) AS BIGINT) + 1)) AS u(k)),
-held AS (SELECT symbol, CAST(floor((epoch_us(ts) - f) / 30000000000) AS BIGINT) AS chunk, count(*) AS n,
-  min(ts) AS first_ts, max(ts) AS last_ts FROM b JOIN r USING (symbol) WHERE epoch_us(ts) >= f AND epoch_us(ts) < t GROUP BY 1, 2),
-cover AS (SELECT symbol, chunk, make_timestamp(cs) AS chunk_start, make_timestamp(ce) AS chunk_end,
-  coalesce(n, 0) AS n_points, first_ts, last_ts, n IS NOT NULL AS ok FROM plan LEFT JOIN held USING (symbol, chunk))"""
-ORACLES["s06_chunk_plan"] = sql(RANGES, "SELECT symbol, chunk, chunk_start, chunk_end FROM cover")
+held AS (SELECT symbol, f, CAST(floor((epoch_us(ts) - f) / 30000000000) AS BIGINT) AS chunk, count(*) AS n,
+  min(ts) AS first_ts, max(ts) AS last_ts FROM b JOIN r USING (symbol) WHERE epoch_us(ts) >= f AND epoch_us(ts) < t GROUP BY 1, 2, 3),
+cover AS (SELECT symbol, make_timestamp(f) AS from_ts, chunk, make_timestamp(cs) AS chunk_start, make_timestamp(ce) AS chunk_end,
+  coalesce(n, 0) AS n_points, first_ts, last_ts, n IS NOT NULL AS ok FROM plan LEFT JOIN held USING (symbol, f, chunk))"""
+ORACLES["s06_chunk_plan"] = sql(RANGES, "SELECT symbol, from_ts, chunk, chunk_start, chunk_end FROM cover")
 ORACLES["s07_coverage"] = sql(RANGES, "SELECT * FROM cover")
 ORACLES["s07_coverage_summary"] = sql(
     RANGES,
     "SELECT symbol, count(*) FILTER (ok) AS successful_chunks, count(*) FILTER (NOT ok) AS failed_chunks, "
     "CAST(sum(n_points) AS BIGINT) AS total_points, min(first_ts) AS first_ts, max(last_ts) AS last_ts FROM cover GROUP BY 1",
 )
+TWO_RANGES = RANGES.replace(
+    "plan AS (",
+    "r2 AS (SELECT symbol, f, CAST(floor((f + t) / 2) AS BIGINT) AS t FROM r UNION ALL SELECT symbol, CAST(floor((f + t) / 2) AS BIGINT), t FROM r),\nplan AS (",
+).replace("FROM r, unnest", "FROM r2, unnest").replace("JOIN r USING", "JOIN r2 USING")
+ORACLES["s07_coverage_two_ranges"] = sql(TWO_RANGES, "SELECT * FROM cover")
 ORACLES["s09_dataset_names"] = sql(
     DAILY,
     "SELECT symbol, 'raw_' || regexp_replace(symbol, '[^0-9A-Za-z_]', '_', 'g') || '_d_' || strftime(min(ts), '%Y%m%d') || '_' "
@@ -241,10 +247,26 @@ ORACLES["c02_drop_duplicates"] = sql(
     DIRTY,
     "SELECT symbol, ts, min(seq) AS seq, round(arg_min_null(close, seq), 6) + 0.0 AS close FROM dirty GROUP BY 1, 2",
 )
+ORACLES["c02_null_order"] = sql(
+    DIRTY,
+    """SELECT symbol, ts, seq, round(CAST(close AS DOUBLE), 6) + 0.0 AS close, round(CAST(open AS DOUBLE), 6) + 0.0 AS open
+FROM (SELECT * REPLACE (CASE WHEN seq % 20 <> 6 THEN seq END AS seq) FROM dirty)
+QUALIFY row_number() OVER (PARTITION BY symbol, ts ORDER BY seq NULLS LAST, close NULLS FIRST, open NULLS FIRST) = 1""",
+)
 ORACLES["c03_timestamps"] = (
     "SELECT event_id, CASE WHEN event_id % 3 <> 2 THEN date_trunc('second', ts) END AS ts FROM events"
 )
 ORACLES["c04_fill_gaps"] = sql(BARS + gapless("b"), out(OV, "grid_out", raw=["volume"]))
+OFF_GRID = BARS + """,
+og AS (SELECT * REPLACE (CASE WHEN i % 50 = 49 THEN ts + INTERVAL 17 MINUTES ELSE ts END AS ts) FROM b)""" + gapless("og")
+ORACLES["c04_off_grid"] = sql(OFF_GRID, out(OV, "grid_out", raw=["volume"]))
+ORACLES["c04_off_grid_counts"] = sql(
+    OFF_GRID,
+    """SELECT symbol, iv AS interval_us, count(*) AS n_rows,
+  count(*) FILTER (big > iv * 1.5 AND (epoch_us(ts) - s) % iv <> 0) AS n_off_grid,
+  CASE WHEN max(big) > max(iv) * 1.5 THEN CAST(floor((max(e) - max(s)) / max(iv)) AS BIGINT) + 1 - count(*) FILTER ((epoch_us(ts) - s) % iv = 0) ELSE 0 END AS n_added
+FROM og JOIN md USING (symbol) JOIN sp USING (symbol) GROUP BY 1, 2""",
+)
 ORACLES["c04_bar_interval"] = sql(
     BARS + gapless("b"),
     "SELECT symbol, iv AS interval_us, big AS largest_us, make_timestamp(s) AS first_ts, make_timestamp(e) AS last_ts FROM md JOIN sp USING (symbol)",
@@ -339,10 +361,13 @@ ORACLES["v12_few_rows"] = sql(
     "SELECT symbol, 'few_rows' AS code, 'Insufficient Data' AS issue_type, 'Only ' || count(DISTINCT k) || ' data points available, minimum 30 required' AS description, "
     "count(DISTINCT k) AS n_rows FROM (SELECT symbol, time_bucket(INTERVAL 7 DAYS, ts, TIMESTAMP '1970-01-01') AS k FROM b) GROUP BY 1 HAVING count(DISTINCT k) < 30",
 )
+CALM = """,
+b2 AS (SELECT symbol, ts, open, high, low, close, volume, i FROM b UNION ALL
+  SELECT 'calm', TIMESTAMP '2024-01-01' + to_days(CAST(k AS INTEGER)), 100.0 + k % 5, 102.0 + k % 5, 98.0 + k % 5, 101.0 + k % 5, 1000 + k, k FROM range(60) AS u(k))"""
 ORACLES["v13_verdict"] = sql(
-    FOUND.replace("FROM dirty", "FROM b").replace("  UNION ALL SELECT symbol, ts, 'future', NULL FROM vx WHERE ts > TIMESTAMP '2024-01-20'\n", ""),
+    FOUND.replace(DIRTY, DIRTY + CALM).replace("FROM dirty", "FROM b2").replace("  UNION ALL SELECT symbol, ts, 'future', NULL FROM vx WHERE ts > TIMESTAMP '2024-01-20'\n", ""),
     "SELECT symbol, n_issues = 0 AS is_valid, n_issues FROM (SELECT symbol, (SELECT count(DISTINCT code) FROM found WHERE found.symbol = s.symbol) "
-    "+ CASE WHEN count(*) < 30 THEN 1 ELSE 0 END AS n_issues FROM b AS s GROUP BY symbol)",
+    "+ CASE WHEN count(*) < 30 THEN 1 ELSE 0 END AS n_issues FROM b2 AS s GROUP BY symbol)",
 )
 
 # ---- features ---------------------------------------------------------------
@@ -553,19 +578,19 @@ feature(
 )
 
 
-def holidays() -> str:
-    """Dates of US holidays 1990-2010 and the weekdays that observe the fixed ones."""
+def holidays(first: int = 1990, last: int = 2010) -> str:
+    """Dates of US holidays of these years and the weekdays that observe the fixed ones."""
     fixed = [("01", "01", 0), ("06", "19", 2021), ("07", "04", 0), ("11", "11", 0), ("12", "25", 0)]
-    days = "SELECT CAST(d AS DATE) AS d FROM unnest(generate_series(DATE '1990-01-01', DATE '2010-12-31', INTERVAL 1 DAY)) AS u(d)"
+    days = f"SELECT CAST(d AS DATE) AS d FROM unnest(generate_series(DATE '{first}-01-01', DATE '{last}-12-31', INTERVAL 1 DAY)) AS u(d)"
     parts = []
     for m, d, since in fixed:
         on = f"make_date(y, {int(m)}, {int(d)})"
         parts.append(
-            f"SELECT {on} AS h FROM (SELECT unnest(range(1989, 2013)) AS y) WHERE y >= {since} UNION "
-            f"SELECT CASE isodow({on}) WHEN 6 THEN {on} - 1 WHEN 7 THEN {on} + 1 ELSE {on} END FROM (SELECT unnest(range(1989, 2013)) AS y) WHERE y >= {since}"
+            f"SELECT {on} AS h FROM (SELECT unnest(range({first - 1}, {last + 3})) AS y) WHERE y >= {since} UNION "
+            f"SELECT CASE isodow({on}) WHEN 6 THEN {on} - 1 WHEN 7 THEN {on} + 1 ELSE {on} END FROM (SELECT unnest(range({first - 1}, {last + 3})) AS y) WHERE y >= {since}"
         )
     floating = (
-        "SELECT d AS h FROM days WHERE (isodow(d) = 1 AND ((month(d) = 1 AND day(d) BETWEEN 15 AND 21) OR (month(d) = 2 AND day(d) BETWEEN 15 AND 21) "
+        "SELECT d AS h FROM days WHERE (isodow(d) = 1 AND ((month(d) = 1 AND day(d) BETWEEN 15 AND 21 AND year(d) >= 1986) OR (month(d) = 2 AND day(d) BETWEEN 15 AND 21 AND year(d) >= 1971) "
         "OR (month(d) = 5 AND day(d) > 24) OR (month(d) = 9 AND day(d) <= 7) OR (month(d) = 10 AND day(d) BETWEEN 8 AND 14))) "
         "OR (isodow(d) = 4 AND month(d) = 11 AND day(d) BETWEEN 22 AND 28)"
     )
@@ -577,6 +602,14 @@ ORACLES["f30_holidays"] = sql(
     "SELECT symbol, ts, CASE WHEN CAST(ts AS DATE) IN (SELECT h FROM hol) THEN 1 ELSE 0 END AS is_holiday, "
     "coalesce((SELECT CAST(min(h - CAST(ts AS DATE)) AS INTEGER) FROM hol WHERE h > CAST(ts AS DATE) AND h <= CAST(ts AS DATE) + 29), 0) AS days_to_next_holiday FROM b",
 )
+_FAR = DAILY.replace("b AS (", "b0 AS (", 1) + """,
+b AS (SELECT * REPLACE (symbol || ' true' AS symbol, ts + INTERVAL 200 YEARS AS ts) FROM b0 UNION ALL
+  SELECT * REPLACE (symbol || ' false' AS symbol, ts - INTERVAL 250 YEARS AS ts) FROM b0)"""
+ORACLES["f30_far_holidays"] = ORACLES["f30_holidays"].replace(DAILY, _FAR).replace(
+    holidays(), holidays(1735, 1760).replace("days AS", "d1 AS").replace("FROM days", "FROM d1").replace("hol AS", "h1 AS")
+    + ", " + holidays(2185, 2210).replace("days AS", "d2 AS").replace("FROM days", "FROM d2").replace("hol AS", "h2 AS")
+    + ", hol AS (SELECT * FROM h1 UNION SELECT * FROM h2)",
+)
 VOL = f""",
 v1 AS (SELECT *, {div("close", lag("close"))} - 1 AS ret FROM b),
 v2 AS (SELECT *, {roll("stddev_samp", "ret", 20)} * sqrt(252) AS vs, {roll("stddev_samp", "ret", 100)} * sqrt(252) AS vlg FROM v1),
@@ -647,10 +680,11 @@ s2 AS (SELECT *, vn * 3 + tn AS ms, vr || '_vol_' || tr_ AS ds FROM s1),
 s3 AS (SELECT *, CASE WHEN i = 0 OR ms <> lag(ms) OVER (PARTITION BY symbol ORDER BY i) THEN 1 ELSE 0 END AS ch FROM s2),
 s4 AS (SELECT *, sum(ch) OVER (PARTITION BY symbol ORDER BY i) AS isl FROM s3)"""
 )
+_states = [f"{v}_vol_{t}" for v in ("low", "medium", "high") for t in ("ranging", "weak_trend", "strong_trend")]
 trend(
     "f42_market_state",
-    {"vol_regime_num": "vn", "trend_regime_num": "tn", "market_state": "ms", "market_state_desc": "ds", "state_low_vol_ranging": "ds = 'low_vol_ranging'"},
-    ["vol_regime_num", "trend_regime_num", "market_state", "market_state_desc", "state_low_vol_ranging"],
+    {"vol_regime_num": "vn", "trend_regime_num": "tn", "market_state": "ms", "market_state_desc": "ds", **{f"state_{d}": f"coalesce(ds = '{d}', false)" for d in _states}},
+    ["vol_regime_num", "trend_regime_num", "market_state", "market_state_desc", *[f"state_{d}" for d in _states]],
     STATE,
     "s4",
 )
@@ -662,10 +696,32 @@ trend(
     "s4",
 )
 feature("f44_log_return", {"log_return": f"CASE WHEN {div('close', lag('close'))} > 0 THEN ln({div('close', lag('close'))}) END"})
-ORACLES["f46_feature_list"] = (
-    "SELECT * FROM (VALUES "
-    + ", ".join(f"('sma_{n}', 'double')" for n in _spans)
-    + ", ('hour_sin', 'double'), ('hour_cos', 'double'), ('session', 'string')) AS t(feature, type)"
+ORACLES["f46_feature_list"] = sql(
+    BARS + ",\nx AS (SELECT i, hour(ts) AS h, " + ", ".join(f"{roll('avg', 'close', n)} AS sma_{n}" for n in _spans) + " FROM b)",
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS feature, '{t}' AS type, count({x}) AS n_known, count(*) - count({x}) AS n_null, min(i) FILTER ({x} IS NOT NULL) AS first_known FROM x"
+        for n, t, x in [*[(f"sma_{n}", "double", f"sma_{n}") for n in _spans], ("hour_sin", "double", "h"), ("hour_cos", "double", "h"), ("session", "string", "h")]
+    ),
+)
+feature(
+    "f15_vwap_session",
+    {"vwap_session": div("sum(volume * tp) " + w("UNBOUNDED PRECEDING", by="symbol, CAST(ts AS DATE)"), "sum(volume) " + w("UNBOUNDED PRECEDING", by="symbol, CAST(ts AS DATE)"))},
+)
+# The transform of returns written out: m values against (m - 1) / 2 frequencies of every symbol.
+ORACLES["f45_cycles"] = sql(
+    BARS + f""",
+lr AS (SELECT *, CASE WHEN {div('close', lag('close'))} > 0 THEN ln({div('close', lag('close'))}) END AS x FROM b),
+v AS (SELECT symbol, x, row_number() OVER (PARTITION BY symbol ORDER BY i) - 1 AS j, count(*) OVER (PARTITION BY symbol) AS m FROM lr WHERE x IS NOT NULL),
+fq AS (SELECT symbol, m, unnest(range(1, (m - 1) // 2 + 1)) AS k FROM (SELECT DISTINCT symbol, m FROM v)),
+pw AS (SELECT fq.symbol, fq.m, k, sum(x * cos(2 * pi() * ((k * j) % fq.m) / fq.m)) ^ 2 + sum(x * sin(2 * pi() * ((k * j) % fq.m) / fq.m)) ^ 2 AS p
+  FROM fq JOIN v ON fq.symbol = v.symbol GROUP BY 1, 2, 3),
+tp5 AS (SELECT symbol, m, CAST(round_even(m / k, 0) AS INTEGER) AS period FROM (SELECT *, round(p / max(p) OVER (PARTITION BY symbol), 9) AS d FROM pw)
+  QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY d DESC, k) <= 5),
+ps AS (SELECT symbol, string_agg(CAST(period AS VARCHAR), ',' ORDER BY period) AS periods FROM tp5 GROUP BY 1),
+us AS (SELECT DISTINCT symbol, period FROM tp5 WHERE period >= 2 AND period <= m // 3),
+cy AS (SELECT b.symbol, b.i, count(period) AS n, sum(sin(2 * pi() * b.i / period)) AS s, sum(cos(2 * pi() * b.i / period)) AS c FROM b JOIN us USING (symbol) GROUP BY 1, 2)""",
+    "SELECT symbol, ts, periods, CAST(coalesce(cy.n, 0) AS INTEGER) AS n_cycles, round(coalesce(s, 0.0), 6) + 0.0 AS sin_sum, round(coalesce(c, 0.0), 6) + 0.0 AS cos_sum "
+    "FROM b JOIN ps USING (symbol) LEFT JOIN cy USING (symbol, i)",
 )
 ORACLES["f47_preconditions"] = sql(
     DIRTY,
@@ -708,17 +764,15 @@ ORACLES["t03_fill_scattered"] = sql(
     + " FROM dirty",
 )
 ORACLES["t04_unique_names"] = sql(BARS, out({"close": "close", "open": "open", "close_1": "close", "close_2": "close"}, "b"))
-ORACLES["t05_column_groups"] = "SELECT * FROM (VALUES " + ", ".join(
-    f"('{g}', '{n}')"
-    for g, names in {
-        "price": O,
-        "volume": ["volume"],
-        "z": ["macd_line", "macd_signal", "macd_histogram", "+di", "vwap", "adx"],
-        "minmax": ["rsi_14"],
-    }.items()
-    for n in names
-    if n != "+di"
-) + ") AS t(column_group, \"column\")"
+_groups = {"price": O, "volume": ["volume"], "z": [f"roc_{k}" for k in (1, 5, 10, 20, 60)] + ["obv"], "minmax": ["mfi"]}
+ORACLES["t05_column_groups"] = sql(
+    SMALL,
+    " UNION ALL ".join(
+        f"SELECT '{g}' AS column_group, '{x}' AS \"column\", round(avg(({x} IS NULL)::INT), 4) + 0.0 AS null_share, round(avg({x}), 4) + 0.0 AS mean, "
+        f"round(stddev_samp({x}), 4) + 0.0 AS spread FROM sf"
+        for g, cols in _groups.items() for x in cols
+    ),
+)
 ORACLES["t06_log_volume"] = sql(BARS, out({"volume_log": "ln(1 + volume)"}, "b"))
 
 
@@ -773,7 +827,7 @@ _sel = [
     "open", "high", "low", "volume", "roc_1", "roc_5", "roc_10", "roc_20", "roc_60", "std", "sma_20", "upper_band", "lower_band", "bb_width",
     "distance_from_high", "distance_from_low", *[f"{p}_{k}" for k in (7, 15, 30, 60) for p in ("vma", "relative_volume")], "mfi",
 ]
-_five = ["close", "roc_5", "std", "mfi", "vma_7"]
+_five = ["close", *sorted(_sel)]
 ORACLES["l01_correlations"] = sql(
     SELECTION,
     " UNION ALL ".join(
@@ -819,7 +873,7 @@ SELECT feature, count(DISTINCT m) AS n_votes, count(DISTINCT m) >= 2 AS selected
 )
 ORACLES["l06_correlation_report"] = sql(
     SELECTION + pair_table([*_sel, "close"])
-    + ",\ntp5 AS (SELECT a FROM cr WHERE b = 'close' AND a <> 'close' ORDER BY abs(corr) DESC, a LIMIT 5)",
+    + ",\ntp5 AS (SELECT a FROM cr WHERE b = 'close' AND a <> 'close' ORDER BY abs(corr) DESC, a LIMIT 20)",
     "SELECT a, b, round(corr, 6) + 0.0 AS corr FROM cr WHERE a IN (SELECT a FROM tp5) AND (b IN (SELECT a FROM tp5) OR b = 'close')",
 )
 ORACLES["l07_expand_periods"] = """WITH d AS (SELECT o_custkey, list_sort(list(DISTINCT day(o_orderdate))) AS l FROM orders GROUP BY 1)
@@ -850,15 +904,13 @@ ORACLES["r02_subscribe"] = f"""SELECT event_id, event_type AS symbol, 'HOUR' AS
 ORACLES["r03_handler"] = "SELECT event_id, event_type AS symbol, ts, value AS close FROM events"
 ORACLES["r04_first_updates"] = "SELECT DISTINCT event_type AS symbol, 'HOUR' AS resolution, date_trunc('hour', ts) AS ts FROM events"
 ORACLES["r04_newest_updates"] = f"""SELECT event_type AS symbol, 'HOUR' AS resolution, date_trunc('hour', ts) AS ts,
-  {", ".join(f"last(value ORDER BY event_id) AS {x}" for x in O)}, count(*) AS n_updates FROM events GROUP BY 1, 3
-  HAVING date_trunc('hour', ts) + INTERVAL 1 MILLISECOND <= (SELECT date_trunc('hour', max(ts)) FROM events) - INTERVAL 10 MINUTES"""
+  {", ".join(f"last(value ORDER BY event_id) AS {x}" for x in O)}, count(*) AS n_updates FROM events GROUP BY 1, 3"""
 
 
 def _windows(start: str, hours: int) -> str:
     return f"""SELECT event_type AS symbol, {start} AS ts, first(value ORDER BY e.ts, event_id) AS open, max(value) AS high, min(value) AS low,
   last(value ORDER BY e.ts, event_id) AS close, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS volume, count(*) AS n_bars
-  FROM events AS e{"" if hours == 1 else ", (SELECT unnest(range(4)) AS s)"} GROUP BY 1, 2
-  HAVING {start} + INTERVAL {hours} HOURS <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES"""
+  FROM events AS e{"" if hours == 1 else ", (SELECT unnest(range(4)) AS s)"} GROUP BY 1, 2"""
 
 
 ORACLES["r05_tumbling"] = _windows("date_trunc('hour', e.ts)", 1)
@@ -882,13 +934,11 @@ ORACLES["r06_live_indicators"] = (
         },
         "b JOIN e USING (symbol, i)",
         raw=["run_length"],
-        where="WHERE ts <= (SELECT max(ts) FROM b) - INTERVAL 10 MINUTES",
     )
 )
 ORACLES["r07_sessions"] = """WITH x AS (SELECT event_type AS symbol, ts, value, CASE WHEN ts >= lag(ts) OVER (PARTITION BY event_type ORDER BY ts) + INTERVAL 30 MINUTES THEN 1 ELSE 0 END AS brk FROM events),
 y AS (SELECT *, sum(brk) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM x)
-SELECT symbol, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_bars, max(value) AS high, min(value) AS low FROM y GROUP BY symbol, g
-HAVING max(ts) + INTERVAL 30 MINUTES <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES"""
+SELECT symbol, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_bars, max(value) AS high, min(value) AS low FROM y GROUP BY symbol, g"""
 ORACLES["r08_live_issues"] = """WITH x AS (SELECT event_type AS symbol, ts, value AS open, CASE WHEN event_id % 11 = 0 THEN value - 1 ELSE value END AS high,
   CASE WHEN event_id % 13 = 0 THEN value + 1 ELSE value END AS low, CASE WHEN event_id % 19 = 0 THEN 0 ELSE value END AS close,
   CASE WHEN event_id % 23 = 0 THEN -1 ELSE 1 END AS volume FROM events)

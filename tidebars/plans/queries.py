@@ -7,7 +7,7 @@ symbol = priority). ``dirty`` bars are the hourly ones with defects placed by po
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +34,7 @@ from tidebars.streaming import live
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 NOW = datetime(2024, 1, 20)
+MARKER = "~end"
 
 
 def query(name: str):
@@ -93,13 +94,15 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
         "symbol",
         F.when(i % 20 == 7, F.col("_pts")).otherwise(F.col("ts")).alias("ts"),
         i.alias("seq"),
-        F.when(lost | (i < 2) | (i % 25 == 12), none).otherwise(F.col("open") * scale).alias("open"),
+        F.when(lost | (i < 2) | (i % 25 == 12), none).when(i % 100 == 41, 0.0).otherwise(F.col("open") * scale).alias("open"),
         F.when(lost | (i % 25 == 14), none)
         .when(i % 40 == 21, F.col("open") * 0.9)
+        .when(i % 100 == 71, -F.col("high"))
         .otherwise(F.col("high") * scale)
         .alias("high"),
         F.when(lost | (i % 25 == 16), none)
         .when(i % 40 == 11, F.col("open") * 1.1)
+        .when(i % 100 == 81, 0.0)
         .otherwise(F.col("low") * scale)
         .alias("low"),
         F.when(lost | (i < 3), none)
@@ -109,6 +112,7 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(lost | (i % 25 == 18), F.lit(None).cast("long"))
         .when(i % 50 == 19, -F.col("volume"))
         .when(i % 50 == 9, F.col("volume") * 50)
+        .when(i % 200 == 130, F.col("volume") * 1_000_000_000)
         .otherwise(F.col("volume"))
         .alias("volume"),
     )
@@ -243,6 +247,15 @@ def _(spark, sf):
     return emit(cov.coverage_summary(cover))
 
 
+@query("s07_coverage_two_ranges")
+def _(spark, sf):
+    """Two ranges of each symbol, with the same chunk numbers."""
+    whole = _ranges(spark, sf)
+    half = F.timestamp_micros(F.floor((F.unix_micros("from_ts") + F.unix_micros("to_ts")) / 2))
+    two = whole.withColumn("to_ts", half).unionByName(whole.withColumn("from_ts", half))
+    return emit(cov.coverage(bars_1h(spark, sf), two, "MINUTE_5", 100))
+
+
 @query("s08_write_processed")
 def _(spark, sf):
     path = f"{scratch_dir(spark)}/processed-{datetime.now().timestamp()}"
@@ -383,6 +396,30 @@ def _(spark, sf):
     return emit(cl.bar_interval(with_position(bars_1h(spark, sf))))
 
 
+def _off_grid(spark, sf):
+    """Hourly bars of which every 50th stands 17 minutes late."""
+    df = with_position(bars_1h(spark, sf))
+    late = F.col("ts") + F.expr("INTERVAL 17 MINUTES")
+    return df.withColumn("ts", F.when(F.col("_i") % 50 == 49, late).otherwise(F.col("ts"))).drop("_i", "_n")
+
+
+@query("c04_off_grid")
+def _(spark, sf):
+    return emit(cl.fill_gaps(_off_grid(spark, sf)), "symbol", "ts", *OHLCV)
+
+
+@query("c04_off_grid_counts")
+def _(spark, sf):
+    return cl.grid_report(_off_grid(spark, sf))
+
+
+@query("c02_null_order")
+def _(spark, sf):
+    """Copies of which some or all have no number: values stay, and ties go by value."""
+    df = dirty(spark, sf).withColumn("seq", F.when(c("seq") % 20 != 6, c("seq")))
+    return emit(cl.drop_duplicates(df.select("symbol", "ts", "seq", "close", "open"), first="seq"), "symbol", "ts", "seq", "close", "open")
+
+
 @query("c05_outlier_bounds")
 def _(spark, sf):
     return emit(cl.outlier_bounds(bars_1h(spark, sf)), dp=4)
@@ -458,12 +495,19 @@ def _(spark, sf):
 
 @query("v13_verdict")
 def _(spark, sf):
-    df = with_position(bars_1h(spark, sf))
+    """Hourly bars, and one symbol with steady daily bars that has nothing to complain about."""
+    steady = F.lit(100.0) + F.col("k") % 5
+    calm = spark.range(60).select(F.lit("calm").alias("symbol"), F.col("id").alias("k")).select(
+        "symbol", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("k") * 86_400).alias("ts"),
+        steady.alias("open"), (steady + 2).alias("high"), (steady - 2).alias("low"), (steady + 1).alias("close"), (F.lit(1000) + F.col("k")).alias("volume"),
+    )
+    df = with_position(bars_1h(spark, sf).unionByName(calm))
     return va.verdict(df, va.issues(df))
 
 
 # ---- features ---------------------------------------------------------------
 
+MARKET_STATES = [f"state_{v}_vol_{t}" for v in ("low", "medium", "high") for t in ("ranging", "weak_trend", "strong_trend")]
 FEATURE_COLUMNS = {
     "f01_sma": ("moving_averages", [f"sma_{n}" for n in (5, 10, 20, 50, 200)]),
     "f02_ema": ("ema", [f"ema_{n}" for n in (5, 10, 20, 50, 200)]),
@@ -482,6 +526,7 @@ FEATURE_COLUMNS = {
     "f12_value_area": ("volume_profile", ["vol_va_high", "vol_va_low", "vol_va_width", "in_value_area"]),
     "f14_concentration": ("volume_profile", ["vol_concentration"]),
     "f15_vwap": ("vwap", ["vwap"]),
+    "f15_vwap_session": ("vwap_session", ["vwap_session"]),
     "f16_mfi": ("money_flow_index", ["mfi"]),
     "f17_rsi": ("relative_strength_index", ["rsi_14"]),
     "f18_macd": ("macd", ["macd_line", "macd_signal", "macd_histogram"]),
@@ -539,7 +584,7 @@ FEATURE_COLUMNS = {
     ),
     "f42_market_state": (
         "market_state_indicators",
-        ["vol_regime_num", "trend_regime_num", "market_state", "market_state_desc", "state_low_vol_ranging"],
+        ["vol_regime_num", "trend_regime_num", "market_state", "market_state_desc", *MARKET_STATES],
     ),
     "f43_state_duration": ("market_state_indicators", ["market_state", "state_duration"]),
     "f44_log_return": ("log_returns", ["log_return"]),
@@ -564,26 +609,45 @@ def _(spark, sf):
     return emit(df.withColumns({n: c(n) + 1e-9 for n in cols}), "symbol", "ts", *cols)
 
 
+@query("f45_cycles")
+def _(spark, sf):
+    """Periods as text, and sums over the cycles of a row, which every language rounds alike."""
+    df = generate(bars_1h(spark, sf), ["fast_fourier_transforms"])
+    total = lambda part: F.aggregate("fft_cycles", F.lit(0.0), lambda a, x: a + x[part])
+    return emit(
+        df.select(
+            "symbol", "ts",
+            F.array_join(F.transform("fft_dominant_periods", lambda p: p.cast("string")), ",").alias("periods"),
+            F.size("fft_cycles").alias("n_cycles"), total("sin").alias("sin_sum"), total("cos").alias("cos_sum"),
+        )
+    )
+
+
 @query("f30_holidays")
 def _(spark, sf):
     df = generate(bars_1d(spark, sf), ["holiday_features"])
     return emit(df, "symbol", "ts", "is_holiday", "days_to_next_holiday")
 
 
-@query("f33_two_regimes")
+@query("f30_far_holidays")
 def _(spark, sf):
-    from tidebars.operators.regime import volatility_regimes
-    from tidebars.plans.registry import Feature, add_layers
+    """Dates moved 200 years on and 250 back: the rules know no years."""
+    df = bars_1d(spark, sf)
+    for shift in (200, -250):
+        moved = df.withColumn("ts", F.col("ts") + F.make_interval(F.lit(shift)))
+        out = moved if shift == 200 else out.unionByName(moved)
+    return emit(generate(out.withColumn("symbol", F.concat_ws(" ", "symbol", F.year("ts") > 2100)), ["holiday_features"]), "symbol", "ts", "is_holiday", "days_to_next_holiday")
+
 
-    df = with_halo(with_position(bars_1h(spark, sf)), 120)
-    feature = Feature("two", "window", lambda fr, have: volatility_regimes(fr, have, n_regimes=2))
-    out = own_rows(add_layers(df, [feature], Frames(), True), 120)
+@query("f33_two_regimes")
+def _(spark, sf):
+    out = generate(bars_1h(spark, sf), {"volatility_regimes": {"n_regimes": 2}})
     return emit(out, "symbol", "ts", "volatility_regime", "vol_regime_low", "vol_regime_high")
 
 
 @query("f46_feature_list")
 def _(spark, sf):
-    return generated_features(generate(bars_1h(spark, sf), ["moving_averages", "time_of_day"]))
+    return generated_features(generate(bars_1h(spark, sf), ["moving_averages", "time_of_day"], keep_position=True))
 
 
 @query("f47_preconditions")
@@ -635,9 +699,7 @@ def _(spark, sf):
 
 @query("t05_column_groups")
 def _(spark, sf):
-    g = tr.column_groups(generate(bars_1h(spark, sf), ["moving_averages", "macd", "relative_strength_index", "vwap", "volume_moving_averages", "trend_strength_indicators"]).schema)
-    rows = [(k, n) for k in ("price", "volume", "z", "minmax") for n in getattr(g, k)]
-    return spark.createDataFrame(rows, "column_group string, column string")
+    return emit(tr.group_profile(_small_features(spark, sf)), dp=4)
 
 
 @query("t06_log_volume")
@@ -681,7 +743,7 @@ def _selection_table(spark, sf):
 @query("l01_correlations")
 def _(spark, sf):
     df = _selection_table(spark, sf)
-    return emit(sel.correlations(df, ["close", "roc_5", "std", "mfi", "vma_7"]))
+    return emit(sel.correlations(df, ["close", *sorted(sel.features_of(df, "close"))]))
 
 
 @query("l02_cfs")
@@ -721,7 +783,7 @@ def _(spark, sf):
 
 @query("l06_correlation_report")
 def _(spark, sf):
-    return emit(sel.correlation_report(_selection_table(spark, sf), "close", 5))
+    return emit(sel.correlation_report(_selection_table(spark, sf), "close"))
 
 
 def _listed(spark, sf):
@@ -781,6 +843,25 @@ def _stream(spark, sf) -> DataFrame:
     """The events table as a stream of ticks."""
     schema = table(spark, sf, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return _ticks(raw)
+
+
+def _closing_stream(spark, sf) -> DataFrame:
+    """The events in two micro-batches by time, and a marker far ahead in a third, so that the watermark
+    passes every event and all windows close. The marker's own window stays open."""
+    events = table(spark, sf, "events")
+    path = f"{scratch_dir(spark)}/events-{datetime.now().timestamp()}"
+    ends = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    middle = ends["a"] + (ends["b"] - ends["a"]) / 2
+    # One file each, since files are taken in the order they were written.
+    events.where(F.col("ts") < F.lit(middle)).coalesce(1).write.mode("append").parquet(path)
+    events.where(F.col("ts") >= F.lit(middle)).coalesce(1).write.mode("append").parquet(path)
+    marker = events.orderBy("event_id").limit(1).withColumns({"ts": F.lit(ends["b"] + timedelta(days=365)), "event_type": F.lit(MARKER)})
+    marker.select(*events.columns).coalesce(1).write.mode("append").parquet(path)
+    return _ticks(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path))
+
+
+def _ticks(raw: DataFrame) -> DataFrame:
     return raw.select(
         "event_id",
         F.col("event_type").alias("symbol"),
@@ -861,33 +942,36 @@ def _(spark, sf):
 
 @query("r04_newest_updates")
 def _(spark, sf):
-    bars = _stream(spark, sf).withColumns({"ts": F.date_trunc("hour", "ts"), "resolution": F.lit("HOUR")})
+    bars = _closing_stream(spark, sf).withColumns({"ts": F.date_trunc("hour", "ts"), "resolution": F.lit("HOUR")})
     return emit(_drain(live.newest_updates(bars, "event_id")), "symbol", "resolution", "ts", *PRICES, "n_updates")
 
 
 @query("r05_tumbling")
 def _(spark, sf):
-    return emit(_drain(live.resample(_stream(spark, sf), "1 hour")), "symbol", "ts", *OHLCV, "n_bars")
+    return emit(_drain(live.resample(_closing_stream(spark, sf), "1 hour")), "symbol", "ts", *OHLCV, "n_bars")
 
 
 @query("r05_sliding")
 def _(spark, sf):
-    return emit(_drain(live.resample(_stream(spark, sf), "4 hours", "1 hour")), "symbol", "ts", *OHLCV, "n_bars")
+    return emit(_drain(live.resample(_closing_stream(spark, sf), "4 hours", "1 hour")), "symbol", "ts", *OHLCV, "n_bars")
 
 
 @query("r06_live_indicators")
 def _(spark, sf):
     ind.use_rocksdb(spark)
     path = f"{scratch_dir(spark)}/bars-{datetime.now().timestamp()}"
-    bars_1h(spark, sf).write.parquet(path)
-    schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).parquet(path)
+    bars = bars_1h(spark, sf)
+    bars.coalesce(1).write.parquet(path)
+    last = bars.agg(F.max("ts")).first()[0]
+    marker = bars.orderBy("symbol", "ts").limit(1).withColumns({"ts": F.lit(last + timedelta(days=365)), "symbol": F.lit(MARKER)})
+    marker.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(path)
     return emit(_drain(ind.live_indicators(stream)), "symbol", "ts", "ema_12", "macd_line", "macd_signal", "atr", "rsi_14", "obv", "run_length")
 
 
 @query("r07_sessions")
 def _(spark, sf):
-    return emit(_drain(live.trading_sessions(_stream(spark, sf), "30 minutes")))
+    return emit(_drain(live.trading_sessions(_closing_stream(spark, sf), "30 minutes")))
 
 
 @query("r08_live_issues")

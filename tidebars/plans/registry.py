@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,6 +81,7 @@ for _f in [
         "volume_profile", "kernel", volume.profile_flags, kernels=(volume.profile_kernel(),)
     ),
     Feature("vwap", "window", volume.vwap),
+    Feature("vwap_session", "series", volume.session_vwap, default=False),
     Feature("money_flow_index", "window", volume.money_flow_index, back=14),
     Feature("relative_strength_index", "kernel", kernels=(rec.rsi_kernel(),)),
     Feature("macd", "kernel", kernels=(rec.macd_kernel(),)),
@@ -155,9 +157,22 @@ def preconditions(df: DataFrame, by=SERIES) -> DataFrame:
     )
 
 
+def with_params(features: list[Feature], params: dict[str, dict]) -> list[Feature]:
+    """Features with arguments of their own; ``back`` and ``ahead`` among them are the reach of a window
+    that a longer parameter needs. Block kernels take none."""
+    out = []
+    for f in features:
+        own = dict(params.get(f.name) or {})
+        reach = {k: own.pop(k) for k in ("back", "ahead") if k in own}
+        if own and f.kind == "kernel":
+            raise ValueError(f"{f.name} takes no parameters")
+        out.append(replace(f, fn=partial(f.fn, **own) if own else f.fn, **reach))
+    return out
+
+
 def generate(
     bars: DataFrame,
-    names: Iterable[str] | None = None,
+    names: Iterable[str] | dict[str, dict] | None = None,
     by=SERIES,
     rows: int | None = None,
     strict: bool = True,
@@ -165,13 +180,15 @@ def generate(
 ) -> DataFrame:
     """Bars with the named features (all default ones when none are named).
 
-    Order: block kernels first, written once; then features that join per-series
-    statistics; then every bounded window in one shuffle; then running values. With
-    ``strict=False`` a feature that cannot be planned is logged and left out.
+    ``names`` may map a feature to its parameters, as ``{"volatility_regimes": {"n_regimes": 2}}``.
+    Order: row features; block kernels, written once; features that join per-series statistics,
+    written once; every bounded window in one shuffle, written before running values read it twice.
+    With ``strict=False`` a feature that cannot be planned is logged and left out, and a kernel that
+    fails on a block gives NULLs there.
     """
     check_bars(bars)
-    features = resolve(names)
-    df = with_position(bars, by)
+    features = with_params(resolve(names), names if isinstance(names, dict) else {})
+    df = placed = with_position(bars, by)
 
     def attempt(f: Feature, step: Callable[[DataFrame], DataFrame], df: DataFrame) -> DataFrame:
         try:
@@ -182,18 +199,22 @@ def generate(
             log.error("feature %s left out: %s", f.name, e)
             return df
 
+    for f in features:
+        if f.kind == "row":
+            df = attempt(f, f.fn, df)
     kernels = [k for f in features for k in f.kernels]
     if kernels:
-        df = materialize(rec.apply_kernels(df, kernels, by, rows))
+        df = materialize(rec.apply_kernels(df, kernels, by, rows, strict))
+    joined = False
     for f in features:
         if f.kind == "kernel" and f.fn:
-            df = attempt(f, lambda d, f=f: f.fn(d, by=by), df)
+            df, joined = attempt(f, lambda d, f=f: f.fn(d, by=by), df), True
         elif f.kind == "series" and not f.needs:
-            df = attempt(f, lambda d, f=f: f.fn(d, by=by, rows=rows), df)
+            df, joined = attempt(f, lambda d, f=f: f.fn(d, by=by, rows=rows), df), True
 
-    base = df
     windows = [f for f in features if f.kind == "window"]
     if windows:
+        df = materialize(df) if joined else df
         # Windows of windows: a feature that builds on others adds to their reach.
         reach: dict[str, int] = {}
         for f in windows:
@@ -207,6 +228,7 @@ def generate(
     carry = {col: kind for f in windows for col, kind in f.carry if col in df.columns}
     if carry:
         order = df.columns
+        df = materialize(df)
         df = running(df, {n: (kind, n) for n, kind in carry.items()}, by, rows)
         if "state_duration" in carry:
             df = df.withColumn("state_duration", F.col("_i") - F.col("state_duration") + 1)
@@ -214,11 +236,9 @@ def generate(
     df = df.drop("_blk")
     for f in features:
         if f.kind == "series" and f.needs:
-            # Its own pass reads the narrow base table, not the plan of all windows.
-            values = base_returns(base, by, rows)
+            # Its own pass reads the positioned bars, not the plan of all windows.
+            values = base_returns(placed, by, rows)
             df = attempt(f, lambda d, f=f, v=values: f.fn(d, by=by, values=v), df)
-        elif f.kind == "row":
-            df = attempt(f, f.fn, df)
     temps = [n for n in df.columns if n.startswith("_") and n not in ("_i", "_n")]
     return df.drop(*temps) if keep_position else df.drop("_i", "_n", *temps)
 
@@ -261,8 +281,16 @@ def add_layers(df: DataFrame, features: list[Feature], fr: Frames, strict: bool)
     return df.select(*[F.col(f"`{n}`") for n in keep])
 
 
-def generated_features(df: DataFrame) -> DataFrame:
-    """The feature columns of a table, one row each, with their type."""
-    base = {"symbol", "date", "ts", "_i", "_n", *OHLCV}
+def generated_features(df: DataFrame, by=SERIES) -> DataFrame:
+    """The feature columns of a table, one row each: type, rows that are known, NULLs, and the first known
+    position (NULL for a table without ``_i``). One pass with map-side sums."""
+    base = {*by, "date", "ts", "_i", "_n", *OHLCV}
     found = [(f.name, f.dataType.simpleString()) for f in df.schema if f.name not in base]
-    return df.sparkSession.createDataFrame(found, "feature string, type string")
+    at = F.col("_i") if "_i" in df.columns else F.lit(None).cast("long")
+    sums = [x for k, (n, _) in enumerate(found) for x in (F.count(F.col(f"`{n}`")).alias(f"k{k}"), F.min(F.when(F.col(f"`{n}`").isNotNull(), at)).alias(f"f{k}"))]
+    row = df.agg(F.count(F.lit(1)).alias("n"), *sums)
+    lines = [
+        F.struct(F.lit(n).alias("feature"), F.lit(t).alias("type"), F.col(f"k{k}").alias("n_known"), (F.col("n") - F.col(f"k{k}")).alias("n_null"), F.col(f"f{k}").alias("first_known"))
+        for k, (n, t) in enumerate(found)
+    ]
+    return row.select(F.inline(F.array(*lines)))

@@ -11,7 +11,10 @@ MAX_POINTS = 900
 
 
 def chunk_plan(ranges: DataFrame, resolution: str, max_points: int = MAX_POINTS) -> DataFrame:
-    """Chunks of at most ``max_points`` bars: ``symbol, from_ts, to_ts`` to one row per chunk."""
+    """Chunks of at most ``max_points`` bars: ``symbol, from_ts, to_ts`` to one row per chunk.
+
+    A symbol may have several ranges; chunks are numbered within each.
+    """
     step = RESOLUTION_MINUTES[resolution] * 60 * max_points
     start, end = F.unix_micros("from_ts"), F.unix_micros("to_ts")
     micros = F.lit(step * 1_000_000)
@@ -20,6 +23,7 @@ def chunk_plan(ranges: DataFrame, resolution: str, max_points: int = MAX_POINTS)
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((end - start - 1) / micros))))
         .select(
             "symbol",
+            "from_ts",
             "chunk",
             F.timestamp_micros(start + F.col("chunk") * micros).alias("chunk_start"),
             F.timestamp_micros(F.least(start + (F.col("chunk") + 1) * micros, end)).alias("chunk_end"),
@@ -41,11 +45,12 @@ def coverage(
     held = (
         bars.join(ranges, "symbol")
         .where((F.col("ts") >= F.col("from_ts")) & (F.col("ts") < F.col("to_ts")))
-        .groupBy("symbol", F.floor(at / F.lit(step)).alias("chunk"))
+        .groupBy("symbol", "from_ts", F.floor(at / F.lit(step)).alias("chunk"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     )
-    return plan.join(held, ["symbol", "chunk"], "left").select(
+    return plan.join(held, ["symbol", "from_ts", "chunk"], "left").select(
         "symbol",
+        "from_ts",
         "chunk",
         "chunk_start",
         "chunk_end",

@@ -110,19 +110,19 @@ def processed_path(path: str) -> str:
 
 
 def write_bars(
-    df: DataFrame, path: str, fmt: str = "parquet", with_date: bool = True, mode: str = "overwrite"
+    df: DataFrame, path: str, fmt: str = "parquet", with_date: bool = True, mode: str = "overwrite", by=("symbol",)
 ) -> str:
-    """Write a feature table partitioned by symbol and day, so later reads prune both.
+    """Write a feature table partitioned by series and day, so later reads prune both.
 
-    Rows are spread by symbol and day before the write: one file per folder for normal
-    days; a huge day is split by ``maxRecordsPerFile``.
+    Rows are spread by ranges of series and stamp, so every task writes about as much however large one
+    series or day is, and few files to each folder.
     """
-    parts = ["symbol"]
+    parts = list(by)
     if with_date:
         df = df.withColumn("date", F.to_date("ts"))
         parts.append("date")
     (
-        df.repartition(*parts)
+        df.repartitionByRange(*parts, "ts")
         .write.mode(mode)
         .option("header", True)
         .option("maxRecordsPerFile", 5_000_000)

@@ -80,7 +80,7 @@ def newest_updates(bars: DataFrame, arrived: str, late: str = "10 minutes") -> D
     """The update that arrived last for each symbol, resolution and stamp."""
     df = bars.withWatermark("ts", late) if bars.isStreaming else bars
     rest = ["open", "high", "low", "close"]
-    # A window of one microsecond keeps the stamp an event-time column of the state.
+    # A window of one millisecond, the resolution of live messages, keeps the stamp an event-time column.
     return (
         df.groupBy("symbol", "resolution", F.window("ts", "1 millisecond").alias("_w"))
         .agg(F.max_by(F.struct(*rest), c(arrived)).alias("_b"), F.count(F.lit(1)).alias("n_updates"))
