@@ -225,3 +225,36 @@ def test_stream_equals_batch(spark, tmp_path):
     assert len(both) == len(live) == 139
     for k in ("macd_line", "macd_signal", "atr", "rsi_14", "obv"):
         np.testing.assert_allclose(both[k].astype(float), both[f"{k}_b"].astype(float), rtol=1e-9, atol=1e-9)
+
+
+def test_scratch_tables_go_with_their_scope(spark):
+    import os
+
+    from tidebars.session import materialize, scratch
+
+    with scratch(spark) as path:
+        assert materialize(spark.range(3)).count() == 3 and os.listdir(path)
+    assert not os.path.exists(path)
+
+
+def test_positions_of_another_series_are_refused(spark):
+    df = with_position(spark.createDataFrame([("a", "x", 1), ("a", "y", 2)], "symbol string, venue string, ts long"))
+    with pytest.raises(ValueError, match="positioned within"):
+        with_position(df, ["venue", "symbol"])
+
+
+def test_panels_keyed_by_two_columns(spark):
+    from datetime import datetime
+
+    from tidebars.operators.validate import issues
+
+    pdf = pd.concat([walk(60).assign(exchange="p"), walk(60).assign(exchange="q")])
+    found = issues(spark.createDataFrame(pdf), datetime(2000, 1, 1), by=("exchange", "symbol"))
+    assert {r["exchange"] for r in found.where("code = 'future'").collect()} == {"p", "q"}
+
+
+def test_plan_of_all_features_reads_tables_a_few_times(spark, sf_dir):
+    from tidebars.plans.queries import bars_1h
+
+    plan = generate(bars_1h(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") + plan.count("Relation[") <= 8

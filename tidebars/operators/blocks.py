@@ -26,7 +26,7 @@ SERIES = ("symbol",)
 
 
 def with_position(
-    df: DataFrame, by: Sequence[str] = SERIES, order: Sequence[str] = ("ts",)
+    df: DataFrame, by: Sequence[str] = SERIES, order: Sequence[str] = ("ts",), tasks: int | None = None
 ) -> DataFrame:
     """Add ``_i``, the row's zero-based place in its series, and ``_n``, the series length.
 
@@ -34,16 +34,23 @@ def with_position(
     columns, and one without them is an error rather than a row lost. The range shuffle gives
     every task a contiguous run of about equal size whatever the keys look like; the
     runs are written once, because the bounds of a range shuffle are sampled anew
-    each time it is planned.
+    each time it is planned. ``tasks``, or the setting ``tidebars.rangePartitions``, is the number of runs
+    (the number of shuffle partitions otherwise); a run should fit in a task's memory, say 256 MB.
+
+    A table that has positions keeps them if they were made for the same series and order; positions
+    of an unknown order (a table read from elsewhere) are trusted.
     """
+    by, order = list(by), list(order)
     if "_i" in df.columns:
+        made = df.schema["_i"].metadata.get("series")
+        if made and made != by:
+            raise ValueError(f"the table is positioned within {made}, not {by}")
         return df
-    by, order = list(by), list(order)
+    conf = df.sparkSession.conf
+    tasks = tasks or int(conf.get("tidebars.rangePartitions", conf.get("spark.sql.shuffle.partitions")))
     named = {k: F.coalesce(c(k), F.raise_error(F.lit(f"a row has no {k}"))) for k in by}
     placed = materialize(
-        df.withColumns(named).repartitionByRange(
-            int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, *order
-        )
+        df.withColumns(named).repartitionByRange(tasks, *by, *order)
         .sortWithinPartitions(*by, *order)
         .withColumn("_id", F.monotonically_increasing_id())
         .withColumn("_run", F.shiftright("_id", 33))
@@ -61,7 +68,8 @@ def with_position(
         F.sum("_rows").over(w).alias("_n"),
     )
     out = join_small(placed, runs, [*by, "_run"])
-    return out.withColumn("_i", F.col("_id") + F.col("_shift")).drop("_id", "_run", "_shift")
+    at = (F.col("_id") + F.col("_shift")).alias("_i", metadata={"series": by})
+    return out.select("*", at).drop("_id", "_run", "_shift")
 
 
 def home_block(rows: int) -> Column:

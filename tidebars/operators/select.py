@@ -7,7 +7,7 @@ import logging
 import numpy as np
 import pandas as pd
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -134,13 +134,16 @@ def _assembled(df: DataFrame, cols: list[str], target: str, extra: list[str] = (
 
 
 def tree_importance(
-    df: DataFrame, target: str = "close", trees: int = 100, depth: int = 6, seed: int = 42
+    df: DataFrame, target: str = "close", trees: int = 100, depth: int = 6, seed: int = 42, fit_rows: int = 1_000_000
 ) -> DataFrame:
-    """Importance of each feature in boosted trees on a random 80 % of rows."""
+    """Importance of each feature in boosted trees on 80 % of rows, at most about ``fit_rows``, chosen by a
+    hash of the row."""
     cols = features_of(df, target)
-    train, _ = _assembled(df, cols, target).randomSplit([0.8, 0.2], seed)
+    rows = _assembled(df, cols, target)
+    share = min(0.8, fit_rows / max(1, rows.count()))
+    train = rows.where(F.pmod(F.xxhash64("_x", "_label", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)))
     model = GBTRegressor(
-        featuresCol="_x", labelCol="_label", maxIter=trees, maxDepth=depth, seed=seed
+        featuresCol="_x", labelCol="_label", maxIter=trees, maxDepth=depth, seed=seed, checkpointInterval=10
     ).fit(train)
     scores = [(n, float(s)) for n, s in zip(cols, model.featureImportances.toArray())]
     return df.sparkSession.createDataFrame(scores, "feature string, importance double")
@@ -168,49 +171,56 @@ def rfecv(
     df: DataFrame,
     target: str = "close",
     min_features: int = 5,
-    step: int = 2,
+    step: int | float = 2,
     splits: int = 5,
     trees: int = 100,
     depth: int = 4,
     seed: int = 42,
+    fit_rows: int = 100_000,
 ) -> tuple[list[str], DataFrame]:
     """Drop the weakest features round by round; the best mean score over time folds wins.
 
+    ``step`` features go in a round, or that share of them if it is below 1. Trees are fitted on at most
+    about ``fit_rows`` rows of each training part, chosen by a hash of the row; every row of a test fold
+    is scored. The chosen features are those of the last fold's ranking, which saw the most rows.
     Returns the features and a report ``n_features, score`` (negative mean squared error).
     """
     cols = features_of(df, target)
-    folds = time_folds(df, splits).cache()
-    spark = df.sparkSession
+    # Assembled once; a round reads a slice of the vector.
+    folds = _assembled(time_folds(df, splits), cols, target, ["_fold"]).withColumn("_draw", F.pmod(F.xxhash64("_x", "_label"), F.lit(1 << 20)))
+    folds = folds.cache()
+    sizes = {r["_fold"]: r["count"] for r in folds.groupBy("_fold").count().collect()}
 
-    def fit(rows: DataFrame, names: list[str]):
-        gbt = GBTRegressor(featuresCol="_x", labelCol="_label", maxIter=trees, maxDepth=depth, seed=seed)
-        return gbt.fit(_assembled(rows, names, target))
-
-    def rounds(train: DataFrame, test: DataFrame | None):
+    def rounds(k: int):
         """Feature set and score of each round, largest set first."""
-        names, out = list(cols), []
+        share = fit_rows / max(1, sum(n for f, n in sizes.items() if f < k))
+        train, test = folds.where((F.col("_fold") < k) & (F.col("_draw") < int(min(1.0, share) * (1 << 20)))), folds.where(F.col("_fold") == k)
+        at, out = list(range(len(cols))), []
         while True:
-            model = fit(train, names)
-            score = None
-            if test is not None:
-                judge = RegressionEvaluator(labelCol="_label", metricName="mse")
-                score = -judge.evaluate(model.transform(_assembled(test, names, target)))
-            out.append((list(names), score))
-            if len(names) <= min_features:
+            cut = VectorSlicer(inputCol="_x", outputCol="_part", indices=at)
+            gbt = GBTRegressor(featuresCol="_part", labelCol="_label", maxIter=trees, maxDepth=depth, seed=seed, checkpointInterval=10)
+            model = gbt.fit(cut.transform(train))
+            judge = RegressionEvaluator(labelCol="_label", metricName="mse")
+            out.append(([cols[i] for i in at], -judge.evaluate(model.transform(cut.transform(test)))))
+            if len(at) <= min_features:
                 return out
+            n = max(1, int(len(at) * step)) if step < 1 else int(step)
             weak = np.argsort(model.featureImportances.toArray(), kind="stable")
-            gone = {names[i] for i in weak[: min(step, len(names) - min_features)]}
-            names = [n for n in names if n not in gone]
+            gone = {at[i] for i in weak[: min(n, len(at) - min_features)]}
+            at = [i for i in at if i not in gone]
 
     scores: dict[int, list[float]] = {}
-    for k in range(1, splits + 1):
-        for names, score in rounds(folds.where(F.col("_fold") < k), folds.where(F.col("_fold") == k)):
-            scores.setdefault(len(names), []).append(score)
+    try:
+        for k in range(1, splits + 1):
+            last = rounds(k)
+            for names, score in last:
+                scores.setdefault(len(names), []).append(score)
+    finally:
+        folds.unpersist()
     mean = {n: float(np.mean(s)) for n, s in scores.items()}
     best = max(sorted(mean), key=lambda n: mean[n])
-    chosen = next(names for names, _ in rounds(folds, None) if len(names) == best)
-    folds.unpersist()
-    return chosen, spark.createDataFrame(sorted(mean.items()), "n_features int, score double")
+    chosen = next(names for names, _ in last if len(names) == best)
+    return chosen, df.sparkSession.createDataFrame(sorted(mean.items()), "n_features int, score double")
 
 
 def votes(spark, chosen: dict[str, list[str] | None], target: str) -> DataFrame:
@@ -232,13 +242,14 @@ def select_features(
     k: int = 5,
     trees: int = 100,
     keys: list[str] = ("symbol", "ts"),
+    rfe: dict | None = None,
 ) -> DataFrame:
-    """Keys, the features most methods agree on, and the target."""
+    """Keys, the features most methods agree on, and the target. ``rfe``: arguments of ``rfecv``."""
     x = model_matrix(df, target)
     run = {
         "cfs": lambda: cfs(x, target, k),
         "trees": lambda: select_by_trees(x, target, trees=trees),
-        "rfe": lambda: rfecv(x, target, k, trees=trees)[0],
+        "rfe": lambda: rfecv(x, target, k, **{"trees": trees, **(rfe or {})})[0],
     }
     chosen: dict[str, list[str] | None] = {}
     for m in methods:

@@ -65,19 +65,19 @@ def drop_warmup(df: DataFrame, by=SERIES) -> DataFrame:
     return out.withColumns({"_i": F.col("_i") - F.col("_cut"), "_n": F.col("_n") - F.col("_cut")}).drop("_cut")
 
 
-def fill_scattered(df: DataFrame, by=SERIES, rows: int | None = None) -> DataFrame:
-    """Carry values forward; rows before the first value take that value."""
+def fill_scattered(df: DataFrame, by=SERIES, rows: int | None = None, only: list[str] | None = None) -> DataFrame:
+    """Carry values forward; rows before the first value take that value. ``only`` names the columns that
+    have NULLs, if that is known: the others need no running values."""
     df = with_position(df, by)
-    cols = [n for n in df.columns if n not in {*_KEYS, *by}]
+    cols = [n for n in (df.columns if only is None else only) if n not in {*_KEYS, *by}]
+    if not cols:
+        return df
     specs = {}
     for n in cols:
         specs[f"_p_{n}"] = ("last", n)
         specs[f"_f_{n}"] = ("next", n)
     out = running(df, specs, by, rows)
-    return out.select(
-        *[c(n) for n in df.columns if n not in cols],
-        *[F.coalesce(c(f"_p_{n}"), c(f"_f_{n}")).alias(n) for n in cols],
-    )
+    return out.select(*[F.coalesce(c(f"_p_{n}"), c(f"_f_{n}")).alias(n) if n in cols else c(n) for n in df.columns])
 
 
 def unique_names(df: DataFrame) -> DataFrame:
@@ -205,11 +205,6 @@ def normalize(
     return rolling_scale(df, [*g.price, *volume, *g.z], g.minmax, n, preserve, backfill, by, rows)
 
 
-def has_nulls(df: DataFrame) -> bool:
-    cols = [n for n in df.columns if n not in _KEYS]
-    return not df.where(F.coalesce(*[F.when(c(n).isNull(), 1) for n in cols]).isNotNull()).isEmpty()
-
-
 def transform(
     df: DataFrame, preserve: bool = False, n: int = 20, by=SERIES, rows: int | None = None
 ) -> DataFrame:
@@ -218,7 +213,9 @@ def transform(
     shares = {r["column"]: r["null_share"] for r in null_shares(df).collect()}
     if any(s > 0 for s in shares.values()):
         df = df.drop(*[k for k, s in shares.items() if s > NULL_SHARE])
-        df = fill_scattered(materialize(drop_warmup(df, by)), by, rows)
+        df = materialize(drop_warmup(df, by))
+        left = [r["column"] for r in null_shares(df).where("null_share > 0").collect()]
+        df = fill_scattered(df, by, rows, left)
     return normalize(materialize(df), preserve, n, True, by, rows)
 
 

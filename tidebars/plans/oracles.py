@@ -948,7 +948,7 @@ UNION ALL SELECT symbol, ts, 'low_price' FROM x WHERE low <= 0 UNION ALL SELECT
 UNION ALL SELECT symbol, ts, 'negative_volume' FROM x WHERE volume < 0"""
 
 ORACLES["u01_own_feature"] = sql(BARS, out({"hl_spread": f"{roll('max', 'high', 3)} - {roll('min', 'low', 3)}"}, "b"))
-ORACLES["u02_rolling_function"] = sql(BARS, out({"median_7": roll("median", "close", 7)}, "b"))
+ORACLES["u02_rolling_function"] = sql(BARS, out({"mad_7": roll("mad", "close", 7)}, "b"))
 ORACLES["u03_exact_quantiles"] = "SELECT event_type AS symbol, " + ", ".join(
     f"round(quantile_cont({x}, {p}), 6) + 0.0 AS {n}_{k}"
     for n, x in (("price", "value"), ("size", "CAST(json_extract_string(props, '$.k') AS DOUBLE)"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -313,7 +314,8 @@ def _position_docs(spark, sf):
     orders = table(spark, sf, "orders")
     deal = F.when(c("o_orderkey") % 5 != 0, F.concat(F.lit("D"), c("o_orderkey").cast("string")))
     position = F.struct(F.struct(deal.alias("dealId")).alias("position"))
-    return orders.groupBy("o_custkey").agg(
+    # Documents of at most 1000 keys each, however many orders a customer has.
+    return orders.groupBy("o_custkey", F.floor(F.col("o_orderkey") / 1000).alias("part")).agg(
         F.to_json(F.struct(F.collect_list(position).alias("positions"), F.lit("X1").alias("dealReference"))).alias("body")
     )
 
@@ -754,7 +756,7 @@ def _(spark, sf):
 
 @query("l03_tree_importance")
 def _(spark, sf):
-    return sel.tree_importance(_selection_table(spark, sf), "close", trees=20)
+    return sel.tree_importance(_selection_table(spark, sf), "close")
 
 
 @query("l04_rfecv")
@@ -1006,11 +1008,13 @@ def _(spark, sf):
 
 @query("u02_rolling_function")
 def _(spark, sf):
-    """A rolling median as a pandas function over bounded blocks."""
+    """The median absolute deviation of the last seven closes, which no built-in aggregate gives."""
     from tidebars.functions.rolling import rolling_apply
 
-    out = rolling_apply(bars_1h(spark, sf), "close", "median_7", 7, lambda x: x.median())
-    return emit(out, "symbol", "ts", "median_7")
+    def mad(windows):
+        return np.median(np.abs(windows - np.median(windows, axis=1, keepdims=True)), axis=1)
+
+    return emit(rolling_apply(bars_1h(spark, sf), "close", "mad_7", 7, mad), "symbol", "ts", "mad_7")
 
 
 @query("u03_exact_quantiles")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,12 +29,33 @@ def get_spark(app: str = "tidebars", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+_SCOPES: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own for all tables that are written inside, removed at the end.
+
+    Write or collect results before leaving: plans that read the tables end with them.
+    """
+    path = f"{scratch_dir(spark)}/scope-{uuid.uuid4().hex}"
+    _SCOPES.append(path)
+    try:
+        yield path
+    finally:
+        _SCOPES.remove(path)
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
     A local session without that setting gets a folder of its own; on a cluster
     it is an error, since executors share no machine-local folder.
     """
+    if _SCOPES:
+        return _SCOPES[-1]
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
