@@ -21,11 +21,11 @@ id has no component and is kept; repeated rows fall in one class; an empty table
 
 from __future__ import annotations
 
+import collections
 import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -165,23 +165,49 @@ def compared(members: DataFrame, matches: int, best: int | None) -> DataFrame:
     left = here.select("token", "i", F.explode(F.sequence(F.lit(0).cast("long"), rights - 1)).alias("j"), F.lit(False).alias("minor"), "id", "comp", "sig")
     right = here.where("comp <> main").select("token", F.explode(F.sequence(F.lit(0).cast("long"), lefts - 1)).alias("i"), "j", F.lit(True).alias("minor"), "id", "comp", "sig")
 
-    def block(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["minor", "id"])
-        a, b = rows[~rows["minor"]], rows[rows["minor"]]
-        found = []
-        if len(a) and len(b):
-            x, y = np.array(a["sig"].tolist(), "i4"), np.array(b["sig"].tolist(), "i4")
-            ca, cb, ia, ib = a["comp"].to_numpy(), b["comp"].to_numpy(), a["id"].to_numpy(), b["id"].to_numpy()
-            for k in range(len(b)):
-                agree = (x == y[k]).sum(1)
-                for r in np.flatnonzero((agree >= matches) & (ca != cb[k])):
-                    found.append((min(ca[r], cb[k]), max(ca[r], cb[k]), -agree[r], min(ia[r], ib[k]), max(ia[r], ib[k])))
-        out = pd.DataFrame(sorted(set(found)), columns=["p", "q", "n", "a", "b"])
-        if best:
-            out = out.groupby(["p", "q"]).head(best)
-        return out[["a", "b"]].astype("int64")
-
-    return left.unionByName(right).groupBy("token", "i", "j").applyInPandas(block, "a long, b long").distinct()
+    def block(x: dict[str, np.ndarray]) -> list[tuple]:
+        """(component, component, -agreeing, id, id) of one block's pairs."""
+        a, b = np.flatnonzero(~x["minor"]), np.flatnonzero(x["minor"])
+        if not len(a) or not len(b):
+            return []
+        agree = np.stack([(x["sig"][a] == s).sum(1) for s in x["sig"][b]])
+        r, k = np.nonzero((agree >= matches) & (x["comp"][b][:, None] != x["comp"][a][None]))
+        low, high = np.minimum(x["id"][b[r]], x["id"][a[k]]), np.maximum(x["id"][b[r]], x["id"][a[k]])
+        p, q = np.minimum(x["comp"][b[r]], x["comp"][a[k]]), np.maximum(x["comp"][b[r]], x["comp"][a[k]])
+        out = sorted(set(zip(p.tolist(), q.tolist(), (-agree[r, k]).tolist(), low.tolist(), high.tolist(), strict=True)))
+        seen: collections.Counter = collections.Counter()
+        kept = []
+        for row in out:
+            seen[row[:2]] += 1
+            if not best or seen[row[:2]] <= best:
+                kept.append(row)
+        return kept
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def done(x: dict[str, np.ndarray], ends: np.ndarray) -> pa.RecordBatch:
+            found, at = set(), 0
+            for end in ends.tolist():
+                found.update((r[3], r[4]) for r in block({k: v[at:end] for k, v in x.items()}))
+                at = end
+            return pa.RecordBatch.from_pydict({"a": [f[0] for f in found], "b": [f[1] for f in found]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+        for batch in slices(batches, 8192):
+            new = {n: batch.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(batch.schema.names) if n != "sig"}
+            new["sig"] = batch.column(batch.schema.get_field_index("sig")).flatten().to_numpy().reshape(-1, COORDINATES)
+            held = {n: np.concatenate([held[n], v]) for n, v in new.items()} if held else new
+            borders = np.flatnonzero((np.diff(held["token"]) != 0) | (np.diff(held["i"]) != 0) | (np.diff(held["j"]) != 0)) + 1
+            if len(borders):
+                yield done(held, borders)
+                held = {n: v[borders[-1] :] for n, v in held.items()}
+        if held:
+            yield done(held, np.array([len(held["token"])]))
+
+    # Rows come block by block; only one block is held.
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = left.unionByName(right).repartition(tasks, "token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
