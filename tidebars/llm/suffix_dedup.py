@@ -8,14 +8,15 @@ preceding characters, so after k passes suffixes stand in the order of their fir
 and McMillan 2014). Block borders that appear in pass k mark a common prefix of k - 1; the blocks
 left after ``LENGTH`` passes are the repeated strings, with no suffix sorted again.
 
-What is sorted is little. Every string of ``LENGTH`` bytes has an anchor, one of its ``ANCHOR``-byte
-parts that depends on the string alone (sampling as in mod-minimizers). Anchors that occur once cannot
-be in a repeated string. Their hashes are sent, folded for each task, to owners of hash ranges, which
-answer with those that occur again; only text around these goes on, as segments: the maximal runs of
-strings with one anchor. Equal segments are folded, and segments of one anchor meet in one group, so
-each group finds all repeats of its strings. Anchors with very many different segments (the edges of
-a passage that a third of all documents share) are split into single strings, which are dealt by
-content.
+What is sorted is little. Copies of a text are told from its digest; of them the first alone goes on.
+Every string of ``LENGTH`` bytes has an anchor, one of its ``ANCHOR``-byte parts that depends on the
+string alone (sampling as in mod-minimizers). Anchors that occur once cannot be in a repeated string.
+Their hashes are sent, counted for each part of the documents, to owners of hash ranges, which answer
+with those that occur again; only text around these goes on, as segments: the maximal runs of strings
+with one anchor. Segments of one anchor meet in one group, so each group finds all repeats of its
+strings; of equal segments in a part, one is sent and the others are known to go. Segments of anchors
+with very many places (the edges of a passage that a third of all documents share) are split into
+single strings, which are dealt by content.
 
 Defined results: NULL counts as empty; texts shorter than ``LENGTH`` lose nothing; repeated rows have
 the same id and so do not remove each other; rows with a NULL id come after all others; an empty table
@@ -24,12 +25,14 @@ gives an empty table.
 
 from __future__ import annotations
 
+import collections
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +40,10 @@ from tidebars.llm.common import slices, texts
 from tidebars.session import materialize
 
 LENGTH = 50
-ANCHOR = 32
-HOT = 2000  # different segments of one anchor
+ANCHOR = 16
+HOT = 2000  # places of one anchor
 SHARD = 1 << 18  # characters sorted at once
+HELD = 64 << 20  # bytes of different texts that a task folds at once
 FLUSH = 4 << 20  # anchors that a task folds at once
 LAST = 2**63 - 1
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -175,123 +179,218 @@ def least_owner(segments: list[bytes], owners: np.ndarray, length: int = LENGTH,
 # -- the job ------------------------------------------------------------------------------------------
 
 
-def repeated_anchors(docs: DataFrame, parts: int) -> DataFrame:
-    """(part, hashes): for each part of the documents those of its anchors that occur again somewhere."""
-    ranges = 2 * parts
+def unique_texts(docs: DataFrame, parts: int) -> DataFrame:
+    """(part, doc_id, text), dealt by part. A text's part follows from the text, so all its copies meet;
+    copies within a task are folded before, under their least id."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, int] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            items = list(held.items())
+            for at in range(0, len(items), 256):
+                some = items[at : at + 256]
+                yield pa.RecordBatch.from_pydict({"part": [xxhash.xxh3_64_intdigest(t) % parts for t, _ in some], "doc_id": [d for _, d in some], "text": [t for t, _ in some]}, schema=TEXTS)
+
+        for batch in slices(batches, 1024):
+            for doc, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
+                if text not in held:
+                    held[text] = doc
+                    size += len(text) + 100
+                elif doc < held[text]:
+                    held[text] = doc
+            if size > HELD:
+                yield from flush()
+                held, size = {}, 0
+        yield from flush()
+
+    TEXTS = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("text", pa.binary())])
+    return docs.select("doc_id", "text").mapInArrow(fold, "part int, doc_id long, text binary").repartition(parts // 2, "part")
+
+
+def _ordered(rows: pd.DataFrame) -> list[tuple[bytes, bytes, int]]:
+    """(digest, text, least id) of the different texts of a part, in the order of their digests."""
+    found: dict[bytes, int] = {}
+    for doc, text in zip(rows["doc_id"].tolist(), rows["text"], strict=True):
+        found[text] = min(doc, found.get(text, LAST))
+    return sorted((hashlib.sha256(t).digest(), t, d) for t, d in found.items())
+
+
+def repeated_anchors(texts_: DataFrame, owners: int) -> DataFrame:
+    """(part, hashes): for each part those of its anchors that occur again somewhere, 48 bits of hash and,
+    below, whether there are more than HOT."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: dict[int, list[np.ndarray]] = collections.defaultdict(list)
+        seen, size = set(), 0
 
         def flush() -> pa.RecordBatch:
-            e = np.sort(np.concatenate(held))  # hash of 47 bits, 0, part of 16 bits
-            same = e[1:] >> np.uint64(17) == e[:-1] >> np.uint64(17)
-            again = np.append(same, False) | np.append(False, same)
-            e = np.unique(e | again.astype("u8") << np.uint64(16))
-            owner = ((e >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype("i8")
-            cut = np.searchsorted(owner, np.arange(ranges + 1))
-            rows = [(k, e[cut[k] : cut[k + 1]].tobytes()) for k in range(ranges) if cut[k] < cut[k + 1]]
-            return pa.RecordBatch.from_pydict({"owner": [r[0] for r in rows], "body": [r[1] for r in rows]}, schema=pa.schema([("owner", pa.int32()), ("body", pa.binary())]))
+            rows = []
+            for part, arrays in held.items():
+                h, n = np.unique(np.concatenate(arrays), return_counts=True)
+                packed = np.empty((len(h), 7), "u1")
+                packed[:, :6] = h.view("u1").reshape(-1, 8)[:, :6]
+                packed[:, 6] = np.minimum(n, 255)
+                cut = np.searchsorted(h, np.arange(owners + 1, dtype="u8") * np.uint64((1 << 48) // owners))
+                cut[-1] = len(h)
+                rows += [(k, part, packed[cut[k] : cut[k + 1]].tobytes()) for k in range(owners) if cut[k] < cut[k + 1]]
+            return pa.RecordBatch.from_pydict({n: [r[k] for r in rows] for k, n in enumerate(("owner", "part", "body"))}, schema=SENT)
 
         for batch in slices(batches, 256):
-            who, _, _, h = anchors(texts(batch))
-            part = batch.column(0).to_numpy().astype("u8")
-            if len(h):
-                held.append(h >> np.uint64(17) << np.uint64(17) | part[who])
-            if sum(map(len, held)) >= FLUSH:
+            new = []
+            for part, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                digest = xxhash.xxh3_128_digest(text)
+                if digest not in seen:
+                    seen.add(digest)
+                    new.append((part, text))
+            who, _, _, h = anchors([t for _, t in new])
+            part = np.array([p for p, _ in new])[who] if len(new) else who
+            for p in np.unique(part).tolist():
+                held[p].append(h[part == p] >> np.uint64(16))
+            size += len(h)
+            if size >= FLUSH:
                 yield flush()
-                held = []
+                held.clear()
+                size = 0
         if held:
             yield flush()
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
-        e = np.sort(np.concatenate([np.frombuffer(b, "u8") for b in rows["body"]]))
-        h = e >> np.uint64(17)
-        same = h[1:] == h[:-1]
-        again = np.append(same, False) | np.append(False, same) | (e >> np.uint64(16) & np.uint64(1)).astype(bool)
-        # A flagged entry vouches for the others of its hash, which stand next to it.
-        e = e[again]
-        part = (e & np.uint64(0xFFFF)).astype("i8")
+        bodies = [np.frombuffer(b, "u1").reshape(-1, 7) for b in rows["body"]]
+        part = np.repeat(rows["part"].to_numpy(), [len(b) for b in bodies])
+        every = np.concatenate(bodies)
+        wide = np.zeros((len(every), 8), "u1")
+        wide[:, :6] = every[:, :6]
+        h = wide.view("u8").ravel()
+        order = np.argsort(h, kind="stable")
+        h, part, n = h[order], part[order], every[order, 6].astype("i8")
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        total = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(h))))
+        keep = total > 1
+        h, part = h[keep] << np.uint64(1) | (total[keep] > HOT), part[keep]
         order = np.argsort(part, kind="stable")
-        part, h = part[order], (e >> np.uint64(17))[order]
+        h, part = h[order], part[order]
         cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.empty(0, "i8")
         return pd.DataFrame({"part": part[cut].astype("i4"), "hashes": [x.tobytes() for x in np.split(h, cut[1:])] if len(cut) else []})
 
-    sent = docs.select("part", "text").mapInArrow(send, "owner int, body binary")
+    SENT = pa.schema([("owner", pa.int32()), ("part", pa.int32()), ("body", pa.binary())])
+    sent = texts_.mapInArrow(send, "owner int, part int, body binary")
     return sent.groupBy("owner").applyInPandas(answer, "part int, hashes binary")
 
 
-def segments(docs: DataFrame, hashes: DataFrame) -> DataFrame:
-    """A row for each document (start NULL; body only where it has segments) and one for each segment
-    around a repeated anchor (start, body, anchor)."""
+def segments(texts_: DataFrame, hashes: DataFrame, groups: int) -> DataFrame:
+    """Text around repeated anchors: g, part, number of the text in it, doc_id, starts, body.
+
+    Of equal segments of a part only those of the least document are still open; the others are known to go,
+    and come without a body, with the number of strings instead (``sure``).
+    """
 
-    def find(texts_: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        known = np.unique(np.concatenate([np.frombuffer(b, "u8") for b in found["hashes"]])) if len(found) else np.empty(0, "u8")
+    def find(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
-        bodies = [t or b"" for t in texts_["text"]]
-        ids, rows = texts_["doc_id"].tolist(), texts_["row"].tolist()
-        for at in range(0, len(bodies), 256):
-            some = bodies[at : at + 256]
-            who, begin, last, h = anchors(some)
-            short = h >> np.uint64(17)
-            spot = np.minimum(np.searchsorted(known, short), max(0, len(known) - 1))
-            hit = known[spot] == short if len(known) else np.zeros(len(h), bool)
-            who, begin, last, h = who[hit], begin[hit], last[hit], h[hit]
-            marked = set(who.tolist())
-            for k, t in enumerate(some):
-                out.append((rows[at + k], ids[at + k], None, None, len(t), None if k in marked else hashlib.sha256(t).hexdigest(), t if k in marked else None))
-            for k, a, b, x in zip(who.tolist(), begin.tolist(), last.tolist(), h.view("i8").tolist(), strict=True):
-                out.append((rows[at + k], ids[at + k], a, x, None, None, some[k][a : b + LENGTH]))
-        frame = pd.DataFrame(out, columns=["row", "doc_id", "start", "anchor", "n", "sha", "body"], dtype=object)
-        return frame.astype({c: "Int64" for c in ("row", "doc_id", "start", "anchor", "n")})
-
-    schema = "row long, doc_id long, start long, anchor long, n long, sha string, body binary"
-    return docs.groupBy("part").cogroup(hashes.groupBy("part")).applyInPandas(find, schema)
+        if len(found) and len(rows):
+            part = int(rows["part"].iloc[0])
+            known = np.sort(np.concatenate([np.frombuffer(b, "u8") for b in found["hashes"]]))
+            open_: dict[tuple[int, bytes], list] = {}
+            ordered = _ordered(rows)
+            for at in range(0, len(ordered), 256):
+                some = ordered[at : at + 256]
+                who, begin, last, h = anchors([t for _, t, _ in some])
+                key = h >> np.uint64(16)
+                spot = np.minimum(np.searchsorted(known, key << np.uint64(1)), len(known) - 1)
+                hit = known[spot] >> np.uint64(1) == key
+                is_hot = (known[spot] & np.uint64(1)).astype(bool)
+                for k, a, b, x, hot in zip(*(v[hit].tolist() for v in (who, begin, last, key, is_hot)), strict=True):
+                    _, text, doc = some[k]
+                    for start, end in [(s, s) for s in range(a, b + 1)] if hot else [(a, b)]:
+                        body = text[start : end + LENGTH]
+                        g = xxhash.xxh3_64_intdigest(body) % groups if hot else x % groups
+                        entry = open_.get((g, body))
+                        if entry is None:
+                            open_[g, body] = [doc, at + k, [start]]
+                        elif entry[1] == at + k:
+                            entry[2].append(start)
+                        elif entry[0] == doc:
+                            out.append((g, part, at + k, doc, [start], 0, body))
+                        else:
+                            gone = (at + k, doc, [start])
+                            if doc < entry[0]:
+                                gone = (entry[1], entry[0], entry[2])
+                                open_[g, body] = [doc, at + k, [start]]
+                            out.append((g, part, *gone, len(body) - LENGTH + 1, None))
+            out += [(g, part, k, doc, starts, 0, body) for (g, body), (doc, k, starts) in sorted(open_.items(), key=lambda e: e[0])]
+        return pd.DataFrame(out, columns=["g", "part", "k", "doc_id", "starts", "sure", "body"])
+
+    schema = "g int, part int, k int, doc_id long, starts array<int>, sure int, body binary"
+    return texts_.groupBy("part").cogroup(hashes.groupBy("part")).applyInPandas(find, schema)
+
+
+def marks(cut: DataFrame) -> DataFrame:
+    """part, k, start, bits: which strings of a segment go."""
 
+    def group(rows: pd.DataFrame) -> pd.DataFrame:
+        out = [(p, k, s, (1 << n) - 1) for p, k, starts, n in zip(rows["part"], rows["k"], rows["starts"], rows["sure"], strict=True) if n for s in starts]
+        rows = rows[rows["sure"] == 0]
+        least: dict[bytes, int] = {}
+        for body, doc in zip(rows["body"], rows["doc_id"].tolist(), strict=True):
+            least[body] = min(doc, least.get(body, LAST))
+        bodies = list(least)
+        found = dict(zip(bodies, least_owner(bodies, np.array(list(least.values()), "i8")), strict=True)) if bodies else {}
+        for p, k, doc, starts, body in zip(rows["part"], rows["k"], rows["doc_id"].tolist(), rows["starts"], rows["body"], strict=True):
+            bits = int((1 << np.flatnonzero(found[body] < doc)).sum())
+            if bits:
+                out += [(p, k, s, bits) for s in starts]
+        return pd.DataFrame(out, columns=["part", "k", "start", "bits"])
+
+    return cut.groupBy("g").applyInPandas(group, "part int, k int, start int, bits long")
+
+
+def cut_out(texts_: DataFrame, gone: DataFrame) -> DataFrame:
+    """For each different text: digest, least id, and what is removed from that document."""
+
+    def run(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        order = np.argsort(found["k"].to_numpy(), kind="stable")
+        k, start, bits = (found[c].to_numpy()[order] for c in ("k", "start", "bits"))
+        ordered = _ordered(rows) if len(rows) else []
+        cut = np.searchsorted(k, np.arange(len(ordered) + 1)) if len(k) else np.zeros(len(ordered) + 1, "i8")
+        for i, (digest, text, doc) in enumerate(ordered):
+            if cut[i] == cut[i + 1]:
+                out.append((digest, doc, len(text), 0, 0, digest.hex()))
+                continue
+            step = np.zeros(len(text) + 1, "i4")
+            for s, b in zip(start[cut[i] : cut[i + 1]].tolist(), bits[cut[i] : cut[i + 1]].tolist(), strict=True):
+                on = s + np.flatnonzero(b >> np.arange(b.bit_length()) & 1)
+                np.add.at(step, on, 1)
+                np.add.at(step, on + LENGTH, -1)
+            off = np.cumsum(step)[:-1] > 0
+            runs = int(off[0]) + int((off[1:] & ~off[:-1]).sum())
+            rest = np.frombuffer(text, "u1")[~off].tobytes()
+            out.append((digest, doc, len(text), int(off.sum()), runs, hashlib.sha256(rest).hexdigest()))
+        return pd.DataFrame(out, columns=["digest", "first_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    schema = "digest binary, first_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return texts_.groupBy("part").cogroup(gone.groupBy("part")).applyInPandas(run, schema)
 
-def removed(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
-    parts = min(65_535, parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    data = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    # The part follows from the row's content, so both passes deal alike. Rows that repeat an id and text share a
-    # row number, and are told apart by nothing else.
-    data = data.withColumn("row", F.xxhash64("doc_id", "text")).withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
-    made = materialize(segments(data, repeated_anchors(data, parts)))
-    whole, cut = made.where("start IS NULL"), made.where("start IS NOT NULL").select("row", "doc_id", "start", "anchor", "body")
-    folded = materialize(cut.groupBy("anchor", "body").agg(F.min("doc_id").alias("owner")))
-    hot = folded.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor")
-    single = f"transform(sequence(0, length(body) - {LENGTH}), k -> struct(k, substring(body, k + 1, {LENGTH}) AS body))"
-    kept = folded.join(hot, "anchor", "left_anti").select("body", "owner", F.pmod("anchor", F.lit(2 * parts)).alias("g"))
-    split = folded.join(hot, "anchor", "left_semi").select("owner", F.explode(F.expr(single)).alias("x")).groupBy("x.body").agg(F.min("owner").alias("owner")).select("body", "owner", F.pmod(F.xxhash64("body"), F.lit(2 * parts)).alias("g"))
 
-    def group(rows: pd.DataFrame) -> pd.DataFrame:
-        bodies, owners = rows["body"].tolist(), rows["owner"].to_numpy()
-        return pd.DataFrame({"body": bodies, "least": least_owner(bodies, owners)})
-
-    least = kept.unionByName(split).groupBy("g").applyInPandas(group, "body binary, least array<long>")
-    asked = cut.join(hot, "anchor", "left_anti").select("row", "doc_id", "start", "body").unionByName(
-        cut.join(hot, "anchor", "left_semi").select("row", "doc_id", "start", F.explode(F.expr(single)).alias("x")).select("row", "doc_id", (F.col("start") + F.col("x.k")).alias("start"), "x.body")
-    )
-    earlier = "aggregate(transform(least, (m, k) -> if(m < doc_id, shiftleft(1L, k), 0L)), 0L, (a, x) -> a | x)"
-    marks = asked.join(least, "body").select("row", "doc_id", "start", F.expr(earlier).alias("bits")).where("bits <> 0")
-    by_row = marks.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "bits"))).alias("marks"))  # no more than the text has bytes
-    plain = whole.where("body IS NULL").select("doc_id", F.col("n").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"))
-
-    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 256):
-            rows = [[], [], [], [], []]
-            for doc, body, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                gone = np.zeros(len(body) + 1, "i4")
-                for m in found or ():
-                    on = m["start"] + np.flatnonzero(m["bits"] >> np.arange(LENGTH - ANCHOR + 1) & 1)
-                    np.add.at(gone, on, 1)
-                    np.add.at(gone, on + LENGTH, -1)
-                off = np.cumsum(gone)[:-1] > 0
-                data = np.frombuffer(body, "u1")
-                runs = int(off[:1].sum() + (off[1:] & ~off[:-1]).sum())
-                for column, v in zip(rows, (doc, len(body), int(off.sum()), runs, hashlib.sha256(data[~off].tobytes()).hexdigest()), strict=True):
-                    column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(r, pa.int64()) for r in rows[1:4]), pa.array(rows[4], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    rest = whole.where("body IS NOT NULL").select("row", "doc_id", "body").join(by_row, ["row", "doc_id"], "left").select("doc_id", "body", "marks")
-    done = plain.unionByName(rest.mapInArrow(cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
-    return done.withColumn("doc_id", F.nullif("doc_id", F.lit(LAST)))
+def removed(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document.
+
+    The texts are shuffled once: the three steps that need them read the same exchange.
+    """
+    parts = parts or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    data = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    once = unique_texts(data, parts)
+    found = marks(segments(once, repeated_anchors(once, max(1, parts // 2)), parts))
+    result = materialize(cut_out(once, found))
+    # Copies of one text are one key: the adaptive join splits their side.
+    rows = data.select("doc_id", F.octet_length("text").cast("long").alias("n"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
+    all_ = rows.join(result, "digest", "left")
+    whole = F.col("n") >= LENGTH  # a later copy goes, unless it is too short to hold a string
+    later = F.col("doc_id") != F.col("first_id")
+    pick = lambda copy, own: F.when(later & whole, copy).when(later, F.lit(0).cast("long")).otherwise(F.col(own))
+    sha = F.when(later & whole, F.sha2(F.lit("").cast("binary"), 256)).when(later, F.lower(F.hex("digest"))).otherwise(F.col("kept_sha256"))
+    return all_.select(
+        F.nullif("doc_id", F.lit(LAST)).alias("doc_id"), F.col("n").alias("n_bytes"),
+        pick(F.col("n"), "n_removed").alias("n_removed"), pick(F.lit(1).cast("long"), "n_spans").alias("n_spans"), sha.alias("kept_sha256"),
+    )
