@@ -26,6 +26,21 @@ FAST = [
     "r01_parse_events",
     "r05_sliding",
     "u03_exact_quantiles",
+    "s07_coverage_two_ranges",
+    "c02_null_order",
+    "c04_off_grid_counts",
+    "v13_verdict",
+    "f28_stl_sum",
+    "f30_far_holidays",
+    "f33_two_regimes",
+    "f45_cycles",
+    "f46_feature_list",
+    "t05_column_groups",
+    "l01_correlations",
+    "r04_newest_updates",
+    "r06_live_indicators",
+    "r07_sessions",
+    "u02_rolling_function",
 ]
 
 
@@ -46,3 +61,12 @@ def test_every_twin_belongs_to_a_query():
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_dirty_bars_show_every_finding(spark, sf_dir):
+    from tidebars.operators.validate import ISSUES
+
+    found = {r["code"] for r in entry.queries()["v01_issues"](spark, sf_dir).collect()}
+    assert found >= set(ISSUES) - {"missing_columns", "few_rows"}
+    verdicts = {r["is_valid"] for r in entry.queries()["v13_verdict"](spark, sf_dir).collect()}
+    assert verdicts == {True, False}

@@ -602,6 +602,7 @@ ORACLES["f30_holidays"] = sql(
     "SELECT symbol, ts, CASE WHEN CAST(ts AS DATE) IN (SELECT h FROM hol) THEN 1 ELSE 0 END AS is_holiday, "
     "coalesce((SELECT CAST(min(h - CAST(ts AS DATE)) AS INTEGER) FROM hol WHERE h > CAST(ts AS DATE) AND h <= CAST(ts AS DATE) + 29), 0) AS days_to_next_holiday FROM b",
 )
+ORACLES["f28_stl_sum"] = sql(BARS, out({"stl": "CASE WHEN n >= 320 THEN close END", "mstl": "CASE WHEN n >= 320 THEN close END"}, "b", 4))
 _FAR = DAILY.replace("b AS (", "b0 AS (", 1) + """,
 b AS (SELECT * REPLACE (symbol || ' true' AS symbol, ts + INTERVAL 200 YEARS AS ts) FROM b0 UNION ALL
   SELECT * REPLACE (symbol || ' false' AS symbol, ts - INTERVAL 250 YEARS AS ts) FROM b0)"""
