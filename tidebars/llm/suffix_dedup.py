@@ -27,12 +27,14 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,12 +60,17 @@ def _words(data: np.ndarray) -> np.ndarray:
 
 def anchors(docs: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
     """For each segment: document index, start of its first and last string, hash of its anchor."""
+    return anchored(docs, length, anchor)[:4]
+
+
+def anchored(docs: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
+    """As ``anchors``, and where each anchor starts."""
     lengths = np.array([len(d) for d in docs], "i8")
     ends = np.cumsum(lengths)
     n = int(ends[-1]) if len(ends) else 0
     none = np.empty(0, "i8")
     if n < length:
-        return none, none, none, none.astype("u8")
+        return none, none, none, none.astype("u8"), none
     wide = length - anchor + 1  # anchors to choose from
     tiny = 8 + (anchor - 8) % wide  # bytes that are hashed for the choice: 8 to 8 + wide - 1
     data = np.frombuffer(b"".join(docs) + bytes(32), "u1")
@@ -88,7 +95,7 @@ def anchors(docs: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) -> tu
     place, who = at[inside], owner[inside]
     starts = np.flatnonzero(new & inside)
     if not len(starts):
-        return none, none, none, none.astype("u8")
+        return none, none, none, none.astype("u8"), none
     run = np.cumsum(new)[inside]
     count = np.diff(np.append(np.flatnonzero(np.append(True, run[1:] != run[:-1])), len(run)))
     begin = first[starts] - (ends - lengths)[owner[starts]]
@@ -96,7 +103,7 @@ def anchors(docs: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) -> tu
     mixed = words[where] * M1
     for k in range(8, anchor, 8):
         mixed = (mixed ^ (mixed >> np.uint64(29)) ^ words[where + min(k, anchor - 8)]) * M2
-    return owner[starts], begin, begin + count - 1, (mixed ^ (mixed >> np.uint64(32))) * M3
+    return owner[starts], begin, begin + count - 1, (mixed ^ (mixed >> np.uint64(32))) * M3, where - (ends - lengths)[owner[starts]]
 
 
 # -- Burrows-Wheeler transforms -----------------------------------------------------------------------
@@ -279,70 +286,128 @@ def repeated_anchors(texts_: DataFrame, owners: int) -> DataFrame:
     return sent.groupBy("owner").applyInPandas(answer, "part int, hashes binary")
 
 
+def _packed(*columns) -> bytes:
+    """Arrays (or lists of byte strings) as one compressed value: rows of the shuffles between the steps."""
+    return zstandard.compress(pickle.dumps(columns, 5), 1)
+
+
+def _unpacked(blob: bytes) -> tuple:
+    return pickle.loads(zstandard.decompress(blob))
+
+
 def segments(texts_: DataFrame, hashes: DataFrame, groups: int) -> DataFrame:
-    """Text around repeated anchors: g, part, number of the text in it, doc_id, starts, body.
+    """(g, part, body): text around repeated anchors, packed for each group.
 
-    Of equal segments of a part only those of the least document are still open; the others are known to go,
-    and come without a body, with the number of strings instead (``sure``).
+    Columns in a body: number of the text in its part, least document id, start, segment, whether its
+    anchor is hot; then the spans that are known to go (text, from, to): of equal segments in a part only those
+    of the least document are still open.
     """
 
     def find(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(found) and len(rows):
-            part = int(rows["part"].iloc[0])
-            known = np.sort(np.concatenate([np.frombuffer(b, "u8") for b in found["hashes"]]))
-            open_: dict[tuple[int, bytes], list] = {}
-            ordered = _ordered(rows)
-            for at in range(0, len(ordered), 256):
-                some = ordered[at : at + 256]
-                who, begin, last, h = anchors([t for _, t, _ in some])
-                key = h >> np.uint64(16)
-                spot = np.minimum(np.searchsorted(known, key << np.uint64(1)), len(known) - 1)
-                hit = known[spot] >> np.uint64(1) == key
-                is_hot = (known[spot] & np.uint64(1)).astype(bool)
-                for k, a, b, x, hot in zip(*(v[hit].tolist() for v in (who, begin, last, key, is_hot)), strict=True):
-                    _, text, doc = some[k]
-                    for start, end in [(s, s) for s in range(a, b + 1)] if hot else [(a, b)]:
-                        body = text[start : end + LENGTH]
-                        g = xxhash.xxh3_64_intdigest(body) % groups if hot else x % groups
-                        entry = open_.get((g, body))
-                        if entry is None:
-                            open_[g, body] = [doc, at + k, [start]]
-                        elif entry[1] == at + k:
-                            entry[2].append(start)
-                        elif entry[0] == doc:
-                            out.append((g, part, at + k, doc, [start], 0, body))
-                        else:
-                            gone = (at + k, doc, [start])
-                            if doc < entry[0]:
-                                gone = (entry[1], entry[0], entry[2])
-                                open_[g, body] = [doc, at + k, [start]]
-                            out.append((g, part, *gone, len(body) - LENGTH + 1, None))
-            out += [(g, part, k, doc, starts, 0, body) for (g, body), (doc, k, starts) in sorted(open_.items(), key=lambda e: e[0])]
-        return pd.DataFrame(out, columns=["g", "part", "k", "doc_id", "starts", "sure", "body"])
-
-    schema = "g int, part int, k int, doc_id long, starts array<int>, sure int, body binary"
-    return texts_.groupBy("part").cogroup(hashes.groupBy("part")).applyInPandas(find, schema)
+        if not len(found) or not len(rows):
+            return pd.DataFrame({"g": [], "part": [], "body": []})
+        part = int(rows["part"].iloc[0])
+        known = np.sort(np.concatenate([np.frombuffer(b, "u8") for b in found["hashes"]]))
+        sent: list[tuple] = []
+        gone: list[tuple] = []
+        open_: dict[bytes, list] = {}
+        ordered = _ordered(rows)
+        for at in range(0, len(ordered), 256):
+            some = ordered[at : at + 256]
+            who, begin, last, h = anchors([t for _, t, _ in some])
+            key = h >> np.uint64(16)
+            spot = np.minimum(np.searchsorted(known, key << np.uint64(1)), len(known) - 1)
+            hit = known[spot] >> np.uint64(1) == key
+            is_hot = (known[spot] & np.uint64(1)).astype(bool)
+            for i, a, b, x, hot in zip(*(v[hit].tolist() for v in (who, begin, last, key, is_hot)), strict=True):
+                _, text, doc = some[i]
+                k = at + i
+                for start, end in [(s, s + LENGTH) for s in range(a, b + 1)] if hot else [(a, b + LENGTH)]:
+                    body = text[start:end]
+                    entry = open_.get(body)
+                    if entry is None:
+                        open_[body] = [doc, k, start, x, hot]
+                    elif doc > entry[0]:
+                        gone.append((k, start, end))
+                    elif doc == entry[0]:
+                        sent.append((xxhash.xxh3_64_intdigest(body) % groups if hot else x % groups, k, doc, start, body, hot))
+                    else:
+                        gone.append((entry[1], entry[2], entry[2] + len(body)))
+                        # The same text may hold the segment more than once; those places are in ``sent``.
+                        open_[body] = [doc, k, start, x, hot]
+        sent += [(xxhash.xxh3_64_intdigest(body) % groups if hot else x % groups, k, doc, start, body, hot) for body, (doc, k, start, x, hot) in open_.items()]
+        sent.sort(key=lambda r: (r[0], r[4]))
+        g = np.array([r[0] for r in sent], "i8")
+        spans = np.array(gone, "u4").reshape(-1, 3)
+        out = []
+        cut = np.searchsorted(g, np.arange(groups + 1))
+        for n in range(groups):
+            some, sure = sent[cut[n] : cut[n + 1]], spans[n::groups]
+            if some or len(sure):
+                columns = [np.array([r[c] for r in some], kind) for c, kind in ((1, "u4"), (2, "i8"), (3, "u4"), (5, "?"))]
+                out.append((n, part, _packed(*columns, [r[4] for r in some], sure)))
+        return pd.DataFrame(out, columns=["g", "part", "body"])
+
+    return texts_.groupBy("part").cogroup(hashes.groupBy("part")).applyInPandas(find, "g int, part int, body binary")
+
+
+def _alike(bodies: list[bytes]) -> np.ndarray:
+    """Whether another of these different segments may share a string with each.
+
+    Two strings around one anchor are equal only if half of what surrounds the anchor is, to its left or to
+    its right.
+    """
+    _, _, _, h, at = anchored(bodies)  # a segment has one anchor
+    half = (LENGTH - ANCHOR + 1) // 2
+    lengths = np.array([len(b) for b in bodies])
+    data = np.frombuffer(b"".join(bodies) + bytes(64), "u1")
+    words, base = _words(data), np.cumsum(lengths) - lengths
+    maybe = np.zeros(len(bodies), bool)
+    for side in (-1, 1):
+        fits = at >= half if side < 0 else lengths - at - ANCHOR >= half
+        where = base + at + (-half if side < 0 else ANCHOR)
+        mixed = h.copy()
+        for k in (*range(0, half - 8, 8), half - 8):
+            mixed = (mixed ^ (mixed >> np.uint64(29)) ^ words[np.where(fits, where + k, 0)]) * M2
+        _, place, count = np.unique(mixed[fits], return_inverse=True, return_counts=True)
+        maybe[fits] |= count[place] > 1
+    return maybe
 
 
 def marks(cut: DataFrame) -> DataFrame:
-    """part, k, start, bits: which strings of a segment go."""
+    """(part, body): spans that go, packed: text, from, to."""
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
-        out = [(p, k, s, (1 << n) - 1) for p, k, starts, n in zip(rows["part"], rows["k"], rows["starts"], rows["sure"], strict=True) if n for s in starts]
-        rows = rows[rows["sure"] == 0]
+        found = [(part, *_unpacked(body)) for part, body in zip(rows["part"].tolist(), rows["body"], strict=True)]
         least: dict[bytes, int] = {}
-        for body, doc in zip(rows["body"], rows["doc_id"].tolist(), strict=True):
-            least[body] = min(doc, least.get(body, LAST))
-        bodies = list(least)
-        found = dict(zip(bodies, least_owner(bodies, np.array(list(least.values()), "i8")), strict=True)) if bodies else {}
-        for p, k, doc, starts, body in zip(rows["part"], rows["k"], rows["doc_id"].tolist(), rows["starts"], rows["body"], strict=True):
-            bits = int((1 << np.flatnonzero(found[body] < doc)).sum())
-            if bits:
-                out += [(p, k, s, bits) for s in starts]
-        return pd.DataFrame(out, columns=["part", "k", "start", "bits"])
-
-    return cut.groupBy("g").applyInPandas(group, "part int, k int, start int, bits long")
+        single: dict[bytes, bool] = {}
+        for _, _, docs, _, hot, bodies, _ in found:
+            for body, doc, one in zip(bodies, docs.tolist(), hot.tolist(), strict=True):
+                least[body] = min(doc, least.get(body, LAST))
+                single[body] = one
+        # Single strings that differ share nothing, and most segments differ from all others around their anchor.
+        rest = [b for b, one in single.items() if not one]
+        if rest:
+            rest = [b for b, yes in zip(rest, _alike(rest).tolist(), strict=True) if yes]
+        inner = dict(zip(rest, least_owner(rest, np.array([least[b] for b in rest], "i8")), strict=True)) if rest else {}
+        out: dict[int, list] = collections.defaultdict(list)
+        for part, ks, docs, starts, _, bodies, sure in found:
+            spans = []
+            for k, doc, start, body in zip(ks.tolist(), docs.tolist(), starts.tolist(), bodies, strict=True):
+                if body not in inner:
+                    if least[body] < doc:
+                        spans.append((k, start, start + len(body)))
+                    continue
+                on = np.flatnonzero(inner[body] < doc)
+                if len(on) == len(inner[body]):
+                    spans.append((k, start, start + len(body)))
+                else:
+                    spans += [(k, start + o, start + o + LENGTH) for o in on.tolist()]
+            out[part] += [sure, np.array(spans, "u4").reshape(-1, 3)]
+        packed = [(part, _packed(np.concatenate(arrays))) for part, arrays in out.items()]
+        return pd.DataFrame(packed, columns=["part", "body"])
+
+    return cut.groupBy("g").applyInPandas(group, "part int, body binary")
 
 
 def cut_out(texts_: DataFrame, gone: DataFrame) -> DataFrame:
@@ -350,20 +415,17 @@ def cut_out(texts_: DataFrame, gone: DataFrame) -> DataFrame:
 
     def run(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         out = []
-        order = np.argsort(found["k"].to_numpy(), kind="stable")
-        k, start, bits = (found[c].to_numpy()[order] for c in ("k", "start", "bits"))
+        spans = np.concatenate([np.empty((0, 3), "u4"), *[_unpacked(b)[0] for b in found["body"]]]).astype("i8")
+        spans = spans[np.argsort(spans[:, 0], kind="stable")]
         ordered = _ordered(rows) if len(rows) else []
-        cut = np.searchsorted(k, np.arange(len(ordered) + 1)) if len(k) else np.zeros(len(ordered) + 1, "i8")
+        cut = np.searchsorted(spans[:, 0], np.arange(len(ordered) + 1))
         for i, (digest, text, doc) in enumerate(ordered):
-            if cut[i] == cut[i + 1]:
+            mine = spans[cut[i] : cut[i + 1]]
+            if not len(mine):
                 out.append((digest, doc, len(text), 0, 0, digest.hex()))
                 continue
-            step = np.zeros(len(text) + 1, "i4")
-            for s, b in zip(start[cut[i] : cut[i + 1]].tolist(), bits[cut[i] : cut[i + 1]].tolist(), strict=True):
-                on = s + np.flatnonzero(b >> np.arange(b.bit_length()) & 1)
-                np.add.at(step, on, 1)
-                np.add.at(step, on + LENGTH, -1)
-            off = np.cumsum(step)[:-1] > 0
+            size = len(text) + 1
+            off = np.cumsum(np.bincount(mine[:, 1], minlength=size) - np.bincount(mine[:, 2], minlength=size))[:-1] > 0
             runs = int(off[0]) + int((off[1:] & ~off[:-1]).sum())
             rest = np.frombuffer(text, "u1")[~off].tobytes()
             out.append((digest, doc, len(text), int(off.sum()), runs, hashlib.sha256(rest).hexdigest()))
@@ -381,7 +443,8 @@ def removed(docs: DataFrame, parts: int | None = None) -> DataFrame:
     parts = parts or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     data = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     once = unique_texts(data, parts)
-    found = marks(segments(once, repeated_anchors(once, max(1, parts // 2)), parts))
+    groups = max(1, parts // 2)
+    found = marks(segments(once, repeated_anchors(once, groups), groups))
     result = materialize(cut_out(once, found))
     # Copies of one text are one key: the adaptive join splits their side.
     rows = data.select("doc_id", F.octet_length("text").cast("long").alias("n"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
