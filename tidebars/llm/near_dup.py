@@ -11,7 +11,7 @@ coordinates, but for a chance under 1e-6 that the binomial law gives; so
 
 Lists are not expanded into pairs. First every member is compared with the least of its list. Then
 lists whose members are connected are done; in the others, members of different components are
-compared, in blocks, by their signatures, and those that agree often enough by their full sets. So a
+compared, in blocks, by finer signatures, and those that agree often enough by their full sets. So a
 large group of copies costs a number of rows in proportion to its members, and no link that the
 signatures show between two components is left out.
 
@@ -35,10 +35,12 @@ from tidebars.llm.common import slices, texts
 from tidebars.session import materialize
 
 COORDINATES = 32
+FINE = 512  # coordinates of one byte that are compared before full sets are
 BLOCK = 512
 ROUNDS = 4
 _RNG = np.random.default_rng(20)
 MULTIPLIERS = _RNG.integers(1, 2**63, COORDINATES, dtype="u8") * 2 + 1
+FINE_MULTIPLIERS = _RNG.integers(1, 2**63, FINE, dtype="u8") * 2 + 1
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -93,15 +95,24 @@ def described(docs: DataFrame, width: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """The full sets of some documents."""
+    """The full sets of some documents, their sizes, and for each a fine signature: a byte of the least hash in
+    ``FINE`` coordinates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
             sets = [shingles(t, width) for t in texts(batch)]
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "body": [s.tobytes() for s in sets]}, schema=pa.schema([("id", pa.int64()), ("body", pa.binary())]))
-
+            fine = [bytes(FINE)] * len(sets)
+            full = [k for k, s in enumerate(sets) if len(s)]
+            if full:
+                every, starts = np.concatenate([sets[k] for k in full]), np.cumsum([0] + [len(sets[k]) for k in full[:-1]])
+                least = np.stack([np.minimum.reduceat(every * a, starts) >> np.uint64(8) for a in FINE_MULTIPLIERS], 1).astype("u1")
+                for k, row in zip(full, least, strict=True):
+                    fine[k] = row.tobytes()
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "n": [len(s) for s in sets], "body": [s.tobytes() for s in sets], "fine": fine}, schema=SETS)
+
+    SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("body", pa.binary()), ("fine", pa.binary())])
     some = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi")
-    return some.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "id long, body binary").dropDuplicates(["id"])
+    return some.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "id long, n long, body binary, fine binary").dropDuplicates(["id"])
 
 
 def prefixes(classes: DataFrame, matches: int) -> DataFrame:
@@ -151,27 +162,34 @@ def components(links: DataFrame) -> DataFrame:
     return materialize(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots))
 
 
-def compared(members: DataFrame, matches: int, best: int | None) -> DataFrame:
-    """Pairs of different components in one list whose signatures agree often enough.
+def compared(members: DataFrame, percent: int, best: int | None) -> DataFrame:
+    """Pairs of different components in one list whose fine signatures and sizes allow a link.
 
-    ``members``: token, id, comp, sig. Every member meets, in blocks, all members outside the list's
-    largest component. With ``best``, only so many pairs of the same two components in a block.
+    ``members``: token, id, comp, n, fine, prefix (all tokens of the member, ascending). Every member meets,
+    in blocks, all members outside the list's largest component. A pair comes from the first token that
+    it shares only. With ``best``, only so many pairs of the same two components in a block.
     """
+    matches = least_matches(percent, n=FINE)
     sizes = members.groupBy("token", "comp").count()
-    largest = sizes.groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    largest = sizes.groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.sum("count").alias("size"), F.max("count").alias("top"), F.count("*").alias("parts")).where("parts > 1")
     open_lists = members.join(largest, "token")
-    lefts, rights = F.expr(f"cast(ceil(n / {BLOCK}) AS bigint)"), F.expr(f"cast(ceil((n - top) / {BLOCK}) AS bigint)")
+    lefts, rights = F.expr(f"cast(ceil(size / {BLOCK}) AS bigint)"), F.expr(f"cast(ceil((size - top) / {BLOCK}) AS bigint)")
     here = open_lists.withColumn("i", F.pmod(F.xxhash64("id"), lefts)).withColumn("j", F.pmod(F.xxhash64("id"), rights))
-    left = here.select("token", "i", F.explode(F.sequence(F.lit(0).cast("long"), rights - 1)).alias("j"), F.lit(False).alias("minor"), "id", "comp", "sig")
-    right = here.where("comp <> main").select("token", F.explode(F.sequence(F.lit(0).cast("long"), lefts - 1)).alias("i"), "j", F.lit(True).alias("minor"), "id", "comp", "sig")
+    kept = ["id", "comp", "n", "fine", "prefix"]
+    left = here.select("token", "i", F.explode(F.sequence(F.lit(0).cast("long"), rights - 1)).alias("j"), F.lit(False).alias("minor"), *kept)
+    right = here.where("comp <> main").select("token", F.explode(F.sequence(F.lit(0).cast("long"), lefts - 1)).alias("i"), "j", F.lit(True).alias("minor"), *kept)
 
     def block(x: dict[str, np.ndarray]) -> list[tuple]:
         """(component, component, -agreeing, id, id) of one block's pairs."""
         a, b = np.flatnonzero(~x["minor"]), np.flatnonzero(x["minor"])
         if not len(a) or not len(b):
             return []
-        agree = np.stack([(x["sig"][a] == s).sum(1) for s in x["sig"][b]])
-        r, k = np.nonzero((agree >= matches) & (x["comp"][b][:, None] != x["comp"][a][None]))
+        na, nb = x["n"][a][None], x["n"][b][:, None]
+        agree = np.stack([np.count_nonzero(x["fine"][a] == s, axis=1) for s in x["fine"][b]])
+        r, k = np.nonzero((agree >= matches) & (x["comp"][b][:, None] != x["comp"][a][None]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)))
+        token = x["token"][0]
+        first = [min(set(x["prefix"][b[i]]).intersection(x["prefix"][a[j]])) == token for i, j in zip(r, k, strict=True)]
+        r, k = r[first], k[first]
         low, high = np.minimum(x["id"][b[r]], x["id"][a[k]]), np.maximum(x["id"][b[r]], x["id"][a[k]])
         p, q = np.minimum(x["comp"][b[r]], x["comp"][a[k]]), np.maximum(x["comp"][b[r]], x["comp"][a[k]])
         out = sorted(set(zip(p.tolist(), q.tolist(), (-agree[r, k]).tolist(), low.tolist(), high.tolist(), strict=True)))
@@ -194,8 +212,8 @@ def compared(members: DataFrame, matches: int, best: int | None) -> DataFrame:
             return pa.RecordBatch.from_pydict({"a": [f[0] for f in found], "b": [f[1] for f in found]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
         for batch in slices(batches, 8192):
-            new = {n: batch.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(batch.schema.names) if n != "sig"}
-            new["sig"] = batch.column(batch.schema.get_field_index("sig")).flatten().to_numpy().reshape(-1, COORDINATES)
+            new = {n: batch.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(batch.schema.names) if n != "fine"}
+            new["fine"] = np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("fine")).to_pylist()), "u1").reshape(-1, FINE)
             held = {n: np.concatenate([held[n], v]) for n, v in new.items()} if held else new
             borders = np.flatnonzero((np.diff(held["token"]) != 0) | (np.diff(held["i"]) != 0) | (np.diff(held["j"]) != 0)) + 1
             if len(borders):
@@ -224,17 +242,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     signed = stars.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
     agreeing = signed.where(F.expr(f"aggregate(zip_with(x, y, (p, q) -> if(p = q, 1, 0)), 0, (s, n) -> s + n) >= {matches}"))
     links = materialize(linked(agreeing.select("a", "b"), sets, percent))
+    tokens = lists.groupBy("id").agg(F.sort_array(F.collect_list("token")).alias("prefix"))  # at most COORDINATES each
+    known = materialize(sets.select("id", "n", "fine").join(tokens, "id"))
     # Then what the stars leave apart: a few pairs of each two components, at last all of them.
     for turn in range(ROUNDS):
         comps = components(links)
         members = lists.join(comps, "id", "left").select("token", "id", F.coalesce("component", "id").alias("comp"))
         parts = members.groupBy("token").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("token")
-        members = members.join(parts, "token").join(sigs, "id")
-        more = materialize(linked(compared(members, matches, 4 if turn < ROUNDS - 1 else None), sets, percent))
+        members = members.join(parts, "token").join(known, "id")
+        more = materialize(linked(compared(members, percent, 4 if turn < ROUNDS - 1 else None), sets, percent))
         if not more.head(1):
             # Nothing joined; what was left out by ``best`` is looked at once, then it is over.
             if turn < ROUNDS - 1:
-                more = materialize(linked(compared(members, matches, None), sets, percent))
+                more = materialize(linked(compared(members, percent, None), sets, percent))
             if not more.head(1):
                 break
         links = links.unionByName(more)
