@@ -37,7 +37,7 @@ from tidebars.session import materialize
 COORDINATES = 32
 FINE = 512  # coordinates of one byte that are compared before full sets are
 BLOCK = 512
-ROUNDS = 4
+ROUNDS = 2
 _RNG = np.random.default_rng(20)
 MULTIPLIERS = _RNG.integers(1, 2**63, COORDINATES, dtype="u8") * 2 + 1
 FINE_MULTIPLIERS = _RNG.integers(1, 2**63, FINE, dtype="u8") * 2 + 1
