@@ -5,8 +5,9 @@ id. Which strings repeat is read from the suffix order: suffixes are sorted shar
 shard's Burrows-Wheeler transform is formed, and the transforms are merged by refining their
 interleave: pass k moves every entry, in the order of pass k - 1, behind those of its bucket of
 preceding characters, so after k passes suffixes stand in the order of their first k characters (Holt
-and McMillan 2014). Block borders that appear in pass k mark a common prefix of k - 1; the blocks
-left after ``LENGTH`` passes are the repeated strings, with no suffix sorted again.
+and McMillan 2014; here a pass takes two characters). Block borders that appear in a pass mark a
+common prefix shorter than it; the blocks left at the end are the repeated strings, with no suffix
+sorted again.
 
 What is sorted is little. Copies of a text are told from its digest; of them the first alone goes on.
 Every string of ``LENGTH`` bytes has an anchor, one of its ``ANCHOR``-byte parts that depends on the
@@ -112,36 +113,51 @@ def anchored(docs: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) -> t
 def shard_order(text: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Suffixes of a shard in the order of at least their first ``length`` characters."""
     n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype("i8")
-    step = 1
-    order = np.argsort(rank, kind="stable")
-    while step < length:
-        key = rank * (n + 2)
-        key[: max(0, n - step)] += rank[step:] + 1
+    used = np.flatnonzero(np.bincount(text))
+    # As many characters as fit in one number first, then twice as many with every sort.
+    wide = (len(used) - 1).bit_length() or 1
+    step = min(62 // wide, length)
+    dense = np.append(np.searchsorted(used, text), np.zeros(step, "i8"))
+    key = np.zeros(n, "i8")
+    for k in range(step):
+        key = key << wide | dense[k : k + n]
+    while True:
         order = np.argsort(key, kind="stable")
+        if step >= length:
+            break
         ranked = key[order]
         rank = np.empty(n, "i8")
         rank[order] = np.cumsum(np.append(0, ranked[1:] != ranked[:-1]))
+        key = rank * (n + 2)
+        key[: max(0, n - step)] += rank[step:] + 1
         step *= 2
     return order
 
 
 def merge(transforms: list[np.ndarray], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of shards after ``length`` passes, and the block (equal first characters) of each entry."""
-    every = np.concatenate(transforms)
-    shard = np.repeat(np.arange(len(transforms), dtype="u2"), [len(t) for t in transforms])
-    z, block = shard, np.zeros(len(every), "i4")
-    symbols = every
-    for _ in range(length):
-        # The k-th entry of a shard in the interleave has the shard's k-th preceding character.
-        symbols = np.empty_like(every)
-        symbols[np.argsort(z, kind="stable")] = every
-        order = np.argsort(symbols, kind="stable")
-        z, moved, s = z[order], block[order], symbols[order]
-        border = np.empty(len(every), bool)
-        border[:1] = False
-        border[1:] = (s[1:] != s[:-1]) | (moved[1:] != moved[:-1])
-        block = np.cumsum(border, dtype="i4")
+    """Interleave of shards by their first ``length`` characters, and the block (equal ones) of each entry.
+
+    A transform has two columns, the character before each suffix and the one before that: a pass moves
+    entries by both at once, so half as many passes do.
+    """
+    every = np.concatenate(transforms).astype("i8")
+    used = np.flatnonzero(np.bincount(every.ravel()))
+    every = np.searchsorted(used, every)
+    z = np.repeat(np.arange(len(transforms), dtype="u1" if len(transforms) <= 256 else "u2"), [len(t) for t in transforms])
+    block = np.zeros(len(z), "i4")
+    both = every[:, 1] * len(used) + every[:, 0]
+    for keys, passes in ((both, length // 2), (every[:, 0], length % 2)):
+        keys = keys.astype(np.min_scalar_type(len(used) ** 2))  # short keys sort in one or two passes
+        for _ in range(passes):
+            # The k-th entry of a shard in the interleave has the shard's k-th preceding characters.
+            symbols = np.empty_like(keys)
+            symbols[np.argsort(z, kind="stable")] = keys
+            order = np.argsort(symbols, kind="stable")
+            z, moved, s = z[order], block[order], symbols[order]
+            border = np.empty(len(keys), bool)
+            border[:1] = False
+            border[1:] = (s[1:] != s[:-1]) | (moved[1:] != moved[:-1])
+            block = np.cumsum(border, dtype="i4")
     return z, block
 
 
@@ -165,7 +181,7 @@ def least_owner(segments: list[bytes], owners: np.ndarray, length: int = LENGTH,
         body[ends - 1] = False
         text[body] = np.frombuffer(b"".join(segments[k] for k in members), "u1").astype("u2") + 1
         order = shard_order(text, length)
-        transforms.append(text[order - 1])  # the first has the last before it
+        transforms.append(np.stack([text[order - 1], text[order - 2]], 1))  # the first has the last before it
         begin = np.repeat(ends - lengths, lengths)
         suffix_segment.append(np.repeat(np.array(members), lengths)[order])
         suffix_offset.append((np.arange(len(text)) - begin)[order])
@@ -213,7 +229,7 @@ def unique_texts(docs: DataFrame, parts: int) -> DataFrame:
         yield from flush()
 
     TEXTS = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("text", pa.binary())])
-    return docs.select("doc_id", "text").mapInArrow(fold, "part int, doc_id long, text binary").repartition(parts // 2, "part")
+    return docs.select("doc_id", "text").mapInArrow(fold, "part int, doc_id long, text binary").repartition(max(1, parts // 4), "part")
 
 
 def _ordered(rows: pd.DataFrame) -> list[tuple[bytes, bytes, int]]:
@@ -244,7 +260,7 @@ def repeated_anchors(texts_: DataFrame, owners: int) -> DataFrame:
                 rows += [(k, part, packed[cut[k] : cut[k + 1]].tobytes()) for k in range(owners) if cut[k] < cut[k + 1]]
             return pa.RecordBatch.from_pydict({n: [r[k] for r in rows] for k, n in enumerate(("owner", "part", "body"))}, schema=SENT)
 
-        for batch in slices(batches, 256):
+        for batch in slices(batches, 128):
             new = []
             for part, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 digest = xxhash.xxh3_128_digest(text)
@@ -312,8 +328,8 @@ def segments(texts_: DataFrame, hashes: DataFrame, groups: int) -> DataFrame:
         gone: list[tuple] = []
         open_: dict[bytes, list] = {}
         ordered = _ordered(rows)
-        for at in range(0, len(ordered), 256):
-            some = ordered[at : at + 256]
+        for at in range(0, len(ordered), 64):
+            some = ordered[at : at + 64]
             who, begin, last, h = anchors([t for _, t, _ in some])
             key = h >> np.uint64(16)
             spot = np.minimum(np.searchsorted(known, key << np.uint64(1)), len(known) - 1)
@@ -351,8 +367,8 @@ def segments(texts_: DataFrame, hashes: DataFrame, groups: int) -> DataFrame:
     return texts_.groupBy("part").cogroup(hashes.groupBy("part")).applyInPandas(find, "g int, part int, body binary")
 
 
-def _alike(bodies: list[bytes]) -> np.ndarray:
-    """Whether another of these different segments may share a string with each.
+def _alike(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each segment's anchor, and whether another of these different segments may share a string with it.
 
     Two strings around one anchor are equal only if half of what surrounds the anchor is, to its left or to
     its right.
@@ -371,7 +387,7 @@ def _alike(bodies: list[bytes]) -> np.ndarray:
             mixed = (mixed ^ (mixed >> np.uint64(29)) ^ words[np.where(fits, where + k, 0)]) * M2
         _, place, count = np.unique(mixed[fits], return_inverse=True, return_counts=True)
         maybe[fits] |= count[place] > 1
-    return maybe
+    return h, maybe
 
 
 def marks(cut: DataFrame) -> DataFrame:
@@ -386,10 +402,16 @@ def marks(cut: DataFrame) -> DataFrame:
                 least[body] = min(doc, least.get(body, LAST))
                 single[body] = one
         # Single strings that differ share nothing, and most segments differ from all others around their anchor.
-        rest = [b for b, one in single.items() if not one]
+        rest, inner = [b for b, one in single.items() if not one], {}
         if rest:
-            rest = [b for b, yes in zip(rest, _alike(rest).tolist(), strict=True) if yes]
-        inner = dict(zip(rest, least_owner(rest, np.array([least[b] for b in rest], "i8")), strict=True)) if rest else {}
+            h, alike = _alike(rest)
+            # Segments of different anchors share nothing either, so a few shards at a time will do.
+            turns = 1 + sum(len(b) for b, yes in zip(rest, alike.tolist(), strict=True) if yes) // (4 * SHARD)
+            turn = np.where(alike, ((h >> np.uint64(40)) % np.uint64(turns)).astype("i8"), -1)
+            for t in range(turns):
+                some = [rest[k] for k in np.flatnonzero(turn == t)]
+                if some:
+                    inner.update(zip(some, least_owner(some, np.array([least[b] for b in some], "i8")), strict=True))
         out: dict[int, list] = collections.defaultdict(list)
         for part, ks, docs, starts, _, bodies, sure in found:
             spans = []
@@ -440,10 +462,10 @@ def removed(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
     The texts are shuffled once: the three steps that need them read the same exchange.
     """
-    parts = parts or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     data = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     once = unique_texts(data, parts)
-    groups = max(1, parts // 2)
+    groups = max(1, parts // 4)
     found = marks(segments(once, repeated_anchors(once, groups), groups))
     result = materialize(cut_out(once, found))
     # Copies of one text are one key: the adaptive join splits their side.
