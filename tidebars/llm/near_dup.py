@@ -70,6 +70,17 @@ def shingles(text: bytes, width: int) -> np.ndarray:
     return np.unique(out * MIX[0])
 
 
+def packed(s: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash: enough to tell the shingles of two documents apart."""
+    return (s >> np.uint64(16)).view("u1").reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(body: bytes) -> np.ndarray:
+    wide = np.zeros((len(body) // 6, 8), "u1")
+    wide[:, :6] = np.frombuffer(body, "u1").reshape(-1, 6)
+    return wide.view("u8").ravel()
+
+
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """Least hash of each set in each coordinate; sets must not be empty."""
     every = np.concatenate(sets)
@@ -108,7 +119,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 least = np.stack([np.minimum.reduceat(every * a, starts) >> np.uint64(8) for a in FINE_MULTIPLIERS], 1).astype("u1")
                 for k, row in zip(full, least, strict=True):
                     fine[k] = row.tobytes()
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "n": [len(s) for s in sets], "body": [s.tobytes() for s in sets], "fine": fine}, schema=SETS)
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "n": [len(s) for s in sets], "body": [packed(s) for s in sets], "fine": fine}, schema=SETS)
 
     SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("body", pa.binary()), ("fine", pa.binary())])
     some = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi")
@@ -131,7 +142,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             a, b, x, y = (c.to_pylist() for c in batch.columns)
             keep = []
             for k, (s, t) in enumerate(zip(x, y, strict=True)):
-                s, t = np.frombuffer(s, "u8"), np.frombuffer(t, "u8")
+                s, t = unpacked(s), unpacked(t)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 if 100 * both >= percent * (len(s) + len(t) - both):
                     keep.append(k)
