@@ -277,6 +277,16 @@ def test_personal_data(spark, sf_dir, docs, odd, nothing):
     assert clean[8].text == "été à la 漢字 mail: [EMAIL], [PHONE]" and clean[3].text == "Ein wort" and pii.redacted(odd).columns == odd.columns
 
 
+def test_rare_kinds_are_calibrated(spark):
+    """More labelled candidates than the trees are fitted on, nearly all of them plain numbers."""
+    texts = [f"there were {1_000_000 + 7 * k} of them" for k in range(400)] + [f"write to ann{k} [at] example [dot] org" for k in range(5)]
+    rows = pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), most=40).collect()
+    assert {r.doc_id for r in rows if any(x.kind == "spelled" for x in r.spans)} == set(range(400, 405))
+    assert not any(r.spans for r in rows if r.doc_id < 400)
+    n = {("number", 0.0): 20_000_000, ("number", 1.0): 4000, ("spelled", 1.0): 1000}
+    assert {g: round(s * n[g]) for g, s in pii.shares(n, 20_000).items()} == {("number", 0.0): 15_000, ("number", 1.0): 4000, ("spelled", 1.0): 1000}
+
+
 # -- repeated passages
 
 

@@ -8,8 +8,10 @@ confirms, or that follow a naming word, are examples; numbers that fail the chec
 such context are counter-examples. A threshold for each kind is calibrated so that precision on the
 examples is at least ``precision``. Of overlapping accepted spans the longest stays.
 
-The trees are fitted on a sample of about ``most`` candidates, chosen by a hash; every text is
-searched whole. Only DataFrame functions and Spark's own trees: no Python runs on the executors.
+The trees are fitted on a sample of about ``most`` labelled candidates, chosen by a hash; each kind and
+label has an equal part of it, or all it has. The thresholds come from all labelled candidates, and
+every text is searched whole. Only DataFrame functions and Spark's own trees: no Python runs on the
+executors.
 
 Positions count code points, ends are exclusive. Defined results: NULL and empty texts have no spans
 (the digest of nothing, an empty list); repeated rows are judged each; an empty table gives an empty
@@ -144,26 +146,33 @@ def thresholds(scored: DataFrame, precision: float) -> dict[str, float]:
     return out
 
 
+def shares(n: dict[tuple[str, float], int], most: int) -> dict[tuple[str, float], float]:
+    """The share of each kind and label that the trees are fitted on: the small ones whole, the others in
+    equal numbers, about ``most`` in all."""
+    out, left = {}, most
+    for k, group in enumerate(sorted(n, key=lambda g: (n[g], g))):
+        out[group] = min(1.0, left / (len(n) - k) / n[group])
+        left -= out[group] * n[group]
+    return out
+
+
 def judged(candidates: DataFrame, most: int, precision: float) -> DataFrame:
     """Candidates that the trees accept: doc row key, s, e, kind."""
     rated = materialize(labelled(features(candidates)))
-    empty = rated.where("false").select("row", "s", "e", "kind")
     known = rated.where("label IS NOT NULL")
-    n = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    if len(n) < 2:
-        return empty
-    share = min(1.0, most / sum(n.values()))
-    sample = known.where(F.pmod(F.xxhash64("row", "s", "kind"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    n = {(r["kind"], r["label"]): r["count"] for r in known.groupBy("kind", "label").count().collect()}  # kinds x 2
+    if len({label for _, label in n}) < 2:
+        return rated.where("false").select("row", "s", "e", "kind")
+    draw = F.pmod(F.xxhash64("row", "s", "kind"), F.lit(1 << 50))
+    part = F.coalesce(*[F.when((F.col("kind") == k) & (F.col("label") == v), F.lit(int(share * (1 << 50)))) for (k, v), share in shares(n, most).items()])
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    draw = F.pmod(F.xxhash64("row", "s"), F.lit(4))
-    learn = vectors.transform(sample.where(draw != 0)).select("features", "label").coalesce(4)
-    if learn.select("label").distinct().count() < 2:
-        return empty
+    learn = vectors.transform(known.where(draw < part)).select("features", "label").coalesce(4)
     model = GBTClassifier(maxIter=8, maxDepth=3, seed=1).fit(learn)
     p = vector_to_array("probability")[1].alias("p")
-    limits = thresholds(model.transform(vectors.transform(sample.where(draw == 0))).select("kind", "label", p), precision)
+    scored = materialize(model.transform(vectors.transform(rated)).select("row", "s", "e", "kind", "label", p))
+    limits = thresholds(scored.where("label IS NOT NULL"), precision)
     limit = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in limits.items()])
-    return model.transform(vectors.transform(rated)).select("row", "s", "e", "kind", p).where(F.col("p") >= limit).select("row", "s", "e", "kind")
+    return scored.where(F.col("p") >= limit).select("row", "s", "e", "kind")
 
 
 RANK = "element_at(map({}), kind)".format(", ".join(f"'{k}', {v}" for k, v in ORDER.items()))
