@@ -258,3 +258,16 @@ def test_plan_of_all_features_reads_tables_a_few_times(spark, sf_dir):
 
     plan = generate(bars_1h(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") + plan.count("Relation[") <= 8
+
+
+def test_elimination_query_runs_the_whole_job(spark, sf_dir, monkeypatch):
+    """All features of the selection table, and the defaults of ``rfecv``."""
+    from tidebars.operators import select
+    from tidebars.plans.queries import QUERIES, _selection_table
+
+    asked = []
+    monkeypatch.setattr(select, "rfecv", lambda df, *args, **kw: asked.append((df, args, kw)) or ([], df))
+    QUERIES["l04_rfecv"](spark, sf_dir)
+    df, args, kw = asked[0]
+    assert args == ("close",) and not kw and {"symbol", "ts"} <= set(df.columns)
+    assert set(select.features_of(df, "close")) == set(select.features_of(_selection_table(spark, sf_dir), "close"))

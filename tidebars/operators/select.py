@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -193,8 +194,10 @@ def rfecv(
 
     def rounds(k: int):
         """Feature set and score of each round, largest set first."""
-        share = fit_rows / max(1, sum(n for f, n in sizes.items() if f < k))
+        before = sum(n for f, n in sizes.items() if f < k)
+        share = fit_rows / max(1, before)
         train, test = folds.where((F.col("_fold") < k) & (F.col("_draw") < int(min(1.0, share) * (1 << 20)))), folds.where(F.col("_fold") == k)
+        train = train.coalesce(1 + min(before, fit_rows) // 25_000)  # a tree is many small jobs
         at, out = list(range(len(cols))), []
         while True:
             cut = VectorSlicer(inputCol="_x", outputCol="_part", indices=at)
@@ -211,15 +214,15 @@ def rfecv(
 
     scores: dict[int, list[float]] = {}
     try:
-        for k in range(1, splits + 1):
-            last = rounds(k)
-            for names, score in last:
-                scores.setdefault(len(names), []).append(score)
+        with ThreadPool(splits) as pool:  # folds do not depend on each other
+            each = pool.map(rounds, range(1, splits + 1))
+        for names, score in (r for fold in each for r in fold):
+            scores.setdefault(len(names), []).append(score)
     finally:
         folds.unpersist()
     mean = {n: float(np.mean(s)) for n, s in scores.items()}
     best = max(sorted(mean), key=lambda n: mean[n])
-    chosen = next(names for names, _ in last if len(names) == best)
+    chosen = next(names for names, _ in each[-1] if len(names) == best)
     return chosen, df.sparkSession.createDataFrame(sorted(mean.items()), "n_features int, score double")
 
 

@@ -746,9 +746,9 @@ def _(spark, sf):
 # ---- selection --------------------------------------------------------------
 
 
-def _selection_table(spark, sf):
+def _selection_table(spark, sf, keys=()):
     names = ["rate_of_change", "bollinger_bands", "support_resistance", "volume_moving_averages", "money_flow_index"]
-    return materialize(generate(bars_1h(spark, sf), names).drop("symbol", "ts"))
+    return materialize(generate(bars_1h(spark, sf), names).drop(*{"symbol", "ts"} - set(keys)))
 
 
 @query("l01_correlations")
@@ -770,9 +770,7 @@ def _(spark, sf):
 
 @query("l04_rfecv")
 def _rfecv(spark, sf):
-    df = materialize(generate(bars_1h(spark, sf), ["rate_of_change", "bollinger_bands", "money_flow_index"]))
-    df = df.select("symbol", "ts", "close", "open", "roc_5", "mfi", "std")
-    return sel.rfecv(df, "close", min_features=2, step=1, splits=3, trees=3, depth=3)[1]
+    return sel.rfecv(_selection_table(spark, sf, ("symbol", "ts")), "close")[1]
 
 
 @query("l04_time_folds")
