@@ -1,5 +1,6 @@
 """Every operator against a plain computation over the smallest tables, and on odd tables."""
 
+import base64
 import collections
 import hashlib
 import re
@@ -287,6 +288,19 @@ def test_rare_kinds_are_calibrated(spark):
     assert {g: round(s * n[g]) for g, s in pii.shares(n, 20_000).items()} == {("number", 0.0): 15_000, ("number", 1.0): 4000, ("spelled", 1.0): 1000}
 
 
+def test_long_keys_and_secrets(spark):
+    """Unbroken runs of any length are candidates: a signature of 342 characters, a key of 60."""
+    run = lambda k: base64.urlsafe_b64encode(hashlib.sha512(str(k).encode()).digest() * 5).decode().strip("=")
+    secrets = [run(k)[:342] for k in range(10)]
+    keys = [re.sub("[^A-Z0-9]", "", run(k).upper())[:60] for k in range(10)]
+    texts = [f"token: {x} end" for x in secrets] + [f"key = {x} end" for x in keys] + [f"about internationalization{'abcdef'[k % 6] * (k % 9)} here" for k in range(80)]
+    rows = by_id(pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for k in range(10):
+        assert [(x.kind, x.s, x.e) for x in rows[k].spans] == [("secret", 7, 349)]
+        assert [(x.kind, x.s, x.e) for x in rows[10 + k].spans] == [("key", 6, 66)]
+    assert not any(rows[k].spans for k in range(20, 100))
+
+
 # -- repeated passages
 
 

@@ -38,10 +38,10 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 ORDER = {"email": 0, "ip": 1, "card": 2, "phone": 3, "key": 4, "secret": 5, "number": 6, "spelled": 7}
-#: High recall: of these the trees choose.
+#: High recall: of these the trees choose. Keys and secrets are whole runs of any length.
 CANDIDATES = {
-    "key": r"(?<![A-Za-z0-9])[A-Z0-9]{16,40}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,128}(?![A-Za-z0-9+/_-])",
+    "key": r"(?<![A-Za-z0-9])[A-Z0-9]{16,}+(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+",
     "number": r"(?<![A-Za-z0-9+.])\(?[0-9][0-9() ./-]{5,24}[0-9](?![A-Za-z0-9])",
     "spelled": r"[A-Za-z0-9._-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,64}(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9-]{1,64}){1,4}",
 }
