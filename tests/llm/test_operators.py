@@ -87,6 +87,14 @@ def test_rules_by_array_and_by_join(spark):
     assert urls.judge(pages.limit(0), rules).count() == 0
 
 
+def test_rules_fit_odd_characters(spark):
+    """NUL in host or path, and a rule whose path is not ASCII, by array and by join."""
+    pages = spark.createDataFrame([(1, "http://a.com/en/\0x"), (2, "http://\0.a.com/en/"), (3, "http://b.net/é/x"), (4, "http://b.net?/é/")], "page_id long, url string")
+    rules = (("a.com/en/", "block"), ("b.net/é/", "block"))
+    for most in (urls.MOST_BYTES, 0):
+        assert {r.page_id: r.verdict for r in urls.judge(pages, rules, most_bytes=most).collect()} == {1: "block", 2: "block", 3: "block", 4: "allow"}
+
+
 def test_equal_keys_are_told_apart_by_their_strings(monkeypatch):
     monkeypatch.setattr(urls, "key", lambda text: 7)
     array = urls.DigestArray(*urls.pack([("com/a", "block"), ("org/b", "allow")]))

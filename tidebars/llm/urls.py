@@ -69,7 +69,7 @@ class DigestArray:
         n = len(self.keys)
         self.ends = np.frombuffer(strings, dtype="<u8", count=n + 1)
         self.body = memoryview(strings)[8 * (n + 1) :]
-        lengths = {len(self.rule(i).partition(b"/")[2]) + 1 for i in range(n) if b"/" in self.rule(i)}
+        lengths = {len(self.rule(i).decode().partition("/")[2]) + 1 for i in range(n) if b"/" in self.rule(i)}
         self.path_lengths = sorted(lengths | ({0} if any(b"/" not in self.rule(i) for i in range(n)) else set()))
 
     def rule(self, i: int) -> bytes:
@@ -132,10 +132,12 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str]], default: str = "al
 
     def probe(batch: pa.RecordBatch) -> pa.RecordBatch:
         array = _mapped(*names)
-        pairs = pc.binary_join_element_wise(batch.column(1), batch.column(2), "\0").dictionary_encode()
+        # A host has no slash, and a path that is not empty starts with one.
+        pairs = pc.binary_join_element_wise(batch.column(1), batch.column(2), "").dictionary_encode()
         asked, owner, host_len = [], [], []
         for k, pair in enumerate(pairs.dictionary.to_pylist()):
-            for n, text in candidates(*pair.split("\0")[:2], array.path_lengths) if pair.count("\0") == 1 else ():
+            host, slash, rest = pair.partition("/")
+            for n, text in candidates(host, slash + rest, array.path_lengths):
                 asked.append(text)
                 owner.append(k)
                 host_len.append(n)
