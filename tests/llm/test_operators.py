@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidebars.llm import bpe, exact_dedup, language, near_dup, packing, pii, quality, suffix_dedup, toxicity, urls
+from tidebars.llm import bpe, exact_dedup, fill_middle, language, line_dedup, near_dup, packing, pii, quality, runs, suffix_dedup, toxicity, urls
 from tidebars.llm.queries import QUERIES, tokenizer
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -417,3 +417,171 @@ def test_words_encode_like_whole_texts(parts):
     lib = packing._ENCODERS.setdefault("test", packing.WordEncoder(tokenizer("word_bpe_49k.json")))
     ids = np.frombuffer(lib.encode([text.encode()])[0], "<u4").tolist()
     assert ids == lib.tok.encode(text, add_special_tokens=False).ids
+
+
+# -- periodic runs
+
+
+def brute_runs(words):
+    """Every period from the definition: stretches of equal words one period on, the smallest period of each kept."""
+    found = {}
+    for q in range(1, len(words) // 4 + 1):
+        i = 0
+        while i + q < len(words):
+            j = i
+            while j + q < len(words) and words[j] == words[j + q]:
+                j += 1
+            if j > i:
+                found.setdefault((i, j + q - i), q)
+            i = j + 1
+    return sorted((a, n, q) for (a, n), q in found.items() if n >= max(6, 4 * q))
+
+
+def brute_report(i, text):
+    words = re.findall(WORD, text or "")
+    n, h = len(words), zlib.crc32(str(i).encode())
+    if i is not None and h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [w if k < a else words[a + (k - a) % p] for k, w in enumerate(words)]
+    got = brute_runs(words)
+    gone = {k for a, m, q in got for k in range(a + q, a + m)}
+    best = min(got, key=lambda r: (-r[1], r[0], r[2]), default=(None, None, None))
+    exponent = 1000 * best[1] // best[2] if got else None
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    return len(got), *best, exponent, digest("".join(f"{a},{m},{q}\n" for a, m, q in got)), digest(" ".join(w for k, w in enumerate(words) if k not in gone))
+
+
+def test_periodic_runs(spark, sf_dir, docs, odd, nothing, monkeypatch):
+    monkeypatch.setattr(runs, "HELD", 10_000)
+    got = by_id(QUERIES["op11_periodic_runs"](spark, sf_dir))
+    want = {i: brute_report(i, t) for i, t in docs.items()}
+    assert {i: tuple(r)[1:] for i, r in got.items()} == want and sum(w[0] > 0 for w in want.values()) > 5
+    rows = runs.report(odd).collect()
+    assert collections.Counter((r.doc_id, *tuple(r)[1:]) for r in rows) == collections.Counter((i, *brute_report(i, t)) for i, t in ODD)
+    assert runs.report(nothing).count() == 0
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(st.text("abc", min_size=1, max_size=9), st.integers(1, 9)), max_size=8))
+def test_runs_of_repeated_pieces(parts):
+    words = [c.encode() for piece, n in parts for c in piece * n]
+    word, _ = runs.names([words])
+    assert runs.find(word) == brute_runs(words)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("ab", max_size=40), max_size=6))
+def test_runs_end_with_their_document(texts):
+    words = [[c.encode() for c in t] for t in texts]
+    word, first = runs.names(words)
+    assert runs.find(word) == [(a + int(f), n, q) for w, f in zip(words, first, strict=False) for a, n, q in brute_runs(w)]
+
+
+def test_runs_of_long_periods():
+    """Fibonacci words hold no run of four periods; a period of thousands of words, found whole; one word a hundred thousand times."""
+    a, b = "a", "ab"
+    for _ in range(15):
+        a, b = b, b + a
+    assert runs.find(runs.names([[c.encode() for c in b]])[0]) == []
+    rng = np.random.default_rng(1)
+    piece = rng.integers(0, 50, 3000)
+    word = np.concatenate([rng.integers(50, 90, 777), np.tile(piece, 7), piece[:55], [99], np.full(100_000, 7)])
+    assert runs.find(word) == [(777, 7 * 3000 + 55, 3000), (777 + 7 * 3000 + 56, 100_000, 1)]
+
+
+# -- fill in the middle
+
+
+def brute_fill(i, text):
+    t = text or ""
+    h = hashlib.sha256(f"1:{'' if i is None else i}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(h[k : k + 8], 16) for k in (0, 8, 16, 24))
+    a, b = sorted((h1 % (len(t) + 1), h2 % (len(t) + 1)))
+    if not t or re.search("<[PSM]>", t) or h3 % 100 >= 90:
+        return len(t), "plain", None, None, t
+    p, m, s = t[:a], t[a:b], t[b:]
+    return (len(t), "spm", a, b - a, f"<S>{s}<P>{p}<M>{m}") if h4 % 100 < 20 else (len(t), "psm", a, b - a, f"<P>{p}<S>{s}<M>{m}")
+
+
+def test_fill_in_middle(spark, sf_dir, docs, odd, nothing, monkeypatch):
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    monkeypatch.setattr(fill_middle, "HELD", 20_000)
+    got = by_id(QUERIES["op12_fill_in_middle"](spark, sf_dir))
+    want = {i: brute_fill(i, t) for i, t in docs.items()}
+    assert {i: tuple(r)[1:] for i, r in got.items()} == {i: (*w[:4], sha(w[4]), sha(docs[i])) for i, w in want.items()}
+    assert {w[1] for w in want.values()} == {"plain", "psm", "spm"}
+    texts = ["<P>", "a <M> b", "<S", "<", "<P" * 50, "<<S>>", "漢字😀é" * 3000 + "a" * 9000, "\n\n", "é", "x<P y>", "<M> "] + [f"<P{k}<S{'é' * k}<M>"[: k + 3] for k in range(60)]
+    rows = by_id(fill_middle.fill_middle(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).withColumn("back", fill_middle.restored()))
+    assert {i: tuple(r)[1:6] for i, r in rows.items()} == {i: brute_fill(i, t) for i, t in enumerate(texts)} and all(r.back == texts[i] for i, r in rows.items())
+    found = collections.Counter(map(tuple, fill_middle.fill_middle(odd).collect()))
+    assert found == collections.Counter((i, *brute_fill(i, t)) for i, t in ODD) and fill_middle.report(nothing).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "é", "漢", "😀", "ab漢", "\0"]), st.integers(1, 300)), max_size=12), st.sampled_from([1, 2, 5, 100]), st.sampled_from([16, 100, 1 << 20]))
+def test_learned_ranks_are_exact(parts, error, block):
+    text = "".join(p * n for p, n in parts)
+    index = fill_middle.RankIndex(text.encode(), error, block)
+    want = np.concatenate([[0], np.cumsum([len(c.encode()) for c in text])]).astype("i8")
+    assert len(index) == len(text) and index.find(np.arange(len(text) + 1)).tolist() == want.tolist()
+    assert np.abs(index.residual.astype(int)).max() <= error and index.rank(want).tolist() == list(range(len(text) + 1))
+
+
+def test_one_segment_where_text_is_even():
+    assert len(fill_middle.RankIndex(b"a" * 100_000).slopes) == 1
+    mixed = fill_middle.RankIndex(("a" * 50_000 + "漢" * 50_000).encode())
+    assert 2 <= len(mixed.slopes) <= 4 and np.allclose([mixed.slopes[0], mixed.slopes[-1]], [1, 3], atol=0.01)
+
+
+# -- lines
+
+
+def brute_lines(rows, least=2):
+    """n_lines, n_dropped and the text left, for each row of (doc_id, text); rows without an id are the last document."""
+    key = lambda s: re.sub("[A-Z]", lambda m: m.group().lower(), s.strip(" \t\n\x0b\x0c\r"))
+    order = lambda i: (i is None, i or 0)
+    holders = collections.defaultdict(set)
+    for i, t in rows:
+        for x in (t or "").split("\n"):
+            holders[key(x)].add(i)
+    out = []
+    for i, t in rows:
+        all_ = (t or "").split("\n")
+        kept = [x for x in all_ if len(key(x)) < 10 or len(holders[key(x)]) < least or i == min(holders[key(x)], key=order)]
+        out.append((i, len(all_), len(all_) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    return out
+
+
+def test_line_dedup(spark, sf_dir, docs, odd, nothing):
+    got = QUERIES["op13_line_dedup"](spark, sf_dir).collect()
+    want = brute_lines(list(docs.items()))
+    assert sorted(map(tuple, got)) == sorted(want) and sum(w[2] for w in want) > 50
+    assert collections.Counter(map(tuple, line_dedup.report(odd).collect())) == collections.Counter(brute_lines(ODD))
+    assert line_dedup.report(nothing).count() == 0
+
+
+def test_line_dedup_of_odd_lines(spark):
+    rows = [
+        (5, "Same line HERE\n\n  same LINE here\t\nshort\nonly in five"),
+        (3, "short\n\x0bsame line here\r\n\nsame line here\n"),
+        (7, "same line here"),
+        (7, "another text\nsame line here"),
+        (7, "another text\nsame line here"),
+        (None, "only without an id\nSAME LINE HERE"),
+        (None, "only without an id\nÉté à la plage"),
+        (9, "été à la plage\nÉtÉ À LA PLAGE\nété à la PLAGE"),
+        (8, "ÉtÉ À la plage\n\x85Same line here\xa0"),
+        (8, None),
+        (8, "\n"),
+        (10, "\n".join(f"line number {k % 40}" for k in range(4000))),
+        (11, "\n".join(f"LINE NUMBER {k % 41}" for k in range(4000))),
+    ]
+    source = spark.createDataFrame([(i, t, "a", 1, 2) for i, t in rows], "doc_id long, text string, whole string, gone int, doc int")
+    for least in (2, 3):
+        got = line_dedup.report(source, least_docs=least).collect()
+        assert collections.Counter(map(tuple, got)) == collections.Counter(brute_lines(rows, least))
+    thin = line_dedup.thinned(source)
+    assert thin.columns == source.columns
+    assert collections.Counter((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in thin.collect()) == collections.Counter((i, s) for i, _, _, s in brute_lines(rows))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +61,15 @@ def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
                 yield fn(batch)
 
     return df.mapInArrow(run, schema)
+
+
+def byte_slices(batches: Iterator[pa.RecordBatch], most: int, name: str = "text") -> Iterator[pa.RecordBatch]:
+    """Cut batches into pieces of at most ``most`` bytes of text, or one row if that alone is longer."""
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index(name))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype("i8"))
+        at, past = 0, 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, past + most, "right")))
+            yield batch.slice(at, end - at)
+            at, past = end, int(ends[end - 1])

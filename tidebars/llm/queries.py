@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebars.llm import bpe, exact_dedup, language, near_dup, packing, pii, quality, suffix_dedup, toxicity, urls
+from tidebars.llm import bpe, exact_dedup, fill_middle, language, line_dedup, near_dup, packing, pii, quality, runs, suffix_dedup, toxicity, urls
 from tidebars.llm.common import read
 
 RULES = (
@@ -62,7 +62,36 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_url_rules, op3_near_duplicates, op4_best_fit_packing, op5_language_families, op6_quality_votes, op7_toxicity_pu, op8_personal_data, op9_repeated_passages, op10_bpe_round_trip)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.report(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup,
+        op2_url_rules,
+        op3_near_duplicates,
+        op4_best_fit_packing,
+        op5_language_families,
+        op6_quality_votes,
+        op7_toxicity_pu,
+        op8_personal_data,
+        op9_repeated_passages,
+        op10_bpe_round_trip,
+        op11_periodic_runs,
+        op12_fill_in_middle,
+        op13_line_dedup,
+    )
+}
 
 _RULE_ROWS = ", ".join(f"('{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{r}', '{v}')" for r, v in RULES)
 
@@ -88,4 +117,38 @@ ORACLES = {
         )
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM split LEFT JOIN fit USING (page_id)
     """,
+    "op12_fill_in_middle": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents
+        ), drawn AS (
+            SELECT doc_id, t, n, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS c1, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS c2,
+                   ('0x' || substr(h, 17, 8))::BIGINT % 100 AS h3, ('0x' || substr(h, 25, 8))::BIGINT % 100 AS h4
+            FROM d
+        ), cut AS (
+            SELECT doc_id, t, n, least(c1, c2) AS a, greatest(c1, c2) AS b,
+                   CASE WHEN n = 0 OR h3 >= 90 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain'
+                        WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM drawn
+        ), parts AS (
+            SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM cut
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM parts
+    """,
+    "op13_line_dedup": r"""
+        WITH l AS (
+            SELECT doc_id, unnest(s) AS line, unnest(range(len(s))) AS pos
+            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)
+        ), k AS (
+            SELECT doc_id, line, pos, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+        ), common AS (
+            SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE doc_id <> first) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE first IS NULL OR doc_id = first), '')) AS kept_sha256
+        FROM k LEFT JOIN common USING (key) GROUP BY doc_id
+    """,
 }
