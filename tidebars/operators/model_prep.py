@@ -85,7 +85,9 @@ def numeric_only(df: DataFrame, keep: list[str] = ("symbol", "ts")) -> DataFrame
     return df.select(*out)
 
 
-def model_matrix(df: DataFrame, target: str = "close", limit: int = ONE_HOT_LIMIT, values: dict[str, list[str]] | None = None) -> DataFrame:
-    """Keys, target and numeric features; the target's unscaled twin is not a feature."""
-    df = numeric_only(encode_categories(expand_periods(df), target, limit=limit, values=values))
+def model_matrix(
+    df: DataFrame, target: str = "close", limit: int = ONE_HOT_LIMIT, values: dict[str, list[str]] | None = None, keep: list[str] = ("symbol",)
+) -> DataFrame:
+    """Keys (``keep`` and ``ts``), target and numeric features; the target's unscaled twin is not a feature."""
+    df = numeric_only(encode_categories(expand_periods(df), target, list(keep), limit, values), [*keep, "ts"])
     return df.drop("close_og", "_i", "_n") if target != "close_og" else df.drop("_i", "_n")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidebars.functions.columns import c, pct, tdiv
 from tidebars.operators.blocks import Frames
+from tidebars.operators.order import WindowRanks
 from tidebars.operators.price import sma
 from tidebars.operators.recurrences import Kernel
 
@@ -25,33 +26,40 @@ def one_hot(name: str, prefix: str, values: list[str]) -> dict[str, Column]:
 
 
 def rank_kernel(short: int = 20, long: int = 100) -> Kernel:
-    """``_vol_rank``: the volatility's average rank among the last ``long``, as a share.
+    """``_vol_rank``: the volatility's average rank among the last ``long``, as a share; ``_vol_high``: 1 if it is
+    above their median, else 0.
 
-    A window aggregate cannot compare its rows with the current one, and gathering every
-    window into a list costs far more than comparing whole blocks at once.
+    A window aggregate cannot compare its rows with the current one, and sorts or gathers every window
+    anew; here the time of a block does not depend on ``long``.
     """
 
     def fn(b):
         close = b["close"].to_numpy(float)
-        out = np.full(len(b), np.nan)
+        rank, high = np.full(len(b), np.nan), np.full(len(b), np.nan)
         if len(b) >= short + long:
             with np.errstate(all="ignore"):
                 returns = close[1:] / close[:-1] - 1
                 vol = sliding_window_view(returns, short).std(axis=1, ddof=1)
-            windows = sliding_window_view(vol, long)
-            now = windows[:, -1:]
-            rank = (windows < now).sum(axis=1) + ((windows == now).sum(axis=1) + 1) / 2
-            known = np.isfinite(windows).all(axis=1)
-            out[short + long - 1 :] = np.where(known, rank / long, np.nan)
-        return {"_vol_rank": out}
-
-    return Kernel(("_vol_rank",), short + long, fn)
+            first = np.arange(len(vol) - long + 1)
+            end = first + long
+            unknown = np.concatenate([[0], np.cumsum(~np.isfinite(vol))])
+            known = unknown[end] == unknown[first]
+            order = WindowRanks(np.where(np.isfinite(vol), vol, 0.0))
+            now = order.ranks[end - 1]
+            less = order.below(first, end, now)
+            equal = order.below(first, end, now + 1) - less
+            middle = [order.kth(first, end, np.full(len(first), k)) for k in ((long - 1) // 2, long // 2)]
+            rank[short + long - 1 :] = np.where(known, (less + (equal + 1) / 2) / long, np.nan)
+            high[short + long - 1 :] = np.where(known, vol[end - 1] > (middle[0] + middle[1]) / 2, np.nan)
+        return {"_vol_rank": rank, "_vol_high": high}
+
+    return Kernel(("_vol_rank", "_vol_high"), short + long, fn)
 
 
 def volatility_regimes(
     fr: Frames, have: set[str], short: int = 20, long: int = 100, n_regimes: int = 3
 ):
-    """Three regimes need ``_vol_rank`` of ``rank_kernel`` with the same lengths."""
+    """Needs ``_vol_rank`` or, for two regimes, ``_vol_high`` of ``rank_kernel`` with the same lengths."""
     yield {"returns": tdiv("close", fr.lag("close")) - 1}
     year = math.sqrt(252)
     # A flat window has no spread; comparing extremes avoids a rounding residue.
@@ -70,8 +78,7 @@ def volatility_regimes(
         "volatility_change": log_vol - fr.lag(log_vol, 5),
     }
     if n_regimes == 2:
-        median = fr.roll(lambda x: F.percentile(x, F.lit(0.5)), "volatility_short", long)
-        regime, values = F.when(vol > median, "high").otherwise("low"), ["low", "high"]
+        regime, values = F.when(F.col("_vol_high") == 1, "high").otherwise("low"), ["low", "high"]
         yield {**layer, "volatility_regime": regime}
     else:
         values, place = VOL_REGIMES, F.col("_vol_rank")

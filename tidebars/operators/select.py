@@ -3,26 +3,25 @@
 from __future__ import annotations
 
 import logging
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler, VectorSlicer
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebars.functions.columns import c, numeric_columns
-from tidebars.operators.model_prep import model_matrix
+from tidebars.functions.columns import c, join_small, numeric_columns
+from tidebars.operators import trees as boosted
 from tidebars.operators.blocks import SERIES, with_position
+from tidebars.operators.model_prep import model_matrix
+from tidebars.session import materialize
 
 log = logging.getLogger(__name__)
 SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 
 
-def features_of(df: DataFrame, target: str) -> list[str]:
-    return [n for n in numeric_columns(df) if n not in (target, "close_og", "_i", "_n")]
+def features_of(df: DataFrame, target: str, by=SERIES) -> list[str]:
+    return [n for n in numeric_columns(df) if n not in (target, "close_og", "_i", "_n", *by)]
 
 
 def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -124,30 +123,39 @@ def correlation_report(df: DataFrame, target: str = "close", top: int = 20) -> D
     return matrix.join(others, "b", "left_semi").select("a", "b", "corr")
 
 
-def _assembled(df: DataFrame, cols: list[str], target: str, extra: list[str] = ()) -> DataFrame:
-    known = df.where(c(target).isNotNull()).select(
-        *[F.coalesce(c(n).cast("double"), F.lit(0.0)).alias(n) for n in cols],
-        c(target).cast("double").alias("_label"),
-        *extra,
+def tree_nodes(
+    df: DataFrame, target: str = "close", trees: int = 100, depth: int = 6, seed: int = 42, fit_rows: int = 100_000, rate: float = 0.3
+) -> DataFrame:
+    """Boosted trees for the target as a table of nodes: tree, node, feature, threshold, gain, n, value.
+
+    Fitted on 80 % of the rows, at most about ``fit_rows``, chosen by a hash of the row. Rows of a node with
+    ``feature <= threshold`` go to its left child (2 * node), others to the right; a leaf has a value and no feature.
+    The prediction is the sum of the values that a row reaches, that of tree -1 (the mean) included.
+    """
+    cols = features_of(df, target)
+    rows = boosted.numbers(df, cols, target)
+    how = boosted.binning(rows, cols)
+    table = materialize(boosted.binned(rows, how))
+    share = min(0.8, fit_rows / max(1, table.count()))
+    chosen = table.where(F.pmod(F.xxhash64("draw", F.lit(seed)), F.lit(boosted.DRAWS)) < int(share * boosted.DRAWS)).withColumn("fit", F.lit(0))
+    boosting = boosted.Boosting(trees, depth, rate)
+    nodes = boosted.fit_each(chosen, "fit", lambda _, x, y: boosted.fit(x, y, boosting), boosted.NODES)
+    nodes = materialize(nodes)
+    names = df.sparkSession.createDataFrame(
+        [(k, b, n, float(t)) for k, (n, at) in enumerate(zip(cols, how.cuts, strict=True)) for b, t in enumerate(at)], "feature int, bin int, name string, threshold double"
     )
-    va = VectorAssembler(inputCols=cols, outputCol="_x", handleInvalid="keep")
-    return va.transform(known).select("_x", "_label", *extra)
+    split = join_small(nodes, names, ["feature", "bin"], "left")  # leaves have neither and keep NULL
+    unit = F.lit(how.unit)
+    return split.select("tree", "node", F.col("name").alias("feature"), "threshold", (F.col("gain") * unit * unit).alias("gain"), "n", (F.col("value") * unit).alias("value"))
 
 
-def tree_importance(
-    df: DataFrame, target: str = "close", trees: int = 100, depth: int = 6, seed: int = 42, fit_rows: int = 1_000_000
-) -> DataFrame:
-    """Importance of each feature in boosted trees on 80 % of rows, at most about ``fit_rows``, chosen by a
-    hash of the row."""
-    cols = features_of(df, target)
-    rows = _assembled(df, cols, target)
-    share = min(0.8, fit_rows / max(1, rows.count()))
-    train = rows.where(F.pmod(F.xxhash64("_x", "_label", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    model = GBTRegressor(
-        featuresCol="_x", labelCol="_label", maxIter=trees, maxDepth=depth, seed=seed, checkpointInterval=10
-    ).fit(train)
-    scores = [(n, float(s)) for n, s in zip(cols, model.featureImportances.toArray())]
-    return df.sparkSession.createDataFrame(scores, "feature string, importance double")
+def tree_importance(df: DataFrame, target: str = "close", **fit) -> DataFrame:
+    """Importance of each feature in boosted trees (``tree_nodes``): its share of all gain; 0 if no tree uses it."""
+    names = df.sparkSession.createDataFrame([(n,) for n in features_of(df, target)], "feature string")
+    gains = tree_nodes(df, target, **fit).where(F.col("feature").isNotNull()).groupBy("feature").agg(F.sum("gain").alias("gain"))
+    # At most one row per feature.
+    shares = gains.select("feature", F.try_divide("gain", F.sum("gain").over(Window.partitionBy(F.lit(0)))).alias("importance"))
+    return names.join(shares, "feature", "left").select("feature", F.coalesce("importance", F.lit(0.0)).alias("importance"))
 
 
 def select_by_trees(df: DataFrame, target: str = "close", threshold: float = 0.01, **kw) -> list[str]:
@@ -168,7 +176,7 @@ def time_folds(df: DataFrame, splits: int = 5, by=SERIES, order: str = "ts") ->
     return placed.withColumn("_fold", fold.cast("int")).drop("_all", "_i", "_n")
 
 
-def rfecv(
+def rfecv_rounds(
     df: DataFrame,
     target: str = "close",
     min_features: int = 5,
@@ -176,54 +184,91 @@ def rfecv(
     splits: int = 5,
     trees: int = 100,
     depth: int = 4,
-    seed: int = 42,
     fit_rows: int = 100_000,
-) -> tuple[list[str], DataFrame]:
-    """Drop the weakest features round by round; the best mean score over time folds wins.
-
-    ``step`` features go in a round, or that share of them if it is below 1. Trees are fitted on at most
-    about ``fit_rows`` rows of each training part, chosen by a hash of the row; every row of a test fold
-    is scored. The chosen features are those of the last fold's ranking, which saw the most rows.
-    Returns the features and a report ``n_features, score`` (negative mean squared error).
+    rate: float = 0.3,
+    by=SERIES,
+) -> DataFrame:
+    """Recursive elimination within each time fold: one row per fold and round.
+
+    ``fold`` k is trained on all folds before k and tested on fold k; the last, ``splits + 1``, is trained on all
+    rows and tested on none. A round fits boosted trees on the features left and drops the ``step`` of least
+    importance (that share of them if below 1; of equal ones the later). Trees see at most about ``fit_rows`` rows
+    of a training part, chosen by a hash of the row; every row of a test fold is scored by every round's trees.
+    Folds are tasks side by side. Columns: fold, n_features, train_rows, test_rows, score (negative
+    mean squared error), strongest, features.
     """
-    cols = features_of(df, target)
-    # Assembled once; a round reads a slice of the vector.
-    folds = _assembled(time_folds(df, splits), cols, target, ["_fold"]).withColumn("_draw", F.pmod(F.xxhash64("_x", "_label"), F.lit(1 << 20)))
-    folds = folds.cache()
-    sizes = {r["_fold"]: r["count"] for r in folds.groupBy("_fold").count().collect()}
-
-    def rounds(k: int):
-        """Feature set and score of each round, largest set first."""
-        before = sum(n for f, n in sizes.items() if f < k)
-        share = fit_rows / max(1, before)
-        train, test = folds.where((F.col("_fold") < k) & (F.col("_draw") < int(min(1.0, share) * (1 << 20)))), folds.where(F.col("_fold") == k)
-        train = train.coalesce(1 + min(before, fit_rows) // 25_000)  # a tree is many small jobs
-        at, out = list(range(len(cols))), []
+    cols = features_of(df, target, by)
+    rows = boosted.numbers(time_folds(df, splits, by), cols, target, ["_fold"])
+    how = boosted.binning(rows, cols)
+    table = materialize(boosted.binned(rows, how, ["_fold"]))
+    sizes = {r["_fold"]: r["count"] for r in table.groupBy("_fold").count().collect()}
+    before = {k: sum(n for f, n in sizes.items() if f < k) for k in range(1, splits + 2)}
+    into = [
+        F.when((F.col("_fold") < k) & (F.col("draw") < int(min(1.0, fit_rows / max(1, before[k])) * boosted.DRAWS)), k) for k in before
+    ]
+    parts = table.withColumn("fold", F.explode(F.array_compact(F.array(*into))))
+    boosting, p = boosted.Boosting(trees, depth, rate), len(cols)
+
+    def eliminate(fold: int, x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+        at, out = np.arange(p), []
         while True:
-            cut = VectorSlicer(inputCol="_x", outputCol="_part", indices=at)
-            gbt = GBTRegressor(featuresCol="_part", labelCol="_label", maxIter=trees, maxDepth=depth, seed=seed, checkpointInterval=10)
-            model = gbt.fit(cut.transform(train))
-            judge = RegressionEvaluator(labelCol="_label", metricName="mse")
-            out.append(([cols[i] for i in at], -judge.evaluate(model.transform(cut.transform(test)))))
+            nodes = boosted.fit(x[:, at], y, boosting)
+            worth = boosted.importance(nodes, len(at))
+            nodes["feature"] = nodes["feature"].map(lambda f, at=at: at[int(f)], na_action="ignore")
+            out.append((fold, len(at), int(at[worth.argmax()]) if len(at) else None, at.tolist(), boosted.Ensemble.of(nodes).to_bytes()))
             if len(at) <= min_features:
-                return out
+                return pd.DataFrame(out, columns=["fold", "n_features", "strongest", "features", "model"])
             n = max(1, int(len(at) * step)) if step < 1 else int(step)
-            weak = np.argsort(model.featureImportances.toArray(), kind="stable")
-            gone = {at[i] for i in weak[: min(n, len(at) - min_features)]}
-            at = [i for i in at if i not in gone]
-
-    scores: dict[int, list[float]] = {}
-    try:
-        with ThreadPool(splits) as pool:  # folds do not depend on each other
-            each = pool.map(rounds, range(1, splits + 1))
-        for names, score in (r for fold in each for r in fold):
-            scores.setdefault(len(names), []).append(score)
-    finally:
-        folds.unpersist()
-    mean = {n: float(np.mean(s)) for n, s in scores.items()}
-    best = max(sorted(mean), key=lambda n: mean[n])
-    chosen = next(names for names, _ in each[-1] if len(names) == best)
-    return chosen, df.sparkSession.createDataFrame(sorted(mean.items()), "n_features int, score double")
+            weak = np.lexsort((-np.arange(len(at)), worth))[: min(n, len(at) - min_features)]
+            at = np.delete(at, weak)
+
+    schema = "fold int, n_features int, strongest int, features array<int>, model binary"
+    # Ensembles are bounded by folds, rounds, trees and depth (35 KB each with the defaults), whatever the rows.
+    fitted = [r.asDict() for r in boosted.fit_each(parts, "fold", eliminate, schema).collect()]
+    models: dict[int, list] = {}
+    for r in fitted:
+        models.setdefault(r["fold"], []).append((r["n_features"], bytes(r["model"])))
+    shared = df.sparkSession.sparkContext.broadcast(models)
+
+    def judge(batches):
+        known = {k: [(n, boosted.Ensemble.from_bytes(m)) for n, m in of] for k, of in shared.value.items()}
+        for batch in batches:
+            folds, y = batch.column("_fold").to_numpy(zero_copy_only=False), batch.column("y").to_numpy(zero_copy_only=False)
+            x = np.frombuffer(b"".join(batch.column("x").to_pylist()), "u1").reshape(batch.num_rows, p)
+            out = []
+            for k in np.unique(folds):
+                here = folds == k
+                for n, model in known.get(int(k), []):
+                    miss = (model.predict(x[here]) - y[here]) * how.unit
+                    out.append((int(k), n, int(here.sum()), float(miss @ miss)))
+            if out:
+                yield pd.DataFrame(out, columns=["fold", "n_features", "n", "miss"])
+
+    def judge_frames(batches):
+        for frame in judge(batches):
+            yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
+
+    test = table.where(F.col("_fold") > 0).select("_fold", "x", "y").mapInArrow(judge_frames, "fold long, n_features long, n long, miss double")
+    errors = test.groupBy("fold", "n_features").agg((-F.sum("miss") / F.sum("n")).alias("score"))
+    score = {(r["fold"], r["n_features"]): r["score"] for r in errors.collect()}
+    report = [
+        (r["fold"], r["n_features"], before[r["fold"]], sizes.get(r["fold"], 0), score.get((r["fold"], r["n_features"])), cols[r["strongest"]] if r["features"] else None, [cols[i] for i in r["features"]])
+        for r in fitted
+    ]
+    return df.sparkSession.createDataFrame(report, "fold int, n_features int, train_rows long, test_rows long, score double, strongest string, features array<string>")
+
+
+def rfecv(df: DataFrame, target: str = "close", min_features: int = 5, **fit) -> tuple[list[str], DataFrame]:
+    """Drop the weakest features round by round (``rfecv_rounds``); the best mean score over time folds wins.
+
+    The features chosen are those that an elimination over all folds leaves at the best size. Returns them
+    and a report ``n_features, score`` (the mean over folds of the negative mean squared error).
+    """
+    rounds = rfecv_rounds(df, target, min_features, **fit)
+    mean = rounds.where(F.col("score").isNotNull()).groupBy("n_features").agg(F.avg("score").alias("score"))
+    best = mean.orderBy(F.desc("score"), "n_features").first()
+    last = rounds.where(F.col("n_features") == (best["n_features"] if best else min_features)).orderBy(F.desc("fold")).first()
+    return (list(last["features"]) if last else []), mean
 
 
 def votes(spark, chosen: dict[str, list[str] | None], target: str) -> DataFrame:
@@ -238,6 +283,23 @@ def votes(spark, chosen: dict[str, list[str] | None], target: str) -> DataFrame:
     return counts.withColumn("selected", F.col("n_votes") >= need)
 
 
+def chosen_by(
+    x: DataFrame, method: str, target: str = "close", k: int = 5, trees: int = 100, by=SERIES, rfe: dict | None = None
+) -> list[str] | None:
+    """What one method chooses from a model matrix; None if it fails. ``rfe``: arguments of ``rfecv``."""
+    plain = x.drop(*by)  # keys that are numbers are no features
+    run = {
+        "cfs": lambda: cfs(plain, target, k),
+        "trees": lambda: select_by_trees(plain, target, trees=trees),
+        "rfe": lambda: rfecv(x, target, k, **{"trees": trees, "by": by, **(rfe or {})})[0],
+    }
+    try:
+        return run[method]()
+    except (ValueError, ArithmeticError) as e:
+        log.error("selection method %s failed: %s", method, e)
+        return None
+
+
 def select_features(
     df: DataFrame,
     target: str = "close",
@@ -246,24 +308,16 @@ def select_features(
     trees: int = 100,
     keys: list[str] = ("symbol", "ts"),
     rfe: dict | None = None,
+    chosen: dict[str, list[str] | None] | None = None,
 ) -> DataFrame:
-    """Keys, the features most methods agree on, and the target. ``rfe``: arguments of ``rfecv``."""
-    x = model_matrix(df, target)
-    run = {
-        "cfs": lambda: cfs(x, target, k),
-        "trees": lambda: select_by_trees(x, target, trees=trees),
-        "rfe": lambda: rfecv(x, target, k, **{"trees": trees, **(rfe or {})})[0],
-    }
-    chosen: dict[str, list[str] | None] = {}
-    for m in methods:
-        try:
-            chosen[m] = run[m]()
-        except (ValueError, ArithmeticError) as e:
-            log.error("selection method %s failed: %s", m, e)
-            chosen[m] = None
+    """Keys, the features most methods agree on, and the target. ``rfe``: arguments of ``rfecv``; ``chosen``: what
+    each method has chosen from ``df``, which is a model matrix then."""
+    by = [n for n in keys if n != "ts"]
+    x = df if chosen else model_matrix(df, target, keep=by)
+    chosen = chosen or {m: chosen_by(x, m, target, k, trees, by, rfe) for m in methods}
     if len(methods) > 1:
         picked = votes(df.sparkSession, chosen, target).where("selected").orderBy("feature")
         names = [r["feature"] for r in picked.collect()]
     else:
         names = [n for n in chosen[methods[0]] or [] if n != target]
-    return x.select(*[c(n) for n in keys if n in x.columns], *[c(n) for n in names], c(target))
+    return x.select(*[c(n) for n in keys if n in x.columns], *[c(n) for n in names if n not in keys], c(target))

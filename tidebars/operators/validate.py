@@ -34,7 +34,7 @@ ISSUES = {
 }
 
 
-def _row_checks(df: DataFrame) -> dict[str, Column]:
+def stateless_conditions(df: DataFrame) -> dict[str, Column]:
     checks = {}
     if len(present(df, PRICES)) >= 2:
         faults = ohlc_faults(df)
@@ -52,7 +52,7 @@ def _instant(now: datetime) -> Column:
 
 def stateless_issues(df: DataFrame, now: datetime | None = None, by=SERIES) -> DataFrame:
     """The checks that need one row only, one output row per finding. Works on a stream."""
-    checks = _row_checks(df)
+    checks = stateless_conditions(df)
     if now is not None:
         checks["future"] = F.col("ts") > _instant(now)
     return _explode(df, checks, by=by)
@@ -78,7 +78,7 @@ def affected_rows(
     All checks share one pass over the blocks.
     """
     df = with_position(df, by)
-    checks = _row_checks(df)
+    checks = stateless_conditions(df)
     fr = Frames(tuple(by))
     new = {"_step": F.unix_micros("ts") - fr.lag(F.unix_micros("ts"))}
     if "close" in df.columns:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+from tidebars.plans.oracles_stl import mstl_parts, stl_parts
+
 BARS = """bars AS (
   SELECT event_type AS symbol, date_trunc('hour', ts) AS ts,
     first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low,
@@ -602,6 +604,11 @@ ORACLES["f30_holidays"] = sql(
     "SELECT symbol, ts, CASE WHEN CAST(ts AS DATE) IN (SELECT h FROM hol) THEN 1 ELSE 0 END AS is_holiday, "
     "coalesce((SELECT CAST(min(h - CAST(ts AS DATE)) AS INTEGER) FROM hol WHERE h > CAST(ts AS DATE) AND h <= CAST(ts AS DATE) + 29), 0) AS days_to_next_holiday FROM b",
 )
+ORACLES["f28_stl"] = sql(
+    stl_parts(BARS),
+    out({"stl_trend": "t", "stl_seasonal": "s", "stl_residual": "r", "stl_seasonal_strength": "ss", "stl_trend_strength": "tt"}, "st JOIN st_v USING (symbol)"),
+)
+ORACLES["f29_mstl"] = sql(mstl_parts(BARS), out({"mstl_trend": "t", "mstl_seasonal_24": "s24", "mstl_seasonal_160": "s160", "mstl_residual": "r"}, "ms"))
 ORACLES["f28_stl_sum"] = sql(BARS, out({"stl": "CASE WHEN n >= 320 THEN close END", "mstl": "CASE WHEN n >= 320 THEN close END"}, "b", 4))
 _FAR = DAILY.replace("b AS (", "b0 AS (", 1) + """,
 b AS (SELECT * REPLACE (symbol || ' true' AS symbol, ts + INTERVAL 200 YEARS AS ts) FROM b0 UNION ALL
@@ -864,6 +871,13 @@ ORACLES["l04_time_folds"] = sql(
     "SELECT symbol, ts, CAST(CASE WHEN j < nn - 5 * sz THEN 0 ELSE (j - (nn - 5 * sz)) // sz + 1 END AS INTEGER) AS fold FROM "
     "(SELECT symbol, ts, row_number() OVER (ORDER BY ts, symbol) - 1 AS j, count(*) OVER () AS nn, count(*) OVER () // 6 AS sz FROM b)",
 )
+# Folds of 0 to 5 by time; fold 6 trains on all. Rounds drop two features, from 26 with the planted one, until five are left.
+ORACLES["l04_rfecv"] = sql(
+    BARS,
+    """SELECT CAST(f AS INTEGER) AS fold, CAST(greatest(k, 5) AS INTEGER) AS n_features, CASE WHEN f = 6 THEN n ELSE n - (6 - f) * (n // 6) END AS train_rows,
+  CASE WHEN f = 6 THEN 0 ELSE n // 6 END AS test_rows, 'signal' AS strongest
+FROM (SELECT count(*) AS n FROM b), unnest(range(1, 7)) AS x(f), unnest(range(26, 3, -2)) AS y(k)""",
+)
 ORACLES["l05_votes"] = (
     "WITH RECURSIVE " + SELECTION + pair_table([*_sel, "close"]) + greedy("close", 15, 0.5, "g1") + greedy("close", 15, 0.9, "g2") + greedy("volume", 15, 0.9, "g3")
     + """,
@@ -889,6 +903,22 @@ ORACLES["l08_one_hot_categories"] = (
 )
 ORACLES["l08_label_codes"] = "SELECT c_custkey, dense_rank() OVER (ORDER BY c_name) - 1 AS c_name_encoded FROM customer"
 ORACLES["l09_numeric_only"] = "SELECT o_orderkey, o_custkey, round(o_totalprice, 2) AS o_totalprice FROM orders"
+ORACLES["p01_engineer"] = sql(
+    BARS
+    + gapless("b")
+    + capped("grid_out")
+    + f""",
+cl AS (SELECT symbol, ts, CAST({REPAIR["close"]} AS DOUBLE) AS close, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM cap),
+kn AS (SELECT avg((i < 199)::INT) AS s200, avg((i < 49)::INT) AS s50 FROM cl),
+k0 AS (SELECT cl.*, CASE WHEN n > 200 AND s200 <= 0.5 THEN 200 WHEN n > 50 AND s50 <= 0.5 THEN 50 WHEN n > 20 THEN 20
+  WHEN n > 10 THEN 10 WHEN n > 5 THEN 5 ELSE 0 END AS cut FROM cl, kn),
+k1 AS (SELECT * REPLACE (i - cut AS i) FROM k0 WHERE i >= cut),
+k3 AS (SELECT *, {zscore("close")} AS zc FROM k1),
+k4 AS (SELECT symbol, ts, {back("zc")} AS close FROM k3),
+al AS (SELECT unnest(['cleaned', 'features']) AS stage, symbol, ts, close FROM cl UNION ALL SELECT unnest(['transformed', 'selected']), symbol, ts, close FROM k4)""",
+    """SELECT symbol, stage, count(*) AS n_rows, min(ts) AS first_ts, max(ts) AS last_ts, count(close) AS n_known, round(sum(close), 4) + 0.0 AS total
+FROM al GROUP BY symbol, stage""",
+)
 ORACLES["p02_processors"] = sql(DIRTY, out(REPAIR, "dirty", keys="symbol, seq", raw=["volume"]))
 
 # ---- streaming --------------------------------------------------------------
@@ -948,6 +978,9 @@ UNION ALL SELECT symbol, ts, 'open_price' FROM x WHERE open <= 0 UNION ALL SELEC
 UNION ALL SELECT symbol, ts, 'low_price' FROM x WHERE low <= 0 UNION ALL SELECT symbol, ts, 'close_price' FROM x WHERE close <= 0
 UNION ALL SELECT symbol, ts, 'negative_volume' FROM x WHERE volume < 0"""
 
+ORACLES["r08_live_counts"] = f"""WITH f AS ({ORACLES["r08_live_issues"]}),
+codes AS (SELECT unnest(['high_below', 'low_above', 'open_price', 'high_price', 'low_price', 'close_price', 'negative_volume']) AS code)
+SELECT code, count(f.code) AS n FROM codes LEFT JOIN f USING (code) GROUP BY 1 UNION ALL SELECT 'n_bars', count(*) FROM events"""
 ORACLES["u01_own_feature"] = sql(BARS, out({"hl_spread": f"{roll('max', 'high', 3)} - {roll('min', 'low', 3)}"}, "b"))
 ORACLES["u02_rolling_function"] = sql(BARS, out({"mad_7": roll("mad", "close", 7)}, "b"))
 ORACLES["u03_exact_quantiles"] = "SELECT event_type AS symbol, " + ", ".join(
@@ -955,3 +988,4 @@ ORACLES["u03_exact_quantiles"] = "SELECT event_type AS symbol, " + ", ".join(
     for n, x in (("price", "value"), ("size", "CAST(json_extract_string(props, '$.k') AS DOUBLE)"))
     for k, p in (("q1", 0.25), ("q2", 0.5), ("q99", 0.99))
 ) + " FROM events GROUP BY 1"
+

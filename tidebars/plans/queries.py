@@ -22,7 +22,7 @@ from tidebars.operators import transform as tr
 from tidebars.operators import validate as va
 from tidebars.operators.blocks import Frames, own_rows, with_halo, with_position
 from tidebars.operators.quantiles import quantiles
-from tidebars.plans.engineer import engineer
+from tidebars.plans.engineer import engineer, stage_profile
 from tidebars.plans.registry import generate, generated_features, preconditions
 from tidebars.session import materialize, scratch_dir
 from tidebars.sources import coverage as cov
@@ -339,8 +339,14 @@ def _(spark, sf):
 
 @query("s14_landed_responses")
 def _(spark, sf):
-    df = vj.with_metadata(_responses(spark, sf))
-    return df.select(
+    """Responses as files, one document each; half of them land, then the rest, then nothing more."""
+    at = f"{scratch_dir(spark)}/landing-{datetime.now().timestamp()}"
+    docs = materialize(_responses(spark, sf))
+    odd = F.xxhash64("symbol", "body") % 2 == 0
+    for part in (docs.where(odd), docs.where(~odd), docs.limit(0)):
+        part.select("symbol", "body").write.mode("append").partitionBy("symbol").option("maxRecordsPerFile", 1).text(f"{at}/files")
+        landed = vj.land_responses(spark, f"{at}/files", f"{at}/bronze", keys="symbol string")
+    return landed.select(
         "symbol",
         "instrument",
         "resolution",
@@ -613,16 +619,16 @@ def _(spark, sf):
 
 @query("f45_cycles")
 def _(spark, sf):
+    df = _told_cycles(generate(bars_1h(spark, sf), ["fast_fourier_transforms"]))
+    return emit(df, "symbol", "ts", "periods", "n_cycles", "sin_sum", "cos_sum")
+
+
+def _told_cycles(df: DataFrame) -> DataFrame:
     """Periods as text, and sums over the cycles of a row, which every language rounds alike."""
-    df = generate(bars_1h(spark, sf), ["fast_fourier_transforms"])
     total = lambda part: F.aggregate("fft_cycles", F.lit(0.0), lambda a, x: a + x[part])
-    return emit(
-        df.select(
-            "symbol", "ts",
-            F.array_join(F.transform("fft_dominant_periods", lambda p: p.cast("string")), ",").alias("periods"),
-            F.size("fft_cycles").alias("n_cycles"), total("sin").alias("sin_sum"), total("cos").alias("cos_sum"),
-        )
-    )
+    periods = F.array_join(F.transform("fft_dominant_periods", lambda p: p.cast("string")), ",")
+    new = {"periods": periods, "n_cycles": F.size("fft_cycles"), "sin_sum": total("sin"), "cos_sum": total("cos")}
+    return df.withColumns(new).drop("fft_cycles", "fft_dominant_periods")
 
 
 @query("f28_stl_sum")
@@ -668,7 +674,9 @@ def _(spark, sf):
 
 @query("f47_all_features")
 def _(spark, sf):
-    return emit(generate(bars_1h(spark, sf)))
+    """Cycles as in ``f45_cycles``; the classical parts nudged as in ``f27_seasonal``."""
+    df = _told_cycles(generate(bars_1h(spark, sf)))
+    return emit(df.withColumns({n: c(n) + 1e-9 for n in FEATURE_COLUMNS["f27_seasonal"][1]}))
 
 
 # ---- transformation ---------------------------------------------------------
@@ -769,7 +777,14 @@ def _(spark, sf):
 
 
 @query("l04_rfecv")
-def _rfecv(spark, sf):
+def _(spark, sf):
+    """Every round of every fold, with a feature that follows the target; it must be the strongest in all of them."""
+    planted = _selection_table(spark, sf, ("symbol", "ts")).withColumn("signal", c("close") * 1.05)
+    return sel.rfecv_rounds(planted, "close").select("fold", "n_features", "train_rows", "test_rows", "strongest")
+
+
+@query("l04_rfecv_scores")
+def _(spark, sf):
     return sel.rfecv(_selection_table(spark, sf, ("symbol", "ts")), "close")[1]
 
 
@@ -829,8 +844,8 @@ def _(spark, sf):
 
 @query("p01_engineer")
 def _(spark, sf):
-    """All features; chosen by correlation, as boosted trees and elimination take hours on so few cores."""
-    return emit(engineer(bars_1h(spark, sf), methods=("cfs",), now=NOW)["selected"])
+    """All features and all three ways to select; what every stage holds of each symbol."""
+    return emit(stage_profile(engineer(bars_1h(spark, sf), now=NOW)), dp=4)
 
 
 @query("p02_processors")
@@ -849,19 +864,29 @@ def _stream(spark, sf) -> DataFrame:
     return _ticks(raw)
 
 
-def _closing_stream(spark, sf) -> DataFrame:
-    """The events in two micro-batches by time, and a marker far ahead in a third, so that the watermark
+def _in_turn(parts: list[DataFrame], stream: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A stream over a growing folder: each part is appended, then drained by a run of its own on one checkpoint.
+
+    So the order of the parts comes from the runs, whatever the number and names of their files.
+    """
+    spark = parts[0].sparkSession
+    path = f"{scratch_dir(spark)}/arriving-{datetime.now().timestamp()}"
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        out = _drain(stream(spark.readStream.schema(parts[0].schema).parquet(path)), at=path + "-out")
+    return out
+
+
+def _closing(spark, sf, stream: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A stream over the events in two time ranges, and a marker far ahead in a third, so that the watermark
     passes every event and all windows close. The marker's own window stays open."""
     events = table(spark, sf, "events")
-    path = f"{scratch_dir(spark)}/events-{datetime.now().timestamp()}"
-    ends = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
-    middle = ends["a"] + (ends["b"] - ends["a"]) / 2
-    # One file each, since files are taken in the order they were written.
-    events.where(F.col("ts") < F.lit(middle)).coalesce(1).write.mode("append").parquet(path)
-    events.where(F.col("ts") >= F.lit(middle)).coalesce(1).write.mode("append").parquet(path)
-    marker = events.orderBy("event_id").limit(1).withColumns({"ts": F.lit(ends["b"] + timedelta(days=365)), "event_type": F.lit(MARKER)})
-    marker.select(*events.columns).coalesce(1).write.mode("append").parquet(path)
-    return _ticks(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path))
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    middle = first + (last - first) / 2
+    marker = spark.createDataFrame([(-1, last + timedelta(days=365), MARKER)], "event_id long, ts timestamp_ntz, event_type string")
+    marker = marker.select(*[c(f.name) if f.name in marker.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema])
+    ranges = [events.where(F.col("ts") < F.lit(middle)), events.where(F.col("ts") >= F.lit(middle)), marker]
+    return _in_turn(ranges, lambda raw: stream(_ticks(raw)))
 
 
 def _ticks(raw: DataFrame) -> DataFrame:
@@ -874,10 +899,10 @@ def _ticks(raw: DataFrame) -> DataFrame:
     )
 
 
-def _drain(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what there is, into a table."""
+def _drain(df: DataFrame, mode: str = "append", at: str | None = None) -> DataFrame:
+    """Run a stream over what there is, into a table (``at``: one that earlier runs began)."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/stream-{datetime.now().timestamp()}"
+    path = at or f"{scratch_dir(spark)}/stream-{datetime.now().timestamp()}"
     q = (
         df.writeStream.outputMode(mode)
         .format("parquet")
@@ -945,41 +970,51 @@ def _(spark, sf):
 
 @query("r04_newest_updates")
 def _(spark, sf):
-    bars = _closing_stream(spark, sf).withColumns({"ts": F.date_trunc("hour", "ts"), "resolution": F.lit("HOUR")})
-    return emit(_drain(live.newest_updates(bars, "event_id")), "symbol", "resolution", "ts", *PRICES, "n_updates")
+    hourly = lambda t: t.withColumns({"ts": F.date_trunc("hour", "ts"), "resolution": F.lit("HOUR")})
+    out = _closing(spark, sf, lambda t: live.newest_updates(hourly(t), "event_id"))
+    return emit(out, "symbol", "resolution", "ts", *PRICES, "n_updates")
 
 
 @query("r05_tumbling")
 def _(spark, sf):
-    return emit(_drain(live.resample(_closing_stream(spark, sf), "1 hour")), "symbol", "ts", *OHLCV, "n_bars")
+    return emit(_closing(spark, sf, lambda t: live.resample(t, "1 hour")), "symbol", "ts", *OHLCV, "n_bars")
 
 
 @query("r05_sliding")
 def _(spark, sf):
-    return emit(_drain(live.resample(_closing_stream(spark, sf), "4 hours", "1 hour")), "symbol", "ts", *OHLCV, "n_bars")
+    return emit(_closing(spark, sf, lambda t: live.resample(t, "4 hours", "1 hour")), "symbol", "ts", *OHLCV, "n_bars")
 
 
 @query("r06_live_indicators")
 def _(spark, sf):
+    """Bars in three time ranges. Each brings some of its bars again, with older numbers and other prices, and bars of
+    the ranges before, which are late."""
     ind.use_rocksdb(spark)
-    path = f"{scratch_dir(spark)}/bars-{datetime.now().timestamp()}"
-    bars = bars_1h(spark, sf)
-    bars.coalesce(1).write.parquet(path)
-    last = bars.agg(F.max("ts")).first()[0]
-    marker = bars.orderBy("symbol", "ts").limit(1).withColumns({"ts": F.lit(last + timedelta(days=365)), "symbol": F.lit(MARKER)})
-    marker.coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return emit(_drain(ind.live_indicators(stream)), "symbol", "ts", "ema_12", "macd_line", "macd_signal", "atr", "rsi_14", "obv", "run_length")
+    bars = materialize(bars_1h(spark, sf).withColumn("arrived", F.lit(2)))
+    first, last = bars.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [first + (last - first) * k / 3 for k in (1, 2)]
+    edges = [None, *cuts, None]
+    wrong = lambda df: df.withColumns({n: c(n) * 3 for n in PRICES} | {"arrived": F.lit(1)})
+    parts = []
+    for a, b in zip(edges, edges[1:]):
+        own = bars.where((F.col("ts") >= F.lit(a)) if a else F.lit(True)).where((F.col("ts") < F.lit(b)) if b else F.lit(True))
+        part = own.unionByName(wrong(own.where(F.hour("ts") % 3 == 0)))
+        if a:
+            late = bars.where(F.col("ts") < F.lit(a) - F.expr("INTERVAL 1 DAY"))
+            part = part.unionByName(wrong(late.where(F.hour("ts") == 5)).withColumn("arrived", F.lit(3)))
+        parts.append(part)
+    marker = bars.where(F.col("ts") == F.lit(last)).limit(1).withColumns({"ts": F.lit(last + timedelta(days=365)), "symbol": F.lit(MARKER)})
+    out = _in_turn([*parts, marker], lambda b: ind.live_indicators(b, "1 hour", arrived="arrived"))
+    return emit(out, "symbol", "ts", "ema_12", "macd_line", "macd_signal", "atr", "rsi_14", "obv", "run_length")
 
 
 @query("r07_sessions")
 def _(spark, sf):
-    return emit(_drain(live.trading_sessions(_closing_stream(spark, sf), "30 minutes")))
+    return emit(_closing(spark, sf, lambda t: live.trading_sessions(t, "30 minutes")))
 
 
-@query("r08_live_issues")
-def _(spark, sf):
-    bars = _stream(spark, sf).withColumns(
+def _broken_stream(spark, sf) -> DataFrame:
+    return _stream(spark, sf).withColumns(
         {
             "high": F.when(c("event_id") % 11 == 0, c("high") - 1).otherwise(c("high")),
             "low": F.when(c("event_id") % 13 == 0, c("low") + 1).otherwise(c("low")),
@@ -987,10 +1022,30 @@ def _(spark, sf):
             "volume": F.when(c("event_id") % 23 == 0, -1).otherwise(c("volume")),
         }
     )
-    out = _drain(live.live_issues(live.observed(bars)))
+
+
+@query("r08_live_issues")
+def _(spark, sf):
+    out = _drain(live.live_issues(live.observed(_broken_stream(spark, sf))))
     return emit(out, "symbol", "ts", "code")
 
 
+@query("r08_live_counts")
+def _(spark, sf):
+    """Rows and findings by code, as a listener hears of them with the progress of the stream."""
+    counts = live.IssueCounts("bars")
+    spark.streams.addListener(counts)
+    try:
+        path = f"{scratch_dir(spark)}/counted-{datetime.now().timestamp()}"
+        found = live.live_issues(live.observed(_broken_stream(spark, sf)))
+        q = found.writeStream.format("parquet").option("checkpointLocation", path + "-state").trigger(availableNow=True).start(path)
+        q.awaitTermination()
+        counts.wait(q)
+    finally:
+        spark.streams.removeListener(counts)
+    return counts.table(spark).groupBy("code").agg(F.sum("n").alias("n"))
+
+
 # ---- user functions, quantiles ----------------------------------------------
 
 

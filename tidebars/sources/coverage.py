@@ -36,19 +36,24 @@ def coverage(
 ) -> DataFrame:
     """Planned chunks with bar count, first and last stamp, and whether any bar came.
 
-    A bar's chunk number follows from its stamp, so bars are counted per chunk first
-    and only the counts are joined to the plan.
+    Time is cut into bins as long as a chunk, so a chunk touches two bins at most. Bars meet the chunks of
+    their own bin by an equi-join: however many ranges a symbol has, a bar is paired with those chunks only that
+    hold it or border on its bin.
     """
     step = RESOLUTION_MINUTES[resolution] * 60 * max_points * 1_000_000
     plan = chunk_plan(ranges, resolution, max_points)
-    at = F.unix_micros("ts") - F.unix_micros("from_ts")
+    keys = ["symbol", "from_ts", "chunk", "chunk_start", "chunk_end"]
+    bin_of = lambda micros: F.floor(micros / F.lit(step))
+    first, last = bin_of(F.unix_micros("chunk_start")), bin_of(F.unix_micros("chunk_end") - 1)
+    binned = plan.distinct().withColumn("_bin", F.explode(F.sequence(first, last)))
     held = (
-        bars.join(ranges, "symbol")
-        .where((F.col("ts") >= F.col("from_ts")) & (F.col("ts") < F.col("to_ts")))
-        .groupBy("symbol", "from_ts", F.floor(at / F.lit(step)).alias("chunk"))
+        bars.select("symbol", "ts", bin_of(F.unix_micros("ts")).alias("_bin"))
+        .join(binned, ["symbol", "_bin"])
+        .where((F.col("ts") >= F.col("chunk_start")) & (F.col("ts") < F.col("chunk_end")))
+        .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     )
-    return plan.join(held, ["symbol", "from_ts", "chunk"], "left").select(
+    return plan.join(held, keys, "left").select(
         "symbol",
         "from_ts",
         "chunk",

@@ -22,10 +22,21 @@ ACCOUNTS = "struct<accounts:array<struct<accountId:string,accountName:string,bal
 POSITIONS = "struct<positions:array<struct<position:struct<dealId:string>>>>"
 
 
-def land_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Whole response files with their name and request metadata (a bronze table)."""
-    raw = spark.read.option("wholetext", True).text(path)
-    return with_metadata(raw.select(F.input_file_name().alias("file"), F.col("value").alias("body")))
+def land_responses(spark: SparkSession, path: str, out: str, checkpoint: str | None = None, keys: str = "") -> DataFrame:
+    """Land whole response files in a bronze table, each exactly once: its name, size and time, the body, and the
+    request's metadata.
+
+    A file stream remembers in ``checkpoint`` (``out`` with ``-state`` by default) which files it has taken; a run takes what
+    has come since the last one. ``keys`` declares columns that folder names hold, as ``symbol string``. Returns the table.
+    """
+    schema = f"value string{', ' if keys else ''}{keys}"
+    files = spark.readStream.schema(schema).option("wholetext", True).format("text").load(path)
+    about = [F.col(f"_metadata.{n}").alias(n) for n in ("file_path", "file_size", "file_modification_time")]
+    names = [n for n in files.columns if n != "value"]
+    landed = with_metadata(files.select(*names, *about, F.col("value").alias("body")))
+    q = landed.writeStream.format("parquet").option("checkpointLocation", checkpoint or f"{out}-state").trigger(availableNow=True).start(out)
+    q.awaitTermination()
+    return spark.read.schema(landed.schema).parquet(out)
 
 
 def with_metadata(responses: DataFrame, body: str = "body") -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from tidebars.functions.columns import c
-from tidebars.operators.validate import stateless_issues
+from tidebars.operators.blocks import SERIES
+from tidebars.operators.validate import stateless_conditions, stateless_issues
 
 LIVE_EVENT = (
     "destination string, status string, payload struct<epic:string,resolution:string,type:string,"
@@ -71,32 +74,32 @@ def handle(bars: DataFrame, handler: Callable[[DataFrame, int], None], checkpoin
     return (writer.trigger(**trigger) if trigger else writer).start()
 
 
-def first_updates(bars: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """One row per symbol, resolution and stamp; repeats within the lateness are dropped."""
-    return bars.withWatermark("ts", late).dropDuplicatesWithinWatermark(["symbol", "resolution", "ts"])
+def first_updates(bars: DataFrame, late: str = "10 minutes", by=SERIES) -> DataFrame:
+    """One row per series, resolution and stamp; repeats within the lateness are dropped."""
+    return bars.withWatermark("ts", late).dropDuplicatesWithinWatermark([*by, "resolution", "ts"])
 
 
-def newest_updates(bars: DataFrame, arrived: str, late: str = "10 minutes") -> DataFrame:
-    """The update that arrived last for each symbol, resolution and stamp."""
+def newest_updates(bars: DataFrame, arrived: str, late: str = "10 minutes", by=SERIES) -> DataFrame:
+    """The update that arrived last for each series, resolution and stamp."""
     df = bars.withWatermark("ts", late) if bars.isStreaming else bars
     rest = ["open", "high", "low", "close"]
     # A window of one millisecond, the resolution of live messages, keeps the stamp an event-time column.
     return (
-        df.groupBy("symbol", "resolution", F.window("ts", "1 millisecond").alias("_w"))
+        df.groupBy(*by, "resolution", F.window("ts", "1 millisecond").alias("_w"))
         .agg(F.max_by(F.struct(*rest), c(arrived)).alias("_b"), F.count(F.lit(1)).alias("n_updates"))
-        .select("symbol", "resolution", F.col("_w.start").alias("ts"), "_b.*", "n_updates")
+        .select(*by, "resolution", F.col("_w.start").alias("ts"), "_b.*", "n_updates")
     )
 
 
 def resample(
-    bars: DataFrame, size: str, slide: str | None = None, late: str = "10 minutes"
+    bars: DataFrame, size: str, slide: str | None = None, late: str = "10 minutes", by=SERIES
 ) -> DataFrame:
     """Coarser bars over tumbling or sliding windows; late rows are dropped by the watermark."""
     df = bars.withWatermark("ts", late) if bars.isStreaming else bars
     span = F.window("ts", size, slide) if slide else F.window("ts", size)
     volume = [F.sum("volume").alias("volume")] if "volume" in bars.columns else []
     return (
-        df.groupBy("symbol", span.alias("_w"))
+        df.groupBy(*by, span.alias("_w"))
         .agg(
             F.min_by("open", "ts").alias("open"),
             F.max("high").alias("high"),
@@ -106,7 +109,7 @@ def resample(
             F.count(F.lit(1)).alias("n_bars"),
         )
         .select(
-            "symbol",
+            *by,
             F.col("_w.start").alias("ts"),
             "open",
             "high",
@@ -118,11 +121,11 @@ def resample(
     )
 
 
-def trading_sessions(bars: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame:
+def trading_sessions(bars: DataFrame, gap: str, late: str = "10 minutes", by=SERIES) -> DataFrame:
     """Runs of bars without a pause of ``gap``."""
     df = bars.withWatermark("ts", late) if bars.isStreaming else bars
     return (
-        df.groupBy("symbol", F.session_window("ts", gap).alias("_s"))
+        df.groupBy(*by, F.session_window("ts", gap).alias("_s"))
         .agg(
             F.count(F.lit(1)).alias("n_bars"),
             F.min("ts").alias("first_ts"),
@@ -130,7 +133,7 @@ def trading_sessions(bars: DataFrame, gap: str, late: str = "10 minutes") -> Dat
             F.max("high").alias("high"),
             F.min("low").alias("low"),
         )
-        .select("symbol", "first_ts", "last_ts", "n_bars", "high", "low")
+        .select(*by, "first_ts", "last_ts", "n_bars", "high", "low")
     )
 
 
@@ -140,11 +143,35 @@ def live_issues(bars: DataFrame) -> DataFrame:
 
 
 def observed(bars: DataFrame, name: str = "bars") -> DataFrame:
-    """Counts of bars and of broken bars per micro-batch, through the query's listener."""
-    broken = (F.col("high") < F.greatest("open", "close")) | (F.col("low") > F.least("open", "close"))
-    return bars.observe(
-        name,
-        F.count(F.lit(1)).alias("n_bars"),
-        F.count_if(broken).alias("n_broken"),
-        F.count_if(F.least("open", "high", "low", "close") <= 0).alias("n_unpriced"),
-    )
+    """Count the rows of every micro-batch and, by code, its findings of ``live_issues``; an ``IssueCounts``
+    listener collects the counts."""
+    found = [F.count_if(F.coalesce(broken, F.lit(False))).alias(code) for code, broken in stateless_conditions(bars).items()]
+    return bars.observe(name, F.count(F.lit(1)).alias("n_bars"), *found)
+
+
+class IssueCounts(StreamingQueryListener):
+    """Counts of ``observed`` streams, batch by batch: what each query reports with its progress."""
+
+    def __init__(self, name: str = "bars"):
+        self.name, self.rows, self.ended = name, [], {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        metrics = progress.observedMetrics.get(self.name)
+        if metrics is not None:
+            self.rows += [(str(progress.runId), progress.batchId, code, int(n)) for code, n in metrics.asDict().items()]
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.setdefault(str(event.runId), threading.Event()).set()
+
+    def wait(self, query, seconds: float = 60) -> None:
+        """Until the listener has heard all of a query that has ended: events reach it later than the query's end."""
+        if not self.ended.setdefault(str(query.runId), threading.Event()).wait(seconds):
+            raise TimeoutError("the query's end has not been reported")
+
+    def table(self, spark) -> DataFrame:
+        """``run, batch, code, n``: a few rows for each micro-batch."""
+        return spark.createDataFrame(self.rows, "run string, batch long, code string, n long")
