@@ -41,6 +41,13 @@ FAST = [
     "r06_live_indicators",
     "r07_sessions",
     "u02_rolling_function",
+    "f28_stl",
+    "f29_mstl",
+    "f34_volatility_regime",
+    "l04_rfecv",
+    "r05_tumbling",
+    "r08_live_counts",
+    "s14_landed_responses",
 ]
 
 

@@ -267,7 +267,132 @@ def test_elimination_query_runs_the_whole_job(spark, sf_dir, monkeypatch):
 
     asked = []
     monkeypatch.setattr(select, "rfecv", lambda df, *args, **kw: asked.append((df, args, kw)) or ([], df))
-    QUERIES["l04_rfecv"](spark, sf_dir)
+    QUERIES["l04_rfecv_scores"](spark, sf_dir)
     df, args, kw = asked[0]
     assert args == ("close",) and not kw and {"symbol", "ts"} <= set(df.columns)
-    assert set(select.features_of(df, "close")) == set(select.features_of(_selection_table(spark, sf_dir), "close"))
+    every = set(select.features_of(_selection_table(spark, sf_dir), "close"))
+    assert set(select.features_of(df, "close")) == every
+    rounds = spark.createDataFrame([], "fold int, n_features int, train_rows long, test_rows long, strongest string")
+    monkeypatch.setattr(select, "rfecv_rounds", lambda df, *args, **kw: asked.append((df, args, kw)) or rounds)
+    QUERIES["l04_rfecv"](spark, sf_dir)
+    df, args, kw = asked[1]
+    assert args == ("close",) and not kw and set(select.features_of(df, "close")) == every | {"signal"}
+
+
+def test_a_lost_run_goes_on_where_it_was(spark, tmp_path, monkeypatch):
+    """The driver dies in the second selection method; the next run reads what had ended and does the rest."""
+    from tidebars.plans import engineer as en
+
+    bars = spark.createDataFrame(pd.concat([walk(260, "A", 1), walk(240, "B", 2)]))
+    told = {"features": ["rate_of_change", "bollinger_bands", "time_of_day"], "trees": 5, "now": None, "folder": str(tmp_path / "run")}
+    with monkeypatch.context() as m:
+        real = en.chosen_by
+
+        def dies(x, method, *args):
+            if method == "trees":
+                raise RuntimeError("driver lost")
+            return real(x, method, *args)
+
+        m.setattr(en, "chosen_by", dies)
+        with pytest.raises(RuntimeError, match="driver lost"):
+            en.engineer(bars, **told)
+    calls = []
+    with monkeypatch.context() as m:
+        m.setattr(en, "generate", lambda *a, **k: pytest.fail("features are there already"))
+        m.setattr(en, "chosen_by", lambda x, method, *args: calls.append(method) or real(x, method, *args))
+        got = en.engineer(bars, **told)
+    assert calls == ["trees", "rfe"]
+    stages = [r["stage"] for r in got["manifest"].orderBy("ended").collect()]
+    assert stages == ["cleaned", "issues", "features", "transformed", "matrix", "chosen-cfs", "chosen-trees", "chosen-rfe", "selected"]
+    whole = en.engineer(bars, **{**told, "folder": str(tmp_path / "whole")})["selected"]
+    assert sorted(map(str, got["selected"].collect())) == sorted(map(str, whole.collect()))
+    # Other bars, or other arguments, are another run.
+    from tidebars.plans.stages import Stages, content
+
+    other = content(bars.where("volume > 200"))
+    assert other != content(bars) and content(bars.repartition(3)) == content(bars)
+    assert not Stages(spark, str(tmp_path / "run"), other).known.get(Stages(spark, str(tmp_path / "run"), other).print)
+
+
+def test_whole_way_with_two_keys(spark, tmp_path):
+    """Two venues with symbols of one name, to the written table."""
+    from tidebars.plans.engineer import engineer
+
+    pdf = pd.concat([walk(120, s, k).assign(venue=v) for k, (v, s) in enumerate([(1, "A"), (1, "B"), (2, "A")])])
+    out = engineer(spark.createDataFrame(pdf), ["rate_of_change", "bollinger_bands"], trees=3, out=str(tmp_path / "t"), by=("venue", "symbol"))
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert (tmp_path / "t" / "venue=2" / "symbol=A").is_dir() and back.count() == out["transformed"].count()
+    assert {(r["venue"], r["symbol"]) for r in back.collect()} == {(1, "A"), (1, "B"), (2, "A")}
+    assert "venue" not in {r["feature"] for r in out["votes"].collect()} and out["selected"].columns[:3] == ["venue", "symbol", "ts"]
+
+
+def test_responses_land_exactly_once(spark, tmp_path):
+    files, out = tmp_path / "in", str(tmp_path / "bronze")
+    files.mkdir()
+    (files / "a.json").write_text('{"instrument":"X","resolution":"HOUR","prices":[{"lastTradedVolume":3},\n{"lastTradedVolume":4}]}')
+    (files / "b.json").write_text('{"errorCode":"error.x"}')
+    first = vj.land_responses(spark, str(files), out)
+    assert {(r["file_path"].rsplit("/", 1)[1], r["n_points"], r["ok"], r["error_code"]) for r in first.collect()} == {("a.json", 2, True, None), ("b.json", 0, False, "error.x")}
+    assert vj.land_responses(spark, str(files), out).count() == 2
+    (files / "c.json").write_text("not json")
+    again = vj.land_responses(spark, str(files), out)
+    assert sorted(r["file_path"].rsplit("/", 1)[1] for r in again.collect()) == ["a.json", "b.json", "c.json"]
+    assert all(r["file_size"] > 0 and r["body"] for r in again.collect())
+
+
+def test_coverage_of_many_ranges(spark):
+    """Overlapping and disjoint ranges of one symbol, against a plain count."""
+    from datetime import datetime, timedelta
+
+    from tidebars.sources.coverage import coverage
+
+    start = datetime(2024, 1, 1)
+    stamps = [start + timedelta(minutes=7 * k) for k in range(300)]
+    ranges = [(f, f + timedelta(minutes=m)) for k in range(60) for f, m in [(start + timedelta(minutes=31 * k), 1 + 17 * k % 400)]] + [(start, start + timedelta(days=2)), (start, start + timedelta(days=1))]
+    got = coverage(
+        spark.createDataFrame([("A", t) for t in stamps] + [("B", start)], "symbol string, ts timestamp"),
+        spark.createDataFrame([("A", a, b) for a, b in ranges], "symbol string, from_ts timestamp, to_ts timestamp"), "MINUTE_5", 12,
+    )
+    want = []
+    for a, b in ranges:
+        for k in range(-(-int((b - a).total_seconds()) // 3600)):
+            lo, hi = a + timedelta(hours=k), min(a + timedelta(hours=k + 1), b)
+            inside = [t for t in stamps if lo <= t < hi]
+            want.append((a, k, lo, hi, len(inside), min(inside, default=None), max(inside, default=None)))
+    rows = [(r["from_ts"], r["chunk"], r["chunk_start"], r["chunk_end"], r["n_points"], r["first_ts"], r["last_ts"]) for r in got.collect()]
+    assert sorted(map(str, rows)) == sorted(map(str, want))
+
+
+def test_a_plain_local_session_has_a_scratch_folder(tmp_path):
+    """Without any settings of its own: Spark forbids naming the checkpoint folder at run time."""
+    import os
+    import subprocess
+    import sys
+
+    said = "from tidebars.session import get_spark, materialize; s = get_spark(master='local[1]'); print('rows', materialize(s.range(3)).count() + materialize(s.range(4)).count())"
+    env = {**os.environ, "SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": os.pathsep.join([os.getcwd(), os.environ.get("PYTHONPATH", "")])}
+    done = subprocess.run([sys.executable, "-c", said], env=env, capture_output=True, text=True, timeout=120, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    assert "rows 7" in done.stdout, done.stderr[-2000:]
+
+
+def test_updates_and_late_bars_on_a_stream(spark, tmp_path):
+    """Two keys; of several updates the one with the largest number counts, in whatever order files bring them, and bars
+    behind the watermark change nothing."""
+    ind.use_rocksdb(spark)
+    pdf = pd.concat([walk(60, "A", k).assign(venue=k, arrived=2) for k in (1, 2)], ignore_index=True)
+    wrong = pdf.assign(close=1.0, high=2.0, low=0.5, arrived=1)
+    cut = pdf["ts"].min() + pd.Timedelta("30h")
+    parts = [pd.concat([pdf[pdf["ts"] < cut], wrong[wrong["ts"] < cut]]), pd.concat([wrong, pdf[pdf["ts"] >= cut], wrong[wrong["ts"] < cut - pd.Timedelta("1D")].assign(arrived=9)])]
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in parts:
+        df = spark.createDataFrame(part.sample(frac=1, random_state=1))
+        df.repartition(3).write.mode("append").parquet(src)
+        stream = ind.live_indicators(spark.readStream.schema(df.schema).parquet(src), "2 hours", by=("venue", "symbol"), arrived="arrived")
+        stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(out).awaitTermination()
+    got = spark.read.parquet(out).toPandas().sort_values(["venue", "ts"], ignore_index=True)
+    batch = generate(spark.createDataFrame(pdf.drop(columns="arrived")), ["macd", "average_true_range", "relative_strength_index", "on_balance_volume"], by=("venue", "symbol"))
+    both = got.merge(batch.toPandas(), on=["venue", "symbol", "ts"], suffixes=("", "_b"))
+    # The last two hours wait for the watermark.
+    assert len(got) == len(both) == 2 * 58
+    for k in ("close", "macd_line", "macd_signal", "atr", "rsi_14", "obv"):
+        np.testing.assert_allclose(both[k].astype(float), both[f"{k}_b"].astype(float), rtol=1e-9, atol=1e-9)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tidebars.functions.columns import c
 
 BINS = 32  # per feature
-BLOCK = 1 << 21  # cells of a histogram pass that are held as numbers at once
+BLOCK = 1 << 17  # cells (rows x features, rows x trees) of a pass: few enough for a processor's cache
 FIT_TASKS = 61  # fits are spread by a hash; more tasks than fits, so that few share one
 DRAWS = 1 << 20
 #: One row per node: its place in the tree (root 1, children 2i and 2i+1), the split (rows with a bin up to ``bin`` go left)
@@ -91,28 +91,32 @@ def binned(rows: DataFrame, how: Binning, extra: list[str] = ()) -> DataFrame:
 # ---- one fit, in numpy over a bounded number of rows --------------------------
 
 
-def histograms(x: np.ndarray, r: np.ndarray, node: np.ndarray, nodes: int, bins: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and sums of ``r`` by (node, feature, bin)."""
-    n, p = x.shape
+def histograms(x: np.ndarray, r: np.ndarray, rows: np.ndarray, node: np.ndarray, nodes: int, bins: int) -> np.ndarray:
+    """Number of ``rows`` and their sum of ``r`` by (node, feature, bin); one buffer serves all passes."""
+    p = x.shape[1]
     size = nodes * p * bins
-    count, total = np.zeros(size), np.zeros(size)
+    out = np.zeros((2, size))
     step = max(1, BLOCK // max(1, p))
+    cell, weight = np.empty((step, p), np.intp), np.empty((step, p))
     offset = np.arange(p, dtype=np.intp) * bins
-    for a in range(0, n, step):
-        cell = x[a : a + step].astype(np.intp)
-        cell += offset
-        cell += (node[a : a + step] * (p * bins))[:, None]
-        cell = cell.ravel()
-        count += np.bincount(cell, minlength=size)
-        total += np.bincount(cell, np.repeat(r[a : a + step].astype("f8"), p), minlength=size)
-    return count.reshape(nodes, p, bins), total.reshape(nodes, p, bins)
+    for a in range(0, len(rows), step):
+        some = rows[a : a + step]
+        k = len(some)
+        np.add(x[some], offset, out=cell[:k])
+        if nodes > 1:
+            cell[:k] += (node[a : a + step] * (p * bins))[:, None]
+        weight[:k] = r[some][:, None]
+        flat = cell[:k].ravel()
+        out[0] += np.bincount(flat, minlength=size)
+        out[1] += np.bincount(flat, weight[:k].ravel(), minlength=size)
+    return out.reshape(2, nodes, p, bins)
 
 
 def grow(x: np.ndarray, r: np.ndarray, how: Boosting, bins: int = BINS) -> tuple[list[tuple], np.ndarray]:
     """One tree on residuals ``r``: its nodes, and what it adds to each row's prediction (whole units)."""
     out, add = [], np.zeros(len(r), "i8")
     rows, at = np.arange(len(r)), np.zeros(len(r), np.intp)  # rows still on the way, and their node within the level
-    ids = np.array([1])
+    ids, above = np.array([1]), None
 
     def leaf(k: int, n: float, g: float) -> int:
         value = int(np.floor(how.rate * g / (n + how.l2) + 0.5))
@@ -125,14 +129,26 @@ def grow(x: np.ndarray, r: np.ndarray, how: Boosting, bins: int = BINS) -> tuple
             values = np.array([leaf(k, n[k], g[k]) for k in range(len(ids))], "i8")
             add[rows] = values[at]
             break
-        count, total = histograms(x[rows], r[rows], at, len(ids), bins)
-        n, g = count[:, 0].sum(1), total[:, 0].sum(1)
-        left_n, left_g = np.cumsum(count, 2)[:, :, :-1], np.cumsum(total, 2)[:, :, :-1]
+        if above is None:
+            sums = histograms(x, r, rows, at, 1, bins)
+        else:
+            # Only the smaller child of each pair is counted; the other is what is left of their parent.
+            small = np.bincount(at, minlength=len(ids)).reshape(-1, 2).argmin(1)
+            mine = small[at >> 1] == (at & 1)
+            counted = histograms(x, r, rows[mine], at[mine] >> 1, len(small), bins)
+            sums = np.empty((2, len(small), 2, *counted.shape[2:]))
+            pair = np.arange(len(small))
+            sums[:, pair, small] = counted
+            sums[:, pair, 1 - small] = above - counted
+            sums = sums.reshape(2, len(ids), *counted.shape[2:])
+        n, g = sums[:, :, 0].sum(2)
+        (left_n, left_g) = np.cumsum(sums, 3)[..., :-1]
         right_n, right_g = n[:, None, None] - left_n, g[:, None, None] - left_g
         gain = left_g * left_g / (left_n + how.l2) + right_g * right_g / (right_n + how.l2) - (g * g / (n + how.l2))[:, None, None]
         gain[(left_n < 1) | (right_n < 1)] = -1.0
-        best = gain.reshape(len(ids), -1).argmax(1)  # the first of equal gains: lowest feature, then lowest bin
-        gains = gain.reshape(len(ids), -1)[np.arange(len(ids)), best]
+        gain = gain.reshape(len(ids), -1)
+        best = gain.argmax(1)  # the first of equal gains: lowest feature, then lowest bin
+        gains = gain[np.arange(len(ids)), best]
         feature, cut = best // (bins - 1), best % (bins - 1)
         split = gains > 0
         values = np.zeros(len(ids), "i8")
@@ -149,7 +165,7 @@ def grow(x: np.ndarray, r: np.ndarray, how: Boosting, bins: int = BINS) -> tuple
         right = x[rows, feature[at]] > cut[at]
         rank = np.cumsum(split) - 1
         ids = np.stack([2 * ids[split], 2 * ids[split] + 1], 1).ravel()
-        at = 2 * rank[at] + right
+        at, above = 2 * rank[at] + right, sums[:, split]
     return out, add
 
 

@@ -989,3 +989,60 @@ ORACLES["u03_exact_quantiles"] = "SELECT event_type AS symbol, " + ", ".join(
     for k, p in (("q1", 0.25), ("q2", 0.5), ("q99", 0.99))
 ) + " FROM events GROUP BY 1"
 
+
+
+def side_by_side(parts: dict[str, list[str]], twins: dict[str, str]) -> str:
+    """One row per bar with the columns of several twins, each cut to those named."""
+    tables = [f"{t} AS MATERIALIZED (SELECT symbol, ts, " + ", ".join(f'"{n}"' for n in cols) + f" FROM ({twins[t]}))" for t, cols in parts.items()]
+    first, *rest = parts
+    return "WITH " + ",\n".join(tables) + f"\nSELECT * FROM {first}" + "".join(f" JOIN {t} USING (symbol, ts)" for t in rest)
+
+
+# All features at once. The twin for holidays is over daily bars; here it is over the hourly ones.
+_spans_of = {"f01_sma": "sma", "f02_ema": "ema"}
+_hourly = ORACLES["f30_holidays"].replace(DAILY, BARS).replace(holidays(), holidays(2020, 2030))
+ORACLES["f47_all_features"] = side_by_side(
+    {
+        "s10_bars_1h": OV,
+        **{t: [f"{n}_{k}" for k in (5, 10, 20, 50, 200)] for t, n in _spans_of.items()},
+        "f03_rate_of_change": [f"roc_{k}" for k in (1, 5, 10, 20, 60)],
+        "f04_atr": ["atr"],
+        "f05_bollinger": ["std", "upper_band", "lower_band", "bb_width"],
+        "f06_support_resistance": ["distance_from_high", "distance_from_low"],
+        "f07_volume_averages": [f"{p}_{n}" for n in (7, 15, 30, 60) for p in ("vma", "relative_volume")],
+        "f08_volume_roc": [f"vroc_{n}" for n in (1, 5, 10, 20)],
+        "f09_obv": ["obv"],
+        "f10_volume_profile": [f"vol_bin_{k}" for k in range(10)],
+        "f11_point_of_control": ["vol_poc", "close_to_poc_pct"],
+        "f12_value_area": ["vol_va_high", "vol_va_low", "vol_va_width", "in_value_area"],
+        "f14_concentration": ["vol_concentration"],
+        "f15_vwap": ["vwap"],
+        "f16_mfi": ["mfi"],
+        "f17_rsi": ["rsi_14"],
+        "f18_macd": ["macd_line", "macd_signal", "macd_histogram"],
+        "f19_adx": ["+di", "-di", "adx"],
+        "f20_stochastic": ["stoch_k", "stoch_d"],
+        "f21_cci": ["cci"],
+        "f23_time_of_day": ["hour_sin", "hour_cos", "session"],
+        "f24_day_of_week": ["day_of_week_sin", "day_of_week_cos"],
+        "f25_time_of_week": ["hour_of_week_sin", "hour_of_week_cos", "is_weekend"],
+        "f26_time_of_month": ["month_progress_sin", "month_progress_cos", "month_period", "month_of_year_sin", "month_of_year_cos"],
+        "f27_seasonal": [f"seasonal_{n}" for n in ("trend", "seasonal", "residual", "norm")],
+        "f28_stl": [f"stl_{n}" for n in ("trend", "seasonal", "residual", "seasonal_strength", "trend_strength")],
+        "f29_mstl": ["mstl_trend", "mstl_seasonal_24", "mstl_seasonal_160", "mstl_residual"],
+        "f30_holidays": ["is_holiday", "days_to_next_holiday"],
+        "f32_volatility": ["returns", "volatility_short", "volatility_long", "volatility_ratio"],
+        "f34_volatility_regime": ["volatility_regime", "vol_regime_low", "vol_regime_medium", "vol_regime_high"],
+        "f36_volatility_change": ["volatility_zscore", "volatility_change"],
+        "f37_adx_regime": ["adx_trend_regime", "adx_regime_trending", "adx_regime_ranging"],
+        "f38_sma_distance": [f"dist_from_sma_{n}" for n in (20, 50, 200)] + [f"sma_{n}_slope" for n in (20, 50, 200)],
+        "f39_ma_cross": ["ma_cross_50_200"],
+        "f40_regression": ["regression_slope", "r_squared", "norm_regression_slope"],
+        "f41_trend_strength": ["trend_strength", "trend_regime", "trend_regime_ranging", "trend_regime_weak_trend", "trend_regime_strong_trend"],
+        "f42_market_state": ["vol_regime_num", "trend_regime_num", "market_state", "market_state_desc", *[f"state_{d}" for d in _states]],
+        "f43_state_duration": ["state_duration"],
+        "f44_log_return": ["log_return"],
+        "f45_cycles": ["periods", "n_cycles", "sin_sum", "cos_sum"],
+    },
+    ORACLES | {"f30_holidays": _hourly},
+)

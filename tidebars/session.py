@@ -30,6 +30,7 @@ def get_spark(app: str = "tidebars", master: str | None = None, **conf: str) ->
 
 
 _SCOPES: list[str] = []
+_OWN: dict[str, str] = {}
 
 
 @contextmanager
@@ -61,10 +62,12 @@ def scratch_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="tidebars-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+    # Spark refuses this setting at run time, so the folder is kept here, one for each context.
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="tidebars-")
+        spark.sparkContext.setCheckpointDir(_OWN[app])
+    return _OWN[app]
 
 
 def materialize(df: DataFrame) -> DataFrame:
