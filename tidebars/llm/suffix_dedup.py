@@ -45,6 +45,7 @@ from tidebars.session import materialize
 LENGTH = 50
 ANCHOR = 16
 HOT = 2000  # places of one anchor
+PART = 4 << 20  # bytes of text in a part; there are as many groups, so a task holds as much in a table of any size
 SHARD = 1 << 18  # characters sorted at once
 HELD = 64 << 20  # bytes of different texts that a task folds at once
 FLUSH = 4 << 20  # anchors that a task folds at once
@@ -406,7 +407,7 @@ def marks(cut: DataFrame) -> DataFrame:
         if rest:
             h, alike = _alike(rest)
             # Segments of different anchors share nothing either, so a few shards at a time will do.
-            turns = 1 + sum(len(b) for b, yes in zip(rest, alike.tolist(), strict=True) if yes) // (4 * SHARD)
+            turns = 1 + sum(len(b) for b, yes in zip(rest, alike.tolist(), strict=True) if yes) // (2 * SHARD)
             turn = np.where(alike, ((h >> np.uint64(40)) % np.uint64(turns)).astype("i8"), -1)
             for t in range(turns):
                 some = [rest[k] for k in np.flatnonzero(turn == t)]
@@ -462,10 +463,12 @@ def removed(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
     The texts are shuffled once: the three steps that need them read the same exchange.
     """
-    parts = parts or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     data = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    if not parts:
+        size = data.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        parts = max(4, size // PART)
     once = unique_texts(data, parts)
-    groups = max(1, parts // 4)
+    groups = parts
     found = marks(segments(once, repeated_anchors(once, groups), groups))
     result = materialize(cut_out(once, found))
     # Copies of one text are one key: the adaptive join splits their side.
