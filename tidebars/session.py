@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -70,6 +71,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def tidy(spark: SparkSession) -> None:
+    """Have the driver forget the plans of steps that are over.
+
+    Spark removes shuffle files and broadcasts when the driver's objects for them are collected, and a driver with
+    memory to spare collects rarely; after a step with many exchanges this frees the disk they took and the plans themselves.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
