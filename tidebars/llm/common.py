@@ -73,3 +73,19 @@ def byte_slices(batches: Iterator[pa.RecordBatch], most: int, name: str = "text"
             end = max(at + 1, int(np.searchsorted(ends, past + most, "right")))
             yield batch.slice(at, end - at)
             at, past = end, int(ends[end - 1])
+
+
+def row_id(doc_id: Column, text: Column) -> Column:
+    """The id, or for a NULL id a number from 2**62 on that follows from the text."""
+    return F.coalesce(doc_id.cast("long"), F.xxhash64(text).bitwiseAND(F.lit(2**62 - 1)) + F.lit(2**62))
+
+
+def one_of_each(docs: DataFrame, keys: dict[str, Column], stay: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that occur in ``stay`` by the keys it has, with all columns; of rows that agree in all keys one.
+
+    The join deals the rows by keys, so picking one of them needs no further shuffle.
+    """
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_whole"), *[k.alias(n) for n, k in keys.items()])
+    kept = whole.join(stay, stay.columns, "left_semi")
+    one = kept.groupBy(*keys).agg(F.min_by("_whole", F.xxhash64("_whole.text")).alias("_whole"))
+    return one.select(*[F.col("_whole").getField(c).alias(c) for c in docs.columns])

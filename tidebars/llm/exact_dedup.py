@@ -10,8 +10,8 @@ row for each task and ``HELD`` bytes. The owner of a bucket reads its rows in ke
 texts of equal key, comparing bytes; it holds only the different texts of one key.
 
 Defined results: NULL counts as empty, and empty texts are copies of each other; a row with a NULL id
-stays only if no copy has an id; rows that repeat an id and text get the same verdict; an empty table
-gives an empty table.
+stays only if no copy has an id; rows that repeat an id and text get the same verdict, and
+``deduplicated`` keeps one of them; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebars.llm.common import SPACE, slices
+from tidebars.llm.common import SPACE, one_of_each, slices
 from tidebars.session import materialize, scratch_dir
 
 CAPACITY = 1024  # keys in a bucket
 MOST_BITS = 20  # of the directory; beyond, buckets only grow
+LAST = 2**63 - 1  # stands for a NULL id
 HELD = 64 << 20  # bytes of different texts that a task folds at once
 
 
@@ -171,6 +172,7 @@ def groups(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns."""
-    stay = groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]) & (F.sha2(normalised(), 256) == stay["_sha"]), "left_semi")
+    """One row of each group of equal texts, with all its columns: that of the smallest id; of rows that repeat an id and text, one."""
+    sha = F.unhex(F.sha2(normalised(), 256))
+    stay = groups(docs).where("kept").select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.unhex("text_sha256").alias("_sha")).distinct()
+    return one_of_each(docs, {"_id": F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)), "_sha": sha}, stay)

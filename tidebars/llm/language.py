@@ -149,8 +149,14 @@ def fit(docs: DataFrame, per_language: int = 1000, most: int = 12_000) -> Hierar
     rows = sample.select("lang", "text").mapInArrow(run, "lang string, x binary").collect()
     if not rows:
         return Hierarchy()
-    rows.sort()
-    return Hierarchy.fitted(np.stack([np.frombuffer(r["x"], "f2") for r in rows]).astype("f4"), [r["lang"] for r in rows])
+    rows.sort(reverse=True)
+    # Row by row into one array, each row freed at once: the sample is not held twice.
+    x, labels = np.empty((len(rows), len(rows[0]["x"]) // 2), "f4"), []
+    for k in range(len(x)):
+        row = rows.pop()
+        x[k] = np.frombuffer(row["x"], "f2")
+        labels.append(row["lang"])
+    return Hierarchy.fitted(x, labels)
 
 
 def judge(model: Hierarchy, docs: list[bytes]) -> tuple[list[str], np.ndarray]:

@@ -16,7 +16,8 @@ large group of copies costs a number of rows in proportion to its members, and n
 signatures show between two components is left out.
 
 Defined results: NULL and empty texts have an empty set and are linked with nothing; a row with a NULL
-id has no component and is kept; repeated rows fall in one class; an empty table gives an empty table.
+id has no component and is kept (``thinned`` gives it a number first, so that it takes part); repeated
+rows fall in one class, and ``thinned`` keeps one of them; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebars.llm.common import slices, texts
-from tidebars.session import materialize
+from tidebars.llm.common import one_of_each, row_id, slices, texts
+from tidebars.session import materialize, tidy
 
 COORDINATES = 32
 FINE = 512  # coordinates of one byte that are compared before full sets are
@@ -253,11 +254,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     signed = stars.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
     agreeing = signed.where(F.expr(f"aggregate(zip_with(x, y, (p, q) -> if(p = q, 1, 0)), 0, (s, n) -> s + n) >= {matches}"))
     links = materialize(linked(agreeing.select("a", "b"), sets, percent))
+    tidy(docs.sparkSession)
     tokens = lists.groupBy("id").agg(F.sort_array(F.collect_list("token")).alias("prefix"))  # at most COORDINATES each
     known = materialize(sets.select("id", "n", "fine").join(tokens, "id"))
     # Then what the stars leave apart: a few pairs of each two components, at last all of them.
     for turn in range(ROUNDS):
         comps = components(links)
+        tidy(docs.sparkSession)
         members = lists.join(comps, "id", "left").select("token", "id", F.coalesce("component", "id").alias("comp"))
         parts = members.groupBy("token").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("token")
         members = members.join(parts, "token").join(known, "id")
@@ -278,6 +281,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def thinned(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of near-duplicates, with all columns."""
-    stay = near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
+    """One document of each group of near-duplicates, with all columns: that of the smallest id. Rows with a NULL id take part
+    behind all others; of rows that repeat an id and text one stays."""
+    text = F.coalesce(docs["text"], F.lit(""))
+    named = docs.select(row_id(docs["doc_id"], text).alias("doc_id"), docs["text"].alias("text"))
+    stay = near_duplicates(named, width, percent).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    keys = {"_id": row_id(docs["doc_id"], text), "_text": F.xxhash64(F.lit(1), text)}
+    return one_of_each(docs, keys, stay)
