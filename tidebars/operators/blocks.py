@@ -152,52 +152,56 @@ def running(
     own and reduced to one summary row; only the summaries are combined in order.
     ``df`` is read twice, so pass a table or a cheap plan.
     """
-    by = list(by)
     if "_blk" not in df.columns:
         # With blocks of its own, a table from the window stage needs no second shuffle.
         df = df.withColumn("_blk", home_block(block_rows(0, 0, rows)))
+    return carried(df.withColumns(running_within(specs, by)), df, specs, by)
+
+
+def running_within(specs: dict[str, tuple[str, str]], by: Sequence[str] = SERIES, own: Column | None = None) -> dict[str, Column]:
+    """The running values of ``running`` within each block (``_l_…``), over its ``own`` rows if it holds others."""
     start = Window.unboundedPreceding
     inner = Window.partitionBy(*by, "_blk").orderBy("_i")
     upto, before = inner.rowsBetween(start, 0), inner.rowsBetween(start, -1)
-    outer = Window.partitionBy(*by).orderBy("_blk")
-    earlier = outer.rowsBetween(start, -1)
     # Looking ahead is looking back in reverse order: a frame that ends at the last row
     # is built anew for every row, one that starts at the first row only grows.
     onward = Window.partitionBy(*by, "_blk").orderBy(F.desc("_i")).rowsBetween(start, 0)
-    later = Window.partitionBy(*by).orderBy(F.desc("_blk")).rowsBetween(start, -1)
+    frames = {"sum": upto, "max": upto, "last": upto, "prior": before, "next": onward}
+    out = {}
+    for name, (kind, col) in specs.items():
+        if kind not in frames:
+            raise ValueError(f"unknown running kind {kind!r}")
+        x = c(col) if own is None else F.when(own, c(col))
+        value = {"sum": F.sum, "max": F.max}.get(kind, lambda v: F.last(v, ignorenulls=True))(x)
+        out[f"_l_{name}"] = value.over(frames[kind])
+    return out
+
 
-    summary, carry, local, final = [], [], {}, {}
+def carried(local: DataFrame, df: DataFrame, specs: dict[str, tuple[str, str]], by: Sequence[str] = SERIES) -> DataFrame:
+    """Running values over whole series from those within blocks (``local``, as ``running_within`` makes them) and the
+    blocks' summaries, one row each, from the rows of ``df``. The blocks' numbers go, with what is left of ``_l_…``."""
+    by = list(by)
+    start = Window.unboundedPreceding
+    earlier = Window.partitionBy(*by).orderBy("_blk").rowsBetween(start, -1)
+    later = Window.partitionBy(*by).orderBy(F.desc("_blk")).rowsBetween(start, -1)
+    summary, carry, final = [], [], {}
     for out, (kind, col) in specs.items():
         x, s, k, v = c(col), f"_s_{out}", f"_c_{out}", f"_l_{out}"
         known = F.when(x.isNotNull(), F.col("_i"))
         if kind == "sum":
             summary.append(F.sum(x).alias(s))
             carry.append(F.sum(c(s)).over(earlier).alias(k))
-            local[v] = F.sum(x).over(upto)
             final[out] = F.coalesce(c(v) + c(k), c(v), c(k))
         elif kind == "max":
             summary.append(F.max(x).alias(s))
             carry.append(F.max(c(s)).over(earlier).alias(k))
-            local[v] = F.max(x).over(upto)
             final[out] = F.greatest(c(v), c(k))
-        elif kind == "last":
-            summary.append(F.max_by(x, known).alias(s))
-            carry.append(F.last(c(s), ignorenulls=True).over(earlier).alias(k))
-            local[v] = F.last(x, ignorenulls=True).over(upto)
-            final[out] = F.coalesce(c(v), c(k))
-        elif kind == "prior":
-            summary.append(F.max_by(x, known).alias(s))
-            carry.append(F.last(c(s), ignorenulls=True).over(earlier).alias(k))
-            local[v] = F.last(x, ignorenulls=True).over(before)
-            final[out] = F.coalesce(c(v), c(k))
-        elif kind == "next":
-            summary.append(F.min_by(x, known).alias(s))
-            carry.append(F.last(c(s), ignorenulls=True).over(later).alias(k))
-            local[v] = F.last(x, ignorenulls=True).over(onward)
-            final[out] = F.coalesce(c(v), c(k))
         else:
-            raise ValueError(f"unknown running kind {kind!r}")
-    keep = [n for n in df.columns if n != "_blk" and n not in specs]
-    carried = df.groupBy(*by, "_blk").agg(*summary).select(*by, "_blk", *carry)
-    out = join_small(df.withColumns(local), carried, [*by, "_blk"])
+            ahead = kind == "next"
+            summary.append((F.min_by if ahead else F.max_by)(x, known).alias(s))
+            carry.append(F.last(c(s), ignorenulls=True).over(later if ahead else earlier).alias(k))
+            final[out] = F.coalesce(c(v), c(k))
+    keep = [n for n in local.columns if n != "_blk" and n not in specs and n.removeprefix("_l_") not in specs]
+    borders = df.groupBy(*by, "_blk").agg(*summary).select(*by, "_blk", *carry)
+    out = join_small(local, borders, [*by, "_blk"])
     return out.select(*[c(n) for n in keep], *[x.alias(n) for n, x in final.items()])

@@ -135,9 +135,9 @@ def tree_nodes(
     cols = features_of(df, target)
     rows = boosted.numbers(df, cols, target)
     how = boosted.binning(rows, cols)
-    table = materialize(boosted.binned(rows, how))
+    table = materialize(boosted.binned(rows, how, seed=seed))
     share = min(0.8, fit_rows / max(1, table.count()))
-    chosen = table.where(F.pmod(F.xxhash64("draw", F.lit(seed)), F.lit(boosted.DRAWS)) < int(share * boosted.DRAWS)).withColumn("fit", F.lit(0))
+    chosen = table.where(F.col("draw") < int(share * boosted.DRAWS)).withColumn("fit", F.lit(0))
     boosting = boosted.Boosting(trees, depth, rate)
     nodes = boosted.fit_each(chosen, "fit", lambda _, x, y: boosted.fit(x, y, boosting), boosted.NODES)
     nodes = materialize(nodes)

@@ -147,6 +147,25 @@ def minmax_layer(fr: Frames, cols: list[str], n: int = 20) -> dict[str, Column]:
     return out
 
 
+def back_filled(df: DataFrame, names: dict[str, str], by=SERIES, rows: int | None = None) -> DataFrame:
+    """``{new: column}``: the column with the next known value in place of NULLs. ``df`` is a positioned table.
+
+    Most columns lack values at the head of a series only; those take the first known one, from one row of statistics per
+    series. Columns with holes further on, which that row shows too, need running values.
+    """
+    at = {n: F.when(c(x).isNotNull(), F.col("_i")) for n, x in names.items()}
+    stats = [f for n, x in names.items() for f in (F.min(at[n]).alias(f"_p{n}"), F.min_by(c(x), at[n]).alias(f"_v{n}"), F.count_if(c(x).isNull()).alias(f"_m{n}"))]
+    heads = materialize(df.groupBy(*by).agg(*stats))
+    holes = heads.agg(*[F.max(c(f"_m{n}") - c(f"_p{n}")).alias(n) for n in names]).first()
+    open_ = [n for n in names if (holes[n] or 0) > 0]
+    if open_:
+        df = running(df, {n: ("next", names[n]) for n in open_}, by, rows)
+    plain = [n for n in names if n not in open_]
+    out = join_small(df, heads.select(*by, *[c(f"{k}{n}") for n in plain for k in ("_p", "_v")]), list(by))
+    filled = {n: F.when(F.col("_i") < c(f"_p{n}"), c(f"_v{n}")).otherwise(c(names[n])) for n in plain}
+    return out.select(*[c(n) for n in df.columns], *[x.alias(n) for n, x in filled.items()])
+
+
 def rolling_scale(
     df: DataFrame,
     z: list[str] = (),
@@ -172,8 +191,7 @@ def rolling_scale(
     out = with_halo(df, n, 0, size).withColumns({**z_layer(fr, z, n), **minmax_layer(fr, minmax, n)})
     out = own_rows(out, n, 0, size)
     if backfill:
-        out = materialize(out)
-        out = running(out, {f"_b_{x}": ("next", f"_z_{x}") for x in cols}, by, rows)
+        out = back_filled(materialize(out), {f"_b_{x}": f"_z_{x}" for x in cols}, by, rows)
         scaled = {x: c(f"_b_{x}") for x in cols}
     else:
         scaled = {x: c(f"_z_{x}") for x in cols}

@@ -25,7 +25,7 @@ from tidebars.functions.columns import c
 BINS = 32  # per feature
 BLOCK = 1 << 17  # cells (rows x features, rows x trees) of a pass: few enough for a processor's cache
 FIT_TASKS = 61  # fits are spread by a hash; more tasks than fits, so that few share one
-DRAWS = 1 << 20
+DRAWS = 1 << 20  # five hex digits
 #: One row per node: its place in the tree (root 1, children 2i and 2i+1), the split (rows with a bin up to ``bin`` go left)
 #: with its gain, or a leaf's value in units of the target. ``feature`` is NULL in leaves.
 NODES = "tree int, node int, feature int, bin int, gain double, n long, value double"
@@ -72,8 +72,8 @@ def binning(rows: DataFrame, cols: list[str], bins: int = BINS) -> Binning:
     return Binning(list(cols), [np.unique(np.array(found[f"x{k}"] or [], "f8")) for k in range(len(cols))], unit)
 
 
-def binned(rows: DataFrame, how: Binning, extra: list[str] = ()) -> DataFrame:
-    """``extra``, ``x`` (one byte a feature), ``y`` (the target in whole units) and ``draw`` (a hash of the row below DRAWS)."""
+def binned(rows: DataFrame, how: Binning, extra: list[str] = (), seed: int = 42) -> DataFrame:
+    """``extra``, ``x`` (one byte a feature), ``y`` (the target in whole units) and ``draw`` (20 bits of a hash of both)."""
     schema = rows.select(*extra).schema
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     p = len(how.cols)
@@ -85,7 +85,8 @@ def binned(rows: DataFrame, how: Binning, extra: list[str] = ()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in extra], pa.array([r.tobytes() for r in x], pa.binary()), pa.array(y)], names=[*extra, "x", "y"])
 
     out = rows.mapInArrow(run, f"{fields}{', ' if fields else ''}x binary, y long")
-    return out.withColumn("draw", F.pmod(F.xxhash64("x", "y"), F.lit(DRAWS)))
+    told = F.concat_ws(":", F.lit(str(seed)), F.hex("x"), F.col("y").cast("string"))
+    return out.withColumn("draw", F.conv(F.substring(F.md5(told), 1, 5), 16, 10).cast("long"))
 
 
 # ---- one fit, in numpy over a bounded number of rows --------------------------

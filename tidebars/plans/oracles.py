@@ -871,6 +871,54 @@ ORACLES["l04_time_folds"] = sql(
     "SELECT symbol, ts, CAST(CASE WHEN j < nn - 5 * sz THEN 0 ELSE (j - (nn - 5 * sz)) // sz + 1 END AS INTEGER) AS fold FROM "
     "(SELECT symbol, ts, row_number() OVER (ORDER BY ts, symbol) - 1 AS j, count(*) OVER () AS nn, count(*) OVER () // 6 AS sz FROM b)",
 )
+
+
+def boosted_importance(cols: list[str], trees: int = 100, depth: int = 6, rate: float = 0.3, bins: int = 32) -> str:
+    """CTEs from ``ys`` to ``gains`` (f, gain): boosted trees grown level by level. One step of the recursion is one level of one tree;
+    its rows are all training rows with their node, residual and (once in a leaf) what the leaf adds, and the splits made."""
+    at = ", ".join(f"{k / bins}" for k in range(1, bins))
+    value = f"floor({rate}::DOUBLE * g / (n + 1.0::DOUBLE) + 0.5::DOUBLE)"
+    return f""",
+xs AS MATERIALIZED (SELECT row_number() OVER (ORDER BY symbol, i) AS row, round(CAST(close AS DOUBLE), 6) + 0.0 AS y0, {", ".join(f"coalesce(round(CAST({n} AS DOUBLE), 6) + 0.0, 0) AS x{k}" for k, n in enumerate(cols))} FROM ys),
+un AS MATERIALIZED (SELECT pow(2.0::DOUBLE, ceil(log2(max(abs(y0)) + 1.0)) - 30) AS unit FROM xs),
+cu AS MATERIALIZED ({" UNION ALL ".join(f"SELECT {k} AS f, list_sort(list_distinct(quantile_disc(x{k}, [{at}]))) AS cuts FROM xs" for k in range(len(cols)))}),
+lo AS MATERIALIZED ({" UNION ALL ".join(f"SELECT row, {k} AS f, x{k} AS x FROM xs" for k in range(len(cols)))}),
+bi AS MATERIALIZED (SELECT row, f, len(list_filter(cuts, lambda t: t < x)) AS b FROM lo JOIN cu USING (f)),
+dr AS MATERIALIZED (SELECT row, y, ('0x' || substr(md5('42:' || h || ':' || CAST(y AS BIGINT)), 1, 5))::BIGINT AS draw FROM
+  (SELECT row, round_even(y0 / unit, 0) AS y FROM xs, un) JOIN (SELECT row, string_agg(printf('%02X', b), '' ORDER BY f) AS h FROM bi GROUP BY row) USING (row)),
+fi AS MATERIALIZED (SELECT row, y - (SELECT floor(avg_y + 0.5) FROM (SELECT sum(y) / count(*) AS avg_y FROM dr WHERE draw < 838860)) AS r FROM dr WHERE draw < 838860),
+fb AS MATERIALIZED (SELECT bi.* FROM bi JOIN fi USING (row)),
+gr AS (
+  SELECT 0 AS step, row, 1 AS node, r, NULL::DOUBLE AS add_, NULL::INT AS f, NULL::DOUBLE AS gain FROM fi
+  UNION ALL
+  (WITH
+    st AS (SELECT * FROM gr WHERE row IS NOT NULL),
+    nd AS (SELECT node, CAST(count(*) AS DOUBLE) AS n, sum(r) AS g FROM st WHERE add_ IS NULL GROUP BY node),
+    hi AS (SELECT node, fb.f, b, count(*) AS c, sum(r) AS s FROM st JOIN fb USING (row) WHERE add_ IS NULL AND step % {depth + 1} < {depth} GROUP BY node, fb.f, b),
+    cm AS (SELECT node, f, b, CAST(sum(c) OVER w AS DOUBLE) AS ln, sum(s) OVER w AS lg FROM hi WINDOW w AS (PARTITION BY node, f ORDER BY b)),
+    ga AS (SELECT node, f, b, lg * lg / (ln + 1.0::DOUBLE) + (g - lg) * (g - lg) / (n - ln + 1.0::DOUBLE) - g * g / (n + 1.0::DOUBLE) AS gain FROM cm JOIN nd USING (node) WHERE ln < n),
+    be AS (SELECT * FROM ga WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, b) = 1),
+    mv AS (SELECT st.step, st.row, st.r, be.f AS f, CASE WHEN be.f IS NOT NULL AND st.add_ IS NULL THEN 2 * st.node + CASE WHEN fb.b > be.b THEN 1 ELSE 0 END ELSE st.node END AS node,
+        CASE WHEN st.add_ IS NOT NULL THEN st.add_ WHEN be.f IS NULL THEN {value} END AS add_
+      FROM st LEFT JOIN nd ON nd.node = st.node AND st.add_ IS NULL LEFT JOIN be ON be.node = st.node AND st.add_ IS NULL LEFT JOIN fb ON fb.row = st.row AND fb.f = be.f)
+  SELECT step + 1, row, CASE WHEN step % {depth + 1} = {depth} THEN 1 ELSE node END, CASE WHEN step % {depth + 1} = {depth} THEN r - add_ ELSE r END,
+    CASE WHEN step % {depth + 1} = {depth} THEN NULL ELSE add_ END, NULL::INT, NULL::DOUBLE FROM mv WHERE step + 1 < {trees * (depth + 1)}
+  UNION ALL SELECT (SELECT min(step) FROM st) + 1, NULL, node, NULL, NULL, f, gain FROM be)
+),
+gains AS (SELECT f, sum(gain) AS gain FROM gr WHERE gain IS NOT NULL GROUP BY f)"""
+
+
+# The columns in the order of the table, as of equal splits the first column's is taken.
+_order = [
+    "open", "high", "low", "volume", "roc_1", "roc_5", "roc_10", "roc_20", "roc_60", "std", "sma_20", "distance_from_high", "distance_from_low",
+    *[f"vma_{k}" for k in (7, 15, 30, 60)], "upper_band", "lower_band", "bb_width", *[f"relative_volume_{k}" for k in (7, 15, 30, 60)], "mfi",
+]
+ORACLES["l03_tree_importance"] = (
+    "WITH RECURSIVE " + SELECTION + boosted_importance(_order)
+    + f"""
+SELECT feature, round(coalesce(gain / (SELECT sum(gain) FROM gains), 0), 6) + 0.0 AS importance
+FROM (SELECT unnest({_order}) AS feature, unnest(range({len(_order)})) AS f) LEFT JOIN gains USING (f)"""
+)
 # Folds of 0 to 5 by time; fold 6 trains on all. Rounds drop two features, from 26 with the planted one, until five are left.
 ORACLES["l04_rfecv"] = sql(
     BARS,

@@ -773,7 +773,8 @@ def _(spark, sf):
 
 @query("l03_tree_importance")
 def _(spark, sf):
-    return sel.tree_importance(_selection_table(spark, sf), "close")
+    """Features are rounded first, so that equal ones are equal in every engine; their sums are whole numbers."""
+    return emit(sel.tree_importance(emit(_selection_table(spark, sf)), "close"))
 
 
 @query("l04_rfecv")
@@ -878,14 +879,14 @@ def _in_turn(parts: list[DataFrame], stream: Callable[[DataFrame], DataFrame]) -
 
 
 def _closing(spark, sf, stream: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """A stream over the events in two time ranges, and a marker far ahead in a third, so that the watermark
-    passes every event and all windows close. The marker's own window stays open."""
+    """A stream over the events in two time ranges. The second brings a marker far ahead: the watermark moves when its rows have
+    been taken, then passes every event, and all windows close. The marker's own window stays open."""
     events = table(spark, sf, "events")
     first, last = events.agg(F.min("ts"), F.max("ts")).first()
     middle = first + (last - first) / 2
     marker = spark.createDataFrame([(-1, last + timedelta(days=365), MARKER)], "event_id long, ts timestamp_ntz, event_type string")
     marker = marker.select(*[c(f.name) if f.name in marker.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema])
-    ranges = [events.where(F.col("ts") < F.lit(middle)), events.where(F.col("ts") >= F.lit(middle)), marker]
+    ranges = [events.where(F.col("ts") < F.lit(middle)), events.where(F.col("ts") >= F.lit(middle)).unionByName(marker)]
     return _in_turn(ranges, lambda raw: stream(_ticks(raw)))
 
 
@@ -1004,7 +1005,8 @@ def _(spark, sf):
             part = part.unionByName(wrong(late.where(F.hour("ts") == 5)).withColumn("arrived", F.lit(3)))
         parts.append(part)
     marker = bars.where(F.col("ts") == F.lit(last)).limit(1).withColumns({"ts": F.lit(last + timedelta(days=365)), "symbol": F.lit(MARKER)})
-    out = _in_turn([*parts, marker], lambda b: ind.live_indicators(b, "1 hour", arrived="arrived"))
+    parts[-1] = parts[-1].unionByName(marker)
+    out = _in_turn(parts, lambda b: ind.live_indicators(b, "1 hour", arrived="arrived"))
     return emit(out, "symbol", "ts", "ema_12", "macd_line", "macd_signal", "atr", "rsi_14", "obv", "run_length")
 
 

@@ -18,8 +18,10 @@ from tidebars.operators.blocks import (
     SERIES,
     Frames,
     block_rows,
+    carried,
+    home_block,
     own_rows,
-    running,
+    running_within,
     with_halo,
     with_position,
 )
@@ -182,7 +184,8 @@ def generate(
 
     ``names`` may map a feature to its parameters, as ``{"volatility_regimes": {"n_regimes": 2}}``.
     Order: row features; block kernels, written once; features that join per-series statistics,
-    written once; every bounded window in one shuffle, written before running values read it twice.
+    written once; every bounded window and the running values within blocks in one shuffle, written before the
+    blocks' summaries are read.
     With ``strict=False`` a feature that cannot be planned is logged and left out, and a kernel that
     fails on a block gives NULLs there.
     """
@@ -223,13 +226,18 @@ def generate(
         size = block_rows(back, ahead, rows)
         df = with_halo(df, back, ahead, size)
         df = add_layers(df, windows, Frames(tuple(by), size), strict)
+        # Running values start in the same pass over the blocks; what is carried over their borders comes after.
+        carry = {col: (kind, col) for f in windows for col, kind in f.carry if col in df.columns}
+        if carry:
+            df = df.withColumns(running_within(carry, by, F.col("_blk") == home_block(size)))
         df = own_rows(df, back, ahead, size, keep_block=True)
+    else:
+        carry = {}
 
-    carry = {col: kind for f in windows for col, kind in f.carry if col in df.columns}
     if carry:
-        order = df.columns
+        order = [n for n in df.columns if not n.startswith("_l_")]
         df = materialize(df)
-        df = running(df, {n: (kind, n) for n, kind in carry.items()}, by, rows)
+        df = carried(df, df, carry, by)
         if "state_duration" in carry:
             df = df.withColumn("state_duration", F.col("_i") - F.col("state_duration") + 1)
         df = df.select(*[F.col(f"`{n}`") for n in order if n != "_blk"])
