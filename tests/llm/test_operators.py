@@ -256,6 +256,71 @@ def test_toxicity(spark, odd, nothing):
     assert toxicity.classify(nothing, labels).count() == 0
 
 
+def test_verdicts_of_quality_by_hand(spark, sf_dir, docs):
+    """Votes from plain counts, accuracies fitted on them, and the posterior of every text."""
+    votes = {}
+    for i, t in docs.items():
+        words = re.findall(WORD, t)
+        n, chars, symbols, dup, repeat, _ = brute_quality(t)
+        lines = sum(bool(re.search(WORD, x)) for x in t.split("\n"))
+        value = {
+            "symbols": symbols / max(1, chars), "capitals": sum("A" <= c <= "Z" for c in t) / max(1, chars), "word_length": chars / max(1, n),
+            "bare_words": sum(not any(c.isalpha() for c in w) for w in words) / max(1, n), "repeated_lines": dup / max(1, lines),
+            "repeated_words": repeat / max(1, n), "exclamations": t.count("!") / max(1, n),
+        }
+        votes[i] = tuple(0 if not n else 1 if good[0] <= value[k] <= good[1] else -1 if not bad[0] <= value[k] <= bad[1] else 0 for k, (good, bad) in quality.RULES.items())
+    patterns = collections.Counter(votes[i] for i, t in docs.items() if re.search(WORD, t))
+    prior, rates = quality.fit(sorted(patterns.items()), len(quality.RULES))
+    for i, r in by_id(quality.judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))).items():
+        z = prior / (1 - prior)
+        for v, (a, b) in zip(votes[i], rates, strict=True):
+            z *= a / (1 - b) if v == 1 else (1 - a) / b if v == -1 else 1
+        assert r.p_good == pytest.approx(z / (1 + z), rel=1e-6, abs=1e-12)
+        assert r.kept == (not brute_quality(docs[i])[5] and z >= 1)
+
+
+def test_language_by_hand(spark, sf_dir, docs):
+    """Every prediction from the fitted weights, trigram by trigram."""
+    source = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language.fit(source)
+    got = by_id(language.predict(source, model))
+    for i, t in list(docs.items()):
+        if not re.search(r"[^\W\d_]", t):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        data = [32, 32, *(b if b >= 128 else b | 32 if chr(b).isalpha() else 32 for b in t.encode()), 32, 32]
+        counts = collections.Counter()
+        for a, b, c in zip(data[1:], data[2:], data[3:], strict=False):
+            if b != 32:
+                code = (a * 2654435761 ^ b * 2246822519 ^ c * 3266489917) % 2**32
+                counts[code >> 9 & language.DIMS - 1] += 1
+        total = sum(counts.values())
+        dot = lambda w: sum((n / total) ** 0.5 * float(w[k]) for k, n in counts.items()) + float(w[-1])  # noqa: B023, E731
+        family = [dot(w) for w in model.family_w]
+        best = max(range(len(family)), key=lambda f: family[f])  # noqa: B023
+        wins, least = collections.Counter(), collections.defaultdict(lambda: 4.0)
+        for (a, b), w in zip(model.pairs, model.pair_w, strict=True):
+            m = dot(w)
+            wins[a if m >= 0 else b] += 1
+            least[a], least[b] = min(least[a], m), min(least[b], -m)
+        pick = max(model.families[best], key=lambda k: wins[k] + 1 / (1 + np.exp(-least[k])) / 2)  # noqa: B023
+        score = 1 / (1 + np.exp(-2 * family[best])) / (1 + np.exp(-2 * least[pick]))
+        assert got[i].lang_pred == model.languages[pick] and got[i].score == pytest.approx(score, abs=1e-4)
+
+
+def test_toxicity_by_hand(spark, docs):
+    """Every score from the fitted weights, word by word."""
+    source = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = toxicity.fit(source, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    assert np.count_nonzero(model.weight)
+    rows = toxicity.score(source, model).join(source.select("doc_id", "text"), "doc_id").collect()
+    for r in rows:
+        found = set(re.findall(rb"[a-z\x80-\xff]+", (r.text or "").encode().lower()))
+        found |= {w[:4] + b"-" for w in found if len(w) > 4}
+        z = model.bias + sum(float(model.weight[k]) for k in {zlib.crc32(w) % toxicity.DIMS for w in found})
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-6, abs=1e-12)
+
+
 # -- personal data
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -309,6 +374,37 @@ def test_long_keys_and_secrets(spark):
     assert not any(rows[k].spans for k in range(20, 100))
 
 
+def test_long_numbers_and_spelled_addresses(spark):
+    """Runs of figures, and addresses of many parts, of any length are candidates whole."""
+    texts = {0: f"account: {'4071' * 9} end", 1: f"write {'a' * 90} [at] {'b' * 80} [dot] c [dot] d [dot] e [dot] f [dot] org now", 2: "1 " * 20_000 + "a"}
+    found = pii.search(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    hits = found[0].join(found[1], "row").where("kind IN ('number', 'spelled')").collect()
+    assert {(r.doc_id, r.kind, r.s, r.e) for r in hits if r.doc_id < 2} == {(0, "number", 9, 45), (1, "spelled", 6, len(texts[1]) - 4)}
+
+
+def test_overlaps_by_one_ordered_pass(spark):
+    """Which spans a base match touches, and which of overlapping ones stay, against plain loops."""
+    rng = np.random.default_rng(8)
+    kinds = ["email", "phone", "key", "secret", "number"]
+    rows = sorted({(int(r), kinds[k], int(s), int(s + n)) for r, k, s, n in zip(rng.integers(0, 6, 300), rng.integers(0, 5, 300), rng.integers(0, 300, 300), rng.integers(1, 12, 300), strict=True)})
+    df = spark.createDataFrame(rows, "row long, kind string, s long, e long")
+    got = {tuple(r)[:4]: r.confirmed for r in pii.overlapping(df).collect()}
+    base = [x for x in rows if x[1] in pii.BASE]
+    assert got == {x: any(b[0] == x[0] and b[2] < x[3] and x[2] < b[3] for b in base) for x in rows}
+    taken = []
+    for x in sorted(rows, key=lambda x: (x[2] - x[3], x[2], pii.ORDER[x[1]])):
+        if not any(y[0] == x[0] and y[2] < x[3] and x[2] < y[3] for y in taken):
+            taken.append(x)
+    kept = pii.disjoint(pii.overlapping(df)).collect()
+    assert sorted((r.row, r.kind, r.s, r.e) for r in kept) == sorted(taken)
+
+
+def test_many_spans_in_one_text(spark):
+    text = "; ".join(f"10.{k % 250}.{k // 250}.7; +49 30 {1_000_000 + k}" for k in range(20_000))
+    got = pii.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert (got.n_ip, got.n_phone) == (20_000, 20_000) and got.spans.count(",") >= 39_999
+
+
 # -- repeated passages
 
 
@@ -585,3 +681,22 @@ def test_line_dedup_of_odd_lines(spark):
     thin = line_dedup.thinned(source)
     assert thin.columns == source.columns
     assert collections.Counter((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in thin.collect()) == collections.Counter((i, s) for i, _, _, s in brute_lines(rows))
+
+
+# -- stages of the pipeline on odd tables
+
+
+def test_stages_keep_one_of_repeated_rows(spark, odd, nothing):
+    """Repeated rows and rows without an id: one of each text stays, the one with an id if there is one."""
+    exact = exact_dedup.deduplicated(odd)
+    assert exact.columns == odd.columns and collections.Counter((r.doc_id, r.text) for r in exact.collect()) == collections.Counter([(1, ""), (2, " \t\n"), *[(i, t) for i, t in ODD if i and i > 2]])
+    long = " ".join(f"word{k}" for k in range(60))
+    rows = [(None, long), (None, long), (5, long + " more"), (5, long + " more"), (5, "another text of the same id"), (None, "alone and without an id"), (None, "alone and without an id"), (None, None), (9, None), (9, "")]
+    near = near_dup.thinned(spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, _id int"))
+    got = collections.Counter((r.doc_id, r.text) for r in near.collect())
+    want = {(5, long + " more"), (5, "another text of the same id"), (None, "alone and without an id")}
+    assert want <= set(got) and max(got.values()) == 1 and not any(t == long for _, t in got) and all(not t for _, t in set(got) - want)
+    clashing = nothing.withColumnsRenamed({"h": "_spans", "n": "_whole", "row": "_id"})
+    for stage in (exact_dedup.deduplicated, near_dup.thinned, pii.redacted, language.accepted, line_dedup.thinned):
+        out = stage(clashing)
+        assert out.columns == clashing.columns and out.count() == 0

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebars.session import materialize
@@ -38,12 +38,13 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 ORDER = {"email": 0, "ip": 1, "card": 2, "phone": 3, "key": 4, "secret": 5, "number": 6, "spelled": 7}
-#: High recall: of these the trees choose. Keys and secrets are whole runs of any length.
+#: High recall: of these the trees choose. Runs are taken whole, whatever their length; a longer row of groups of figures
+#: is several numbers.
 CANDIDATES = {
     "key": r"(?<![A-Za-z0-9])[A-Z0-9]{16,}+(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+",
-    "number": r"(?<![A-Za-z0-9+.])\(?[0-9][0-9() ./-]{5,24}[0-9](?![A-Za-z0-9])",
-    "spelled": r"[A-Za-z0-9._-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,64}(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9-]{1,64}){1,4}",
+    "number": r"(?<![A-Za-z0-9+.])(?:\(?[0-9][0-9() ./-]{5,24}[0-9]|[0-9]{28,}+)(?![A-Za-z0-9])",
+    "spelled": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]++(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9-]++)++",
 }
 #: Words that name what follows.
 NAMING = r"(?i)(pass(word|wd)?|secret|token|key|api|auth|ssn|iban|phone|tel|mobile|fax|call|card|account|mail|contact|user|login)"
@@ -162,17 +163,17 @@ def judged(candidates: DataFrame, most: int, precision: float) -> DataFrame:
     known = rated.where("label IS NOT NULL")
     n = {(r["kind"], r["label"]): r["count"] for r in known.groupBy("kind", "label").count().collect()}  # kinds x 2
     if len({label for _, label in n}) < 2:
-        return rated.where("false").select("row", "s", "e", "kind")
+        return rated.where("false").select("row", "s", "e", "kind", "confirmed")
     draw = F.pmod(F.xxhash64("row", "s", "kind"), F.lit(1 << 50))
     part = F.coalesce(*[F.when((F.col("kind") == k) & (F.col("label") == v), F.lit(int(share * (1 << 50)))) for (k, v), share in shares(n, most).items()])
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features")
     learn = vectors.transform(known.where(draw < part)).select("features", "label").coalesce(4)
     model = GBTClassifier(maxIter=8, maxDepth=3, seed=1).fit(learn)
     p = vector_to_array("probability")[1].alias("p")
-    scored = materialize(model.transform(vectors.transform(rated)).select("row", "s", "e", "kind", "label", p))
+    scored = materialize(model.transform(vectors.transform(rated)).select("row", "s", "e", "kind", "confirmed", "label", p))
     limits = thresholds(scored.where("label IS NOT NULL"), precision)
     limit = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in limits.items()])
-    return scored.where(F.col("p") >= limit).select("row", "s", "e", "kind")
+    return scored.where(F.col("p") >= limit).select("row", "s", "e", "kind", "confirmed")
 
 
 RANK = "element_at(map({}), kind)".format(", ".join(f"'{k}', {v}" for k, v in ORDER.items()))
@@ -188,22 +189,38 @@ def _listed(array: str) -> str:
     return f"array_join(transform({array}, x -> concat_ws(':', x.kind, x.s, x.e)), ',')"
 
 
+def overlapping(placed: DataFrame) -> DataFrame:
+    """Adds ``confirmed``: whether a base match overlaps the row. One ordered pass in either direction over the matches of a text."""
+    own = F.col("kind").isin(*BASE)
+    span = lambda order: Window.partitionBy("row").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.max(F.when(own, F.col("e"))).over(span(F.col("s")))  # of base matches that start here or before
+    ahead = F.min(F.when(own, F.col("s"))).over(span(F.col("s").desc()))  # of those that start here or behind
+    return placed.withColumn("confirmed", F.coalesce(reach > F.col("s"), F.lit(False)) | F.coalesce(ahead < F.col("e"), F.lit(False)))
+
+
+def disjoint(spans: DataFrame) -> DataFrame:
+    """Of overlapping spans of a text the longest stays (ties: the earlier, then the kind); a span goes if it overlaps one
+    that was taken. Runs of spans that touch each other are told apart first, so a text with many spans takes no longer."""
+    order = Window.partitionBy("row").orderBy("s", "e", "kind")
+    before = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = spans.withColumn("new", F.when(F.col("s") < before, 0).otherwise(1)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    each = F.struct((F.col("s") - F.col("e")).alias("n"), "s", F.expr(RANK).alias("rank"), "e", "kind", "confirmed")
+    taken = "aggregate(c, slice(c, 1, 0), (a, x) -> if(exists(a, y -> y.s < x.e AND x.s < y.e), a, concat(a, array(x))))"
+    chosen = runs.groupBy("row", "run").agg(F.sort_array(F.collect_list(each)).alias("c"))
+    return chosen.selectExpr("row", f"inline(if(size(c) = 1, c, {taken}))").select("row", "s", "e", "kind", "confirmed")
+
+
 def detect(docs: DataFrame, most: int = 20_000, precision: float = 0.9) -> DataFrame:
     """row, doc_id, key of the text, base and all spans of every document. ``row`` numbers rows."""
     rows, placed = search(docs)
     valid = "CASE kind " + " ".join(f"WHEN '{k}' THEN {_valid(k)}" for k in BASE) + " ELSE true END"
-    placed = materialize(placed.where(valid))
-    base = _gathered(placed.where(F.col("kind").isin(*BASE)), "base")
-    overlap = "exists(coalesce(base, array()), b -> b.s < e AND s < b.e)"
-    candidates = placed.where(~F.col("kind").isin(*BASE)).join(base, "row", "left").withColumn("confirmed", F.expr(overlap)).drop("base")
-    more = judged(candidates, most, precision).withColumn("n", F.col("s") - F.col("e"))
-    # Longest first; a span goes if it overlaps one that was taken (ties: the earlier, then the kind).
-    taken = f"aggregate(c, cast(array() AS {LIST}), (a, x) -> if(exists(a, y -> y.s < x.e AND x.s < y.e), a, concat(a, array(named_struct('s', x.s, 'rank', x.rank, 'e', x.e, 'kind', x.kind)))))"
-    added = more.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("n", "s", F.expr(RANK).alias("rank"), "e", "kind"))).alias("c")).selectExpr("row", f"{taken} AS added")
+    placed = materialize(overlapping(placed.where(valid)))
+    own = F.col("kind").isin(*BASE)
+    base = _gathered(placed.where(own), "base")
+    added = _gathered(disjoint(judged(placed.where(~own), most, precision)).where(~F.col("confirmed")), "added")
     none = f"cast(array() AS {LIST})"
-    free = "filter(added, x -> NOT exists(base, b -> b.s < x.e AND x.s < b.e))"
     both = rows.join(base, "row", "left").join(added, "row", "left").selectExpr("row", "doc_id", "text_key", f"coalesce(base, {none}) AS base", f"coalesce(added, {none}) AS added")
-    return both.selectExpr("row", "doc_id", "text_key", "base", f"sort_array(concat(base, {free})) AS spans")
+    return both.selectExpr("row", "doc_id", "text_key", "base", "sort_array(concat(base, added)) AS spans")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -215,13 +232,15 @@ def report(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """The documents with ``[KIND]`` in place of every span; overlapping spans become one. All columns stay,
     n_chars follows the new text if it is there."""
-    named = {"doc_id": "_id", "text_key": "_key", "spans": "_spans"}
-    spans = detect(docs).where("size(spans) > 0").selectExpr(*(f"{a} AS {b}" for a, b in named.items())).dropDuplicates(["_id", "_key"])
-    joined = docs.join(spans, docs["doc_id"].cast("long").eqNullSafe(spans["_id"]) & (F.xxhash64(F.coalesce("text", F.lit(""))) == spans["_key"]), "left")
+    named = {"doc_id": "id", "text_key": "key", "spans": "spans"}
+    spans = detect(docs).where("size(spans) > 0").selectExpr(*(f"{a} AS {b}" for a, b in named.items())).dropDuplicates(["id", "key"])
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("whole"), docs["doc_id"].cast("long").alias("own_id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("own_key"))
+    joined = whole.join(spans, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")), "left")
     step = """if(x.s < a.at, named_struct('out', a.out, 'at', greatest(a.at, x.e)), named_struct(
-        'out', concat(a.out, substring(text, int(a.at) + 1, int(x.s - a.at)), '[', upper(x.kind), ']'), 'at', x.e))"""
-    text = f"if(_spans IS NULL, text, aggregate(_spans, named_struct('out', '', 'at', 0L), (a, x) -> {step}, a -> concat(a.out, substring(text, int(a.at) + 1))))"
-    out = joined.withColumn("text", F.expr(text))
+        'out', concat(a.out, substring(whole.text, int(a.at) + 1, int(x.s - a.at)), '[', upper(x.kind), ']'), 'at', x.e))"""
+    text = f"if(spans IS NULL, whole.text, aggregate(spans, named_struct('out', '', 'at', 0L), (a, x) -> {step}, a -> concat(a.out, substring(whole.text, int(a.at) + 1))))"
+    out = joined.select("whole", "spans", F.expr(text).alias("text"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("spans").isNull(), F.col("whole.n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[new.get(c, F.col("whole").getField(c)).alias(c) for c in docs.columns])
