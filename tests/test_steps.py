@@ -284,7 +284,7 @@ def test_a_lost_run_goes_on_where_it_was(spark, tmp_path, monkeypatch):
     from tidebars.plans import engineer as en
 
     bars = spark.createDataFrame(pd.concat([walk(260, "A", 1), walk(240, "B", 2)]))
-    told = {"features": ["rate_of_change", "bollinger_bands", "time_of_day"], "trees": 5, "now": None, "folder": str(tmp_path / "run")}
+    told = {"features": ["rate_of_change", "bollinger_bands", "time_of_day"], "trees": 3, "rfe": {"step": 0.5}, "now": None, "folder": str(tmp_path / "run")}
     with monkeypatch.context() as m:
         real = en.chosen_by
 
@@ -319,7 +319,7 @@ def test_whole_way_with_two_keys(spark, tmp_path):
     from tidebars.plans.engineer import engineer
 
     pdf = pd.concat([walk(120, s, k).assign(venue=v) for k, (v, s) in enumerate([(1, "A"), (1, "B"), (2, "A")])])
-    out = engineer(spark.createDataFrame(pdf), ["rate_of_change", "bollinger_bands"], trees=3, out=str(tmp_path / "t"), by=("venue", "symbol"))
+    out = engineer(spark.createDataFrame(pdf), ["rate_of_change", "bollinger_bands"], trees=3, rfe={"step": 0.5}, out=str(tmp_path / "t"), by=("venue", "symbol"))
     back = spark.read.parquet(str(tmp_path / "t"))
     assert (tmp_path / "t" / "venue=2" / "symbol=A").is_dir() and back.count() == out["transformed"].count()
     assert {(r["venue"], r["symbol"]) for r in back.collect()} == {(1, "A"), (1, "B"), (2, "A")}
