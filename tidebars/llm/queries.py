@@ -10,7 +10,7 @@ from tidebars.llm.common import read
 RULES = (
     ("com/en/", "block"),
     ("example.com/en/7", "allow"),
-    ("net/de/", "block"),
+    ("net/de/", "allow"),
     ("example.net/de/8", "block"),
     ("org/es/", "block"),
 )
