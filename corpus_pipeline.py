@@ -20,6 +20,7 @@ from tidebars.session import materialize, tidy
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    tidy(spark)
     return language.accepted(docs)
 
 

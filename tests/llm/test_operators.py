@@ -292,6 +292,20 @@ def test_verdicts_of_quality_by_hand(spark, sf_dir, docs):
         assert r.kept == (not brute_quality(docs[i])[5] and z >= 1)
 
 
+def test_language_sample_travels_short(spark, docs):
+    """The driver gets a profile's places that are not zero, and learns the same from them as from whole profiles."""
+    x = language.profiles([t.encode() for t in docs.values()] + [b""]).astype("f2")
+    short = [language.sparse(r) for r in x]
+    assert [language.dense(b) for b in short] == [r.tobytes() for r in x]
+    assert 2 * sum(map(len, short)) < x.nbytes
+    rows = [(i, t, "ab"[i % 2]) for i, t in docs.items() if zlib.crc32(str(i).encode()) % 5]
+    got = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 10**6)
+    plain = sorted((lang, language.profiles([t.encode()]).astype("f2")[0].tobytes()) for _, t, lang in rows)
+    want = language.Hierarchy.fitted(np.stack([np.frombuffer(b, "f2") for _, b in plain]).astype("f4"), [lang for lang, _ in plain])
+    assert (got.languages, got.families, got.pairs) == (want.languages, want.families, want.pairs)
+    assert np.array_equal(got.family_w, want.family_w) and np.array_equal(got.pair_w, want.pair_w)
+
+
 def test_language_by_hand(spark, sf_dir, docs):
     """Every prediction from the fitted weights, trigram by trigram."""
     source = spark.read.parquet(f"{sf_dir}/documents.parquet")

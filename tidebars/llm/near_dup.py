@@ -170,6 +170,7 @@ def components(links: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
+        tidy(links.sparkSession)
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return materialize(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots))
 
